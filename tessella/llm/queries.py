@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunk_store import store_documents
 from .common import table
 from .packing import pack_documents
 from .quality import quality_rules
@@ -13,9 +14,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_token_store, op6_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
