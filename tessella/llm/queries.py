@@ -6,14 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chunk_store import store_documents
 from .common import table
+from .html_text import extract_text
 from .packing import pack_documents
 from .quality import quality_rules
+from .warc import archive_pages
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(table(spark, sf_dir, "documents"))
 
@@ -22,5 +32,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_token_store, op6_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_warc, op4_html_text, op5_token_store, op6_best_fit_packing)}
+OP3_SQL = """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
+k as (select d, max(page_id) as m from p group by d)
+select page_id, cast(strlen(h) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 8), g -> array_to_string(list_transform([15, 10, 5, 0], s ->
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast('0x' || substr(d, cast(1 + 5 * g as bigint), 5) as integer) >> s) & 31) + 1 as bigint), 1)), '')), '') as payload_digest,
+  case when page_id = m then 'response' else 'revisit' end as record_type,
+  case when page_id <> m then m end as refers_to
+from p join k using (d)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL}
