@@ -10,6 +10,7 @@ from .html_text import extract_text
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
+from .suffix_dedup import remove_repeats
 from .warc import archive_pages
 
 
@@ -37,7 +38,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_warc, op4_html_text, op5_token_store, op6_best_fit_packing, op7_minhash_near_dedup)}
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_warc, op4_html_text, op5_token_store, op6_best_fit_packing, op7_minhash_near_dedup, op9_suffix_array_dedup)}
 OP3_SQL = """
 with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
 k as (select d, max(page_id) as m from p group by d)
