@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chunk_store import store_documents
 from .common import table
+from .decontaminate import find_leaks
 from .html_text import extract_text
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -42,7 +43,12 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_warc, op4_html_text, op5_token_store, op6_best_fit_packing, op7_minhash_near_dedup, op9_suffix_array_dedup)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, one row for each such pair."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("score")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_warc, op4_html_text, op5_token_store, op6_best_fit_packing, op7_minhash_near_dedup, op9_suffix_array_dedup, op10_benchmark_decontamination)}
 OP3_SQL = """
 with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
 k as (select d, max(page_id) as m from p group by d)
