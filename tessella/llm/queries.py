@@ -8,13 +8,19 @@ from .chunk_store import store_documents
 from .common import table
 from .decontaminate import find_leaks
 from .html_text import extract_text
+from .lm_score import cross_entropy_difference
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
+from .secrets import scan_secrets
 from .suffix_dedup import remove_repeats
 from .warc import archive_pages
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +45,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
@@ -48,7 +58,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("score")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_warc, op4_html_text, op5_token_store, op6_best_fit_packing, op7_minhash_near_dedup, op9_suffix_array_dedup, op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_quality_rules, op3_warc, op4_html_text, op5_token_store, op6_best_fit_packing, op7_minhash_near_dedup,
+        op8_lm_score, op9_suffix_array_dedup, op10_benchmark_decontamination,
+    )
+}
 OP3_SQL = """
 with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
 k as (select d, max(page_id) as m from p group by d)
