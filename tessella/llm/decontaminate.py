@@ -180,40 +180,48 @@ def candidates(index: Index, words: list[bytes]) -> dict[int, float]:
     return found
 
 
+def leaks(index: Index, text: str | None, percent: int) -> list[tuple]:
+    """(item_id, question shingles, hits, answer shingles, hits, score) of each item that the text holds."""
+    words = words_of(text)
+    found = candidates(index, words) if words and index.items else {}
+    if not found:
+        return []
+    have, joined, out = shingles(words), b" " + b" ".join(words) + b" ", []
+    for item, score in found.items():
+        sides = index.parts[item]
+        # a side of under five words is one shingle, found as a run of words
+        hits = [sum(s in have or (s.count(b" ") < 4 and b" " + s + b" " in joined) for s in side) for side in sides]
+        if all(100 * h >= percent * len(side) for h, side in zip(hits, sides)):
+            out.append((index.items[item], len(sides[0]), hits[0], len(sides[1]), hits[1], score))
+    return out
+
+
+def indexes(benchmark: DataFrame, share: float, max_words: int) -> Iterator[Index]:
+    """The index of each block of items; a block has about `max_words` words."""
+    sized = benchmark.select("item_id", "text")
+    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // (6 * max_words)))
+    for block in range(blocks):
+        part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else sized
+        rows = sorted(part.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
+        yield build_index([(r["item_id"], r["text"]) for r in rows], share)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share: float = 0.7, max_words: int = 2_000_000) -> DataFrame:
     """One row for each document and test item that it holds: doc_id, item_id, shingle counts and hits, best BM25 score.
 
     `docs` has doc_id and text, `benchmark` item_id and text. Items or documents
     without words match nothing. A side of an item without words counts as
-    held. Equal rows give equal results, each its own; null ids are kept as they are. Other
-    columns are ignored.
+    held. Equal rows give equal results, each its own; null ids are kept as they
+    are. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    sized = benchmark.select("item_id", "text")
-    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (6 * max_words)))
     out = None
-    for block in range(blocks):
-        part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else sized
-        rows = sorted(part.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))  # about max_words words
-        index = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in rows], share))
+    for built in indexes(benchmark, share, max_words):
+        index = docs.sparkSession.sparkContext.broadcast(built)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix = index.value
             for batch in batches:
-                rows = []
-                if ix.items:
-                    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                        words = words_of(text)
-                        found = candidates(ix, words) if words else {}
-                        have = shingles(words) if found else set()
-                        joined = b" " + b" ".join(words) + b" " if found else b""
-                        for item, score in found.items():
-                            # a side of under five words is one shingle, found as a run of words
-                            q, a = ix.parts[item]
-                            hit = [sum(s in have or (s.count(b" ") < 4 and b" " + s + b" " in joined) for s in side) for side in (q, a)]
-                            if all(100 * h >= percent * len(side) for h, side in zip(hit, (q, a))):
-                                rows.append((doc, ix.items[item], len(q), hit[0], len(a), hit[1], score))
+                rows = [(doc, *x) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in leaks(index.value, text, percent)]
                 cols = list(zip(*rows)) or [()] * 7
                 kinds = [pa.int64()] * 6 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
@@ -221,3 +229,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share:
         found = docs.select("doc_id", "text").mapInArrow(run, FOUND)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share: float = 0.7, max_words: int = 2_000_000) -> DataFrame:
+    """The rows of `docs` that hold no test item, with all their columns and without a shuffle."""
+    schema, at = docs.schema, docs.columns.index("text")
+    for built in indexes(benchmark, share, max_words):
+        index = docs.sparkSession.sparkContext.broadcast(built)
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not leaks(index.value, t, percent) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -209,3 +209,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, repea
 
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in STATS) + ", base_failed boolean, kept boolean, score double"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, min_words: int = 50, repeat_percent: int = 50, sample: int = 8000) -> DataFrame:
+    """The rows of `docs` that quality_rules keeps, with all their columns and without a shuffle."""
+    model = train(docs, labels, sample)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column(at).to_pylist()
+                stats = [text_stats(t) for t in texts]
+                s = np.array(stats, np.int64)
+                keep = (s[:, 0] >= min_words) & (100 * s[:, 4] <= repeat_percent * s[:, 0])
+                if model is not None:
+                    keep &= model.score(np.array([features(t, v) for t, v in zip(texts, stats)])) >= model.cutoff
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
