@@ -69,7 +69,7 @@ OP3_SQL = """
 with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
 k as (select d, max(page_id) as m from p group by d)
 select page_id, cast(strlen(h) as bigint) as payload_bytes,
-  array_to_string(list_transform(range(0, 8), g -> array_to_string(list_transform([15, 10, 5, 0], s ->
+  array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast('0x' || substr(d, cast(1 + 5 * g as bigint), 5) as integer) >> s) & 31) + 1 as bigint), 1)), '')), '') as payload_digest,
   case when page_id = m then 'response' else 'revisit' end as record_type,
   case when page_id <> m then m end as refers_to
