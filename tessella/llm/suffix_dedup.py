@@ -141,17 +141,20 @@ def repeated_starts(contexts: list[tuple[bytes, int, int]], length: int) -> list
             place += w
         level = mix64(level[:-w] * _STEP + level[w:]) if len(level) > w else level
         w *= 2
-    nxt = np.concatenate([cells, np.zeros(whole + 1, np.uint64)])[whole : whole + len(code)]
     same = np.concatenate([[False], prefix[order[1:]] == prefix[order[:-1]]])
-    diff = np.concatenate([[np.uint64(0)], nxt[order[1:]] ^ nxt[order[:-1]]])
+    behind = np.concatenate([cells, np.zeros(whole + 2, np.uint64)])
     agree = np.zeros(len(code), np.int64)
-    for k in range(1, cell + 1):
-        agree += (diff >> np.uint64(8 * (cell - k))) == 0
+    for place in (whole, whole + 1):  # a start next to its border may need bytes of two cells
+        nxt = behind[place : place + len(code)]
+        diff = np.concatenate([[np.uint64(0)], nxt[order[1:]] ^ nxt[order[:-1]]])
+        so_far = agree == cell * (place - whole)
+        for k in range(1, cell + 1):
+            agree += so_far & ((diff >> np.uint64(8 * (cell - k))) == 0)
     out = [np.zeros(n, bool) for _, n, _ in contexts]
     counts = np.array([n for _, n, _ in contexts])
     w_sorted, at_sorted, tail_sorted = who[order], at[order], tails[order]
     for u in range(1, cell + 1):
-        run = np.cumsum(~(same & (agree >= cell - u)))
+        run = np.cumsum(~(same & (agree >= length - u - cell * whole)))
         start = at_sorted - u
         own = (w_sorted >= 0) & (start >= 0) & (start < counts[w_sorted])
         if not own.any():
@@ -224,11 +227,13 @@ def split_contexts(contexts: DataFrame, step: int, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 400, limit: int = 500, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of `docs` (doc_id, text); with_text adds the kept bytes.
 
-    Each byte goes that lies in a string of `length` bytes which starts anywhere
+    `length` is at least 40. Each byte goes that lies in a string of `length` bytes which starts anywhere
     else too, in the same text or another row's. A null text is empty. Repeated
     rows remove each other wholly if they are long enough; a null doc_id is a
     document like any other. Other columns are ignored.
     """
+    if length < GRAM + 8:
+        raise ValueError(f"length {length} is below {GRAM + 8}")
     text = F.coalesce("text", F.lit(""))
     did = F.coalesce("doc_id", F.lit(-(1 << 63)))
     docs = docs.select(did.alias("did"), F.xxhash64("doc_id", text).alias("rid"), text.alias("text"))
