@@ -39,8 +39,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts as token ids, packed into sequences."""
-    return pack_documents(docs)
+    """The texts as token ids, packed into sequences; executors that four stages have filled have less room for the encoder's cache."""
+    return pack_documents(docs, cache_entries=200_000)
 
 
 STAGES = [

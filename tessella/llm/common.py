@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,18 @@ def _clean() -> None:
             delete_path(spark, path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs started inside hand at most `rows` whole texts at a time to a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -59,7 +73,8 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     and is not computed again by later jobs.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -115,22 +130,43 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of all texts in order, and the number of words of each text."""
+def word_hashes(texts: list[bytes], step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of all texts in order, and the number of words of each text.
+
+    Bytes are taken in pieces of about `step`, cut at white space, so the
+    arrays in use at once do not grow with the texts.
+    """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _IS_SPACE[data]
-    inside = ~space
-    start = np.flatnonzero(inside & np.concatenate([[True], space[:-1]]))
+    hashes, starts, lo = [], [], 0
+    while lo < len(data):
+        hi = min(lo + step, len(data))
+        while not _IS_SPACE[data[hi - 1]]:  # the last byte of all is a line end
+            hi = min(hi + 4096, len(data))
+            back = np.flatnonzero(_IS_SPACE[data[max(lo, hi - 4096) : hi]])
+            if len(back):
+                hi = max(lo, hi - 4096) + int(back[-1]) + 1
+        found, start = _piece_hashes(data[lo:hi])
+        hashes.append(found)
+        starts.append(start + lo)
+        lo = hi
+    start = np.concatenate(starts)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
+    return np.concatenate(hashes), np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
+
+
+def _piece_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of `data`, which ends in white space."""
+    space = _IS_SPACE[data]
+    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     if not len(start):
-        return np.empty(0, np.uint64), counts
-    word = np.cumsum(np.bincount(start, minlength=len(data)).astype(np.int32)) - 1
-    pos = np.arange(len(data)) - start[np.maximum(word, 0)]
+        return np.empty(0, np.uint64), start
+    word = np.cumsum(np.bincount(start, minlength=len(data)), dtype=np.int32) - np.int32(1)
+    pos = np.arange(len(data), dtype=np.int32) - start.astype(np.int32)[np.maximum(word, 0)]
     pos[space] = 0
-    power = _power(int(pos.max()) + 1)
-    value = np.where(inside, _BYTE[data] * power[pos], np.uint64(0))
-    return mix64(np.add.reduceat(value, start)), counts
+    value = _power(int(pos.max()) + 1)[pos]
+    value *= _BYTE[data]
+    value[space] = 0
+    return mix64(np.add.reduceat(value, start)), start
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

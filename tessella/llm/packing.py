@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
-from .tokens import encoder
+from .tokens import CACHE_ENTRIES, encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -30,11 +30,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, with_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row for each piece of each document's ids; with_ids adds the ids as bytes (u32, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, kind)
+        enc = encoder(tokenizer, kind, cache_entries)
         for batch in batches:
             rows: list[tuple] = []
             for doc, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist(), end_id)):
@@ -140,14 +140,15 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", kind: str = "byte", end_id: int = 2, capacity: int = 1024, with_ids: bool = False
+    docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", kind: str = "byte", end_id: int = 2, capacity: int = 1024, with_ids: bool = False, cache_entries: int = CACHE_ENTRIES
 ) -> DataFrame:
     """Encode `docs` (doc_id, text) and pack them into as few sequences of `capacity` tokens as best-fit decreasing does.
 
     A null or empty text is its end id alone. Rows with a null or repeated doc_id
-    are packed like any others. Other columns of `docs` are ignored.
+    are packed like any others. Other columns of `docs` are ignored. cache_entries
+    bounds what a Python worker remembers of the tokenizer's work; it changes no result.
     """
-    return pack(stage(token_pieces(docs, tokenizer, kind, end_id, capacity, with_ids), "pieces"), capacity)
+    return pack(stage(token_pieces(docs, tokenizer, kind, end_id, capacity, with_ids, cache_entries), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -220,22 +220,23 @@ def redact_secrets(docs: DataFrame, net: CharNet | None = None, mark: str = "[se
     """`docs` with each run of overlapping spans in text replaced by `mark`; all columns and rows stay, n_chars (if there) follows the text."""
     net = net or train(docs)
 
-    @F.pandas_udf("string")
-    def redact(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        out = []
-        values = [None if pd.isna(t) else t for t in texts]
-        for text, spans in zip(values, find_spans(values, net)):
-            if spans:
-                parts, at = [], 0
-                for s, e, _ in spans:
-                    if s >= at:
-                        parts += [text[at:s], mark]
-                    at = max(at, e)
-                text = "".join(parts) + text[at:]
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    redacted = docs.withColumn("text", redact("text"))
-    return redacted.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else redacted
+    at, sized = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, spans in enumerate(find_spans(texts, net)):
+                if spans:
+                    text, parts, end = texts[i], [], 0
+                    for s, e, _ in spans:
+                        if s >= end:
+                            parts += [text[end:s], mark]
+                        end = max(end, e)
+                    texts[i] = "".join(parts) + text[end:]
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, columns[at].type)
+            if sized is not None:
+                columns[sized] = pa.array([None if t is None else len(t) for t in texts], columns[sized].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import threading
+import time
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 
@@ -17,7 +20,10 @@ _PIECES = {
     "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?{_OTHER}|\s+(?!\S)|\s+"),
     "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|{_OTHER}"),
 }
-_CACHE_ENTRIES = 900_000
+#: Pieces kept by a Python worker, about 200 bytes each; fewer save memory and cost time.
+CACHE_ENTRIES = 900_000
+#: A Python worker that encodes nothing for so many seconds gives the cache's memory back.
+_IDLE_S = 3
 
 
 class Encoder:
@@ -29,26 +35,41 @@ class Encoder:
     with characters outside the checked range are encoded by the library whole.
     """
 
-    def __init__(self, file: str, kind: str):
+    def __init__(self, file: str, kind: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.pattern, self.cache = kind, _PIECES[kind], {}
+        self.kind, self.pattern, self.entries, self.cache = kind, _PIECES[kind], entries, {}
+        self.lock, self.used, self.watched = threading.Lock(), 0.0, False
+
+    def _watch(self) -> None:
+        while True:
+            time.sleep(_IDLE_S / 2)
+            with self.lock:
+                if time.monotonic() - self.used > _IDLE_S:
+                    self.cache, self.watched = {}, False
+                    return
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > _CACHE_ENTRIES:
+        if len(self.cache) + len(pieces) > self.entries:
             self.cache.clear()
         done = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         ids = np.asarray(done.ids, "<u4")
-        of = np.asarray([-1 if x is None else x for x in done.word_ids], np.int64)
-        cut = np.searchsorted(of, np.arange(len(pieces) + 1))
+        cut = (4 * np.searchsorted(np.asarray(done.word_ids, np.int64), np.arange(len(pieces) + 1))).tolist()
         data = ids.tobytes()
-        for i, piece in enumerate(pieces):
-            self.cache[piece] = data[4 * cut[i] : 4 * cut[i + 1]]
+        self.cache.update(zip(pieces, [data[a:b] for a, b in zip(cut, cut[1:])]))
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
-        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+        with self.lock:
+            out = self._encode(texts, b"" if end_id is None else int(end_id).to_bytes(4, "little"))
+            self.used = time.monotonic()
+            if not self.watched:
+                self.watched = True
+                threading.Thread(target=self._watch, daemon=True).start()
+        return out
+
+    def _encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         out: list[bytes] = []
         for lo in range(0, len(texts), 64):
             split: list[list[str] | None] = []
@@ -58,24 +79,25 @@ class Encoder:
                     split.append(None)
                 else:
                     split.append(self.pattern.findall(text.lower() if self.kind == "word" else text))
-            wanted = {p for pieces in split if pieces for p in pieces}
-            missing = [p for p in wanted if p not in self.cache]
+            wanted = set().union(*filter(None, split))
+            missing = list(wanted.difference(self.cache))
             if missing:
-                if len(self.cache) + len(missing) > _CACHE_ENTRIES:
+                if len(self.cache) + len(missing) > self.entries:
                     missing = list(wanted)
                 self._learn(missing)
-            get = self.cache.__getitem__
             for text, pieces in zip(texts[lo : lo + 64], split):
                 if pieces is None:
                     ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                     out.append(np.asarray(ids, "<u4").tobytes() + end)
+                elif len(pieces) > 1:
+                    out.append(b"".join(itemgetter(*pieces)(self.cache)) + end)
                 else:
-                    out.append(b"".join(map(get, pieces)) + end)
+                    out.append((self.cache[pieces[0]] if pieces else b"") + end)
         return out
 
 
 @lru_cache(maxsize=4)
-def encoder(name: str, kind: str) -> Encoder:
+def encoder(name: str, kind: str, entries: int = CACHE_ENTRIES) -> Encoder:
     """The encoder of one public vocabulary file, once per Python worker. `name` may also be a path."""
     import os
 
@@ -83,4 +105,4 @@ def encoder(name: str, kind: str) -> Encoder:
         import public_tokenizers
 
         name = public_tokenizers.path(name)
-    return Encoder(name, kind)
+    return Encoder(name, kind, entries)
