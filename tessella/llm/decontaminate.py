@@ -7,8 +7,13 @@ query walks any postings, the block's largest impacts of its terms are summed; a
 passage whose bound cannot reach the block's least threshold is dropped, a
 document at a time in numpy. The others are walked with block-max WAND, which
 returns all items whose score reaches their threshold. An item's
-threshold is a share of the score it gives itself. Found pairs are verified on the
-document: `percent` of the distinct 5-word shingles of both question and answer.
+threshold is a share of the score it gives itself. Items whose pieces lie apart, or
+whose lost words weigh more than that share, are retrieved by the shingles that the
+whole document holds, so no pair that would be verified is left out; a document that
+holds no shingle of any item is not walked. Found pairs are
+verified on the document: `percent` of the distinct 5-word shingles of both question
+and answer or, with `whole`, of the item as a whole; `whole` also compares words
+without the ASCII punctuation at their edges.
 
 The index is made of items only. It is built in blocks of at most `max_words`
 words of items, each sent to the executors in turn, so what is broadcast has
@@ -26,8 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix64
+
 LEAST_BLOCK, MOST_BLOCKS = 16, 64
 K1, B = 1.2, 0.75
+EDGES = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 FOUND = "doc_id bigint, item_id bigint, n_question bigint, question_hits bigint, n_answer bigint, answer_hits bigint, score double"
 
 
@@ -36,6 +44,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def bare(words: list[bytes]) -> list[bytes]:
+    """The words without ASCII punctuation at their edges; a word of nothing else stays."""
+    return [w.strip(EDGES) or w for w in words]
+
+
 def shingles(words: list[bytes], k: int = 5) -> set[bytes]:
     """Distinct k-word shingles; the whole sequence where it is shorter; none of nothing."""
     if not words:
@@ -61,17 +74,53 @@ class Index:
     """Postings of each term: item numbers in order, impacts, and each block's largest impact and last item."""
 
     items: list[int | None]
-    parts: list[tuple[set[bytes], set[bytes]]]
+    parts: list[tuple[set[bytes], set[bytes], set[bytes]]]  # question, answer, the whole
     terms: dict[bytes, int]
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     bound: np.ndarray
     threshold: np.ndarray
     blocks: list[tuple[np.ndarray, float, int]]  # each block's largest impact of each term, least threshold, longest item
-
-
-def build_index(items: list[tuple[int | None, str | None]], share: float) -> Index:
+    bare: bool
+    grams: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words, filter, hashes, their first slot, slots (3 * item + part)
+    sizes: np.ndarray  # distinct hashes of each slot
+    lone: bool  # some item has no part of five words beside the whole
+
+
+def runs(ids: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k term numbers."""
+    out = np.full(max(0, len(ids) - k + 1), k, np.uint64)
+    for i in range(k):
+        out = out * np.uint64(0x9FB21C651E98DF25) + ids[i : i + len(out)].astype(np.uint64)
+    return mix64(out)
+
+
+def gram_index(parts: list[tuple[list[bytes], ...]], terms: dict[bytes, int]) -> tuple[list[tuple], np.ndarray, bool]:
+    """For each length, longest first, the shingles of all parts with the slots that hold them; the number of shingles of each slot; `lone`."""
+    sizes, by_length = np.zeros(3 * len(parts), np.int64), {}
+    for i, sides in enumerate(parts):
+        for j, words in enumerate(sides):
+            if words:
+                k = min(5, len(words))
+                found = np.unique(runs(np.array([terms[w] for w in words], np.int64), k))
+                sizes[3 * i + j] = len(found)
+                hashes, slots = by_length.setdefault(k, ([], []))
+                hashes.append(found)
+                slots.append(np.full(len(found), 3 * i + j))
+    grams = []
+    for k, (hashes, slots) in sorted(by_length.items(), reverse=True):
+        h, slot = np.concatenate(hashes), np.concatenate(slots)
+        order = np.argsort(h, kind="stable")
+        keys, first = np.unique(h[order], return_index=True)
+        seen = np.zeros(1 << 20, bool)
+        seen[keys >> np.uint64(44)] = True
+        grams.append((k, seen, keys, np.append(first, len(h)), slot[order]))
+    return grams, sizes, any(max(map(len, sides[:2])) < 5 for sides in parts)
+
+
+def build_index(items: list[tuple[int | None, str | None]], share: float, whole: bool = False) -> Index:
     """BM25 index; item impacts are those of the item's text, a query counts each of its distinct terms once."""
-    texts = [words_of(t) for _, t in items]
+    form = bare if whole else list
+    texts = [form(words_of(t)) for _, t in items]
     keep = [i for i, w in enumerate(texts) if w]
     keep.sort(key=lambda i: len(texts[i]))
     items, texts = [items[i] for i in keep], [texts[i] for i in keep]
@@ -94,7 +143,8 @@ def build_index(items: list[tuple[int | None, str | None]], share: float) -> Ind
         terms[w] = len(postings)
         postings.append((at, impact, np.maximum.reduceat(impact, starts), at[np.append(starts[1:], len(at)) - 1]))
     bound = np.array([p[2].max() for p in postings] + [0.0])
-    parts = [tuple(shingles(x) for x in question_and_answer(t)) for _, t in items]
+    sides = [(*map(form, question_and_answer(t)), w) for (_, t), w in zip(items, texts)]
+    parts = [tuple(map(shingles, x)) for x in sides]
     threshold = share * own
     blocks = []
     for lo in range(0, n, per_block):
@@ -104,7 +154,7 @@ def build_index(items: list[tuple[int | None, str | None]], share: float) -> Ind
             if k < len(last) and last[k] // per_block == lo // per_block:
                 most[t] = largest[k]
         blocks.append((most, float(threshold[lo : lo + per_block].min()), max(map(len, texts[lo : lo + per_block]))))
-    return Index([i for i, _ in items], parts, terms, postings, bound, threshold, blocks)
+    return Index([i for i, _ in items], parts, terms, postings, bound, threshold, blocks, whole, *gram_index(sides, terms))
 
 
 def block_max_wand(index: Index, query: list[int]) -> list[tuple[int, float]]:
@@ -157,11 +207,35 @@ def block_max_wand(index: Index, query: list[int]) -> list[tuple[int, float]]:
             out.append((item, score))
 
 
-def candidates(index: Index, words: list[bytes]) -> dict[int, float]:
-    """Items that some passage of the document retrieves, with the best score."""
+def held_items(index: Index, ids: np.ndarray, percent: int) -> list[int] | None:
+    """Items that the document as a whole holds, by the hashes of their shingles; None where it holds no shingle that any item needs."""
+    slots = []
+    for k, seen, keys, first, of in index.grams:
+        if k < 5 and not slots and not index.lone:
+            return None  # every item has a part that needs a five-word shingle
+        h = runs(ids, k)
+        h = np.unique(h[seen[h >> np.uint64(44)]])
+        at = np.searchsorted(keys, h)
+        at = at[keys[np.minimum(at, len(keys) - 1)] == h]
+        slots += [of[first[a] : first[a + 1]] for a in at.tolist()]
+    if not slots:
+        return None
+    slot, n = np.unique(np.concatenate(slots), return_counts=True)
+    item = np.unique(slot // 3)
+    hits = np.zeros((len(item), 3), np.int64)
+    hits[np.searchsorted(item, slot // 3), slot % 3] = n
+    enough = 100 * hits >= percent * index.sizes.reshape(-1, 3)[item]
+    return item[enough[:, :2].all(1) | (index.bare & enough[:, 2])].tolist()
+
+
+def candidates(index: Index, words: list[bytes], percent: int) -> dict[int, float]:
+    """Items that some passage of the document retrieves, with the best score, or that the document holds, with its score."""
     get, none = index.terms.get, len(index.postings)
     ids = np.array([get(w, none) for w in words], np.int64)
     found: dict[int, float] = {}
+    held = held_items(index, ids, percent)
+    if held is None:  # whatever is retrieved, nothing could be verified
+        return found
     for most, least, longest in index.blocks:
         least -= 1e-9
         total = np.concatenate([[0.0], np.cumsum(most[ids])])
@@ -177,13 +251,20 @@ def candidates(index: Index, words: list[bytes]) -> dict[int, float]:
                 continue
             for item, score in block_max_wand(index, query[query < none].tolist()):
                 found[item] = max(score, found.get(item, 0.0))
+    for item in set(held).difference(found):
+        found[item] = 0.0
+        for t in np.unique(ids[ids < none]).tolist():
+            at, impact, *_ = index.postings[t]
+            k = int(np.searchsorted(at, item))
+            if k < len(at) and at[k] == item:
+                found[item] += float(impact[k])
     return found
 
 
 def leaks(index: Index, text: str | None, percent: int) -> list[tuple]:
     """(item_id, question shingles, hits, answer shingles, hits, score) of each item that the text holds."""
-    words = words_of(text)
-    found = candidates(index, words) if words and index.items else {}
+    words = bare(words_of(text)) if index.bare else words_of(text)
+    found = candidates(index, words, percent) if words and index.items else {}
     if not found:
         return []
     have, joined, out = shingles(words), b" " + b" ".join(words) + b" ", []
@@ -191,12 +272,13 @@ def leaks(index: Index, text: str | None, percent: int) -> list[tuple]:
         sides = index.parts[item]
         # a side of under five words is one shingle, found as a run of words
         hits = [sum(s in have or (s.count(b" ") < 4 and b" " + s + b" " in joined) for s in side) for side in sides]
-        if all(100 * h >= percent * len(side) for h, side in zip(hits, sides)):
+        enough = [100 * h >= percent * len(side) for h, side in zip(hits, sides)]
+        if all(enough[:2]) or index.bare and enough[2]:
             out.append((index.items[item], len(sides[0]), hits[0], len(sides[1]), hits[1], score))
     return out
 
 
-def indexes(benchmark: DataFrame, share: float, max_words: int) -> Iterator[Index]:
+def indexes(benchmark: DataFrame, share: float, max_words: int, whole: bool) -> Iterator[Index]:
     """The index of each block of items; a block has about `max_words` words."""
     sized = benchmark.select("item_id", "text")
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -204,19 +286,20 @@ def indexes(benchmark: DataFrame, share: float, max_words: int) -> Iterator[Inde
     for block in range(blocks):
         part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else sized
         rows = sorted(part.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
-        yield build_index([(r["item_id"], r["text"]) for r in rows], share)
+        yield build_index([(r["item_id"], r["text"]) for r in rows], share, whole)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share: float = 0.7, max_words: int = 2_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share: float = 0.7, max_words: int = 2_000_000, whole: bool = False) -> DataFrame:
     """One row for each document and test item that it holds: doc_id, item_id, shingle counts and hits, best BM25 score.
 
     `docs` has doc_id and text, `benchmark` item_id and text. Items or documents
     without words match nothing. A side of an item without words counts as
-    held. Equal rows give equal results, each its own; null ids are kept as they
+    held. With `whole`, an item held as a whole counts too, and words are compared
+    and counted without punctuation at their edges. Equal rows give equal results, each its own; null ids are kept as they
     are. Other columns are ignored.
     """
     out = None
-    for built in indexes(benchmark, share, max_words):
+    for built in indexes(benchmark, share, max_words, whole):
         index = docs.sparkSession.sparkContext.broadcast(built)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -231,10 +314,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share:
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share: float = 0.7, max_words: int = 2_000_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share: float = 0.7, max_words: int = 2_000_000, whole: bool = False) -> DataFrame:
     """The rows of `docs` that hold no test item, with all their columns and without a shuffle."""
     schema, at = docs.schema, docs.columns.index("text")
-    for built in indexes(benchmark, share, max_words):
+    for built in indexes(benchmark, share, max_words, whole):
         index = docs.sparkSession.sparkContext.broadcast(built)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
