@@ -9,9 +9,10 @@
 3. Linked pairs give components. A bucket that still holds several components
    isn't settled: a small one compares all pairs across components, and the
    members of large ones go on to sharper buckets (two, then three bands at once),
-   each with a star of its own. So a link is missed only if its two documents
-   are linked to none of the centres of all the buckets they share, nor to each
-   other through further documents.
+   each with a star of its own. The members of buckets that are still open after the
+   last level are joined exactly across components, by prefixes of their rarest
+   shingles. So a link is missed only if its two documents share no bucket of a
+   level.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import mix64, shingle_hashes, stage, word_hashes
 BINS, ROWS = 128, 4
 #: (bands a bucket, buckets a document): documents of large unsettled buckets go on to sharper ones.
 LEVELS = ((1, 32), (2, 96), (3, 192))
+#: Shingles of more documents than HOT are dealt over SALTS keys.
+HOT, SALTS = 256, 16
 #: Buckets of up to so many documents compare all pairs that are not linked yet.
 SMALL = 8
 _ORDER = np.argsort(mix64(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(77)).reshape(BINS, BINS), axis=1)
@@ -163,6 +166,45 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of `members` (doc_id, component) across components, among them every one that is similar.
+
+    Shingles are ordered from rare to common among the members. Of a similar pair the first common
+    shingle in this order has, in both documents, at least as many shingles from it on as the least
+    overlap that the lengths ask for. So the shorter document is indexed by a prefix for partners
+    no shorter, the longer one looks up a prefix for all its partners, and both ends are checked.
+    """
+    texts = docs.select("doc_id", "text").where("text is not null").distinct().join(members, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 64):
+                batch = big.slice(lo, 64)
+                sets = shingle_set(batch.column(1).to_pylist(), k)
+                size = np.array([len(x) for x in sets], np.int64)
+                each = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(), size))
+                names = pa.array(np.repeat([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], size).astype(np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([each(0), each(2), names, pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "component", "name", "n", "g"])
+
+    grams = stage(texts.select("doc_id", "text", "component").mapInArrow(run, "id bigint, component bigint, name bigint, n bigint, g bigint"), "grams")
+    counted = grams.groupBy("g").agg(F.count("*").alias("df"))
+    # one document's shingles come together, each counted once a document
+    ranked = grams.join(counted, "g").groupBy("id", "name", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("grams"))
+    placed = ranked.select("id", "component", "n", F.posexplode("grams").alias("at", "x")).select("id", "component", "n", "x.df", "x.g", (F.col("n") - F.col("at")).alias("left"))
+    probe = stage(placed.where((F.col("df") > 1) & (100 * F.col("left") >= percent * F.col("n"))), "prefixes")
+    hot = F.col("df") > HOT
+    index = probe.where((100 + percent) * F.col("left") >= 2 * percent * F.col("n")).select(
+        F.col("id").alias("i_id"), F.col("component").alias("i_component"), F.col("n").alias("i_n"), F.col("left").alias("i_left"), "g",
+        F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    probe = probe.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    fits = (
+        (F.col("i_component") != F.col("component")) & (F.col("i_n") <= F.col("n")) & (100 * F.col("i_n") >= percent * F.col("n"))
+        & ((100 + percent) * F.least("i_left", "left") >= percent * (F.col("i_n") + F.col("n")))
+    )
+    pairs = probe.join(index, ["g", "salt"]).where(fits)
+    return pairs.select(F.greatest("id", "i_id").alias("a"), F.least("id", "i_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text).
 
@@ -205,6 +247,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
         if large.isEmpty():
             break
         active = signed.join(large, "doc_id", "left_semi")
+    else:
+        found = components(links)
+        members = large.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+        rest = stage(prefix_pairs(stage(members, "members"), docs, k, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(stage(similar_pairs(rest, docs, k, percent), "links"))
     found = components(links)
     rep_of = classes.join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     joined = rows.select("doc_id", "n_shingles", "h1", "h2").join(rep_of, ["h1", "h2"], "left")
