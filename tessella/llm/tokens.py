@@ -32,14 +32,17 @@ class Encoder:
     Tokenizers of this kind encode each piece of a text by itself, so pieces
     are cut by a pattern, each piece is encoded by the library once, and its
     ids are kept (in a bounded cache) as bytes that are joined per text. Texts
-    with characters outside the checked range are encoded by the library whole.
+    that hold a special token's string, or characters outside the checked range,
+    are encoded by the library whole, so a special string has its special id.
     """
 
     def __init__(self, file: str, kind: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        # a text without the first characters of any special string is told apart by a plain search
+        self.openings, self.special = {t[:2] for t in special}, re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I)
         self.kind, self.pattern, self.entries, self.cache = kind, _PIECES[kind], entries, {}
         self.lock, self.used, self.watched = threading.Lock(), 0.0, False
 
@@ -51,6 +54,9 @@ class Encoder:
                     self.cache, self.watched = {}, False
                     return
 
+    def _whole(self, text: str) -> bool:
+        return _UNUSUAL.search(text) is not None or any(o in text for o in self.openings) and self.special.search(text) is not None
+
     def _learn(self, pieces: list[str]) -> None:
         if len(self.cache) + len(pieces) > self.entries:
             self.cache.clear()
@@ -75,7 +81,7 @@ class Encoder:
             split: list[list[str] | None] = []
             for text in texts[lo : lo + 64]:
                 text = text or ""
-                if _UNUSUAL.search(text):
+                if self._whole(text):
                     split.append(None)
                 else:
                     split.append(self.pattern.findall(text.lower() if self.kind == "word" else text))

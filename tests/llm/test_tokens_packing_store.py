@@ -15,7 +15,8 @@ from tessella.llm import chunk_store, packing
 from tessella.llm.common import shared_dir
 from tessella.llm.tokens import encoder
 
-ODD = [(100, "it's I'LL don''t  x y z\x85w\x1c 12½³ ǅ İ ſ ﻿"), (101, "\r\n\t a\n\n\nb   "), (102, "[CLS] </s> <s> <pad> [UNK]"), (103, "東京 🎉 नमस्ते é"), (104, "ªº¼ ÷× ÀÉ ɏ ĲŁ _-_")]
+ODD = [(100, "it's I'LL don''t  x y z\x85w\x1c 12½³ ǅ İ ſ ﻿"), (101, "\r\n\t a\n\n\nb   "), (102, "[CLS] </s> <s> <pad> [UNK]"), (103, "東京 🎉 नमस्ते é"), (104, "ªº¼ ÷× ÀÉ ɏ ĲŁ _-_"),
+       (105, "a <|endoftext|> b <|startoftext|>"), (106, "<|ENDOFTEXT|><|endoftext|>x")]
 FILES = [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")]
 
 
@@ -32,7 +33,7 @@ library_ids.cache = {}
 def test_encoder_equals_the_library(name, kind, sf):
     import pyarrow.parquet as pq
 
-    texts = [t for _, t in documents() + ODD if t is None or "[CLS]" not in t] + pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()
+    texts = [t for _, t in documents() + ODD] + pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()
     assert encoder(name, kind).encode(texts, 1) == [library_ids(name, t, 1).tobytes() for t in texts]
 
 
@@ -127,13 +128,44 @@ def test_damage_is_found(spark):
         chunk_store.read_index(spark, f"{path}/../bad").collect()
 
 
+def test_lost_chunks_and_recipes_are_found(spark):
+    df, path = frame(spark, documents()), f"{shared_dir(spark)}/store"
+    chunk_store.write_store(df, path, "word_bpe_49k.json", "word", 1)
+    copy = lambda what, to, keep: spark.read.parquet(f"{path}/{what}").where(keep).write.parquet(f"{path}/../{to}/{what}")
+    spark.read.parquet(f"{path}/objects").where("kind = 'recipe' or n <> 1").write.partitionBy("kind").parquet(f"{path}/../lost/objects")
+    for what in ("recipes", "manifest"):
+        copy(what, "lost", "true")
+    for read in (chunk_store.read_index, chunk_store.reconstruct):
+        with pytest.raises(Exception, match="a chunk is missing"):
+            read(spark, f"{path}/../lost").collect()
+    spark.read.parquet(f"{path}/objects").write.partitionBy("kind").parquet(f"{path}/../short/objects")
+    copy("recipes", "short", "doc_id is null or doc_id <> 7")
+    copy("manifest", "short", "true")
+    for read in (chunk_store.read_index, chunk_store.reconstruct):
+        with pytest.raises(ValueError, match="don't match the manifest"):
+            read(spark, f"{path}/../short")
+
+
+def test_ids_that_do_not_fit_raise(spark):
+    with pytest.raises(Exception, match="does not fit in 1 bytes"):
+        chunk_store.write_store(frame(spark, documents()), f"{shared_dir(spark)}/store", "word_bpe_49k.json", "word", 1, id_bytes=1)
+
+
+def test_cuts_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(5)
+    streams = [rng.integers(0, 40000, n).astype("<u4") for n in (0, 1, 256, 257, 9000, 300, 5000)]
+    together = chunk_store.cut_points(streams)
+    assert together == [chunk_store.cut_points([s])[0] for s in streams]
+    assert [e[-1] if e else 0 for e in together] == [len(s) for s in streams]
+
+
 def test_edits_move_few_chunks():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 40000, 50000)
     edited = np.concatenate([ids[:20000], [7, 8, 9], ids[20000:]])
 
     def chunks(x):
-        ends = chunk_store.cut_points(x)
+        (ends,) = chunk_store.cut_points([x])
         return {x[a:b].tobytes() for a, b in zip([0, *ends], ends)}
 
     assert len(chunks(edited) - chunks(ids)) <= 3
