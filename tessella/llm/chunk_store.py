@@ -23,33 +23,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_dir
+from .common import mix64, shared_dir, small_batches
 from .tokens import encoder
 
+SLICE, LEAF = 256, 4096
+RECIPES = "doc_id bigint, n_tokens bigint, names binary, root binary, part int, place bigint"
+MANIFEST = "leaf bigint, root binary, part int, documents bigint, n_tokens bigint"
 OBJECTS = "kind string, key bigint, doc_id bigint, n bigint, name binary, payload binary"
 
 
-def cut_points(ids: np.ndarray, window: int = 16, bits: int = 10, least: int = 256, most: int = 4096) -> list[int]:
-    """Ends of the chunks: where the hash of the last `window` ids has `bits` low zero bits.
+def cut_points(streams: list[np.ndarray], window: int = 16, bits: int = 10, least: int = 256, most: int = 4096) -> list[list[int]]:
+    """Ends of the chunks of each stream: where the hash of the last `window` ids has `bits` low zero bits.
 
     The hash is a rolling sum of mixed ids, so an edit moves only the cuts near
-    it. Chunks hold at least `least` ids (but the last) and at most `most`.
+    it. Chunks hold at least `least` ids (but the last) and at most `most`. An
+    empty stream has no chunk. All streams are hashed at once; `window` is at most
+    `least`, so no cut looks back beyond its own stream.
     """
-    n = len(ids)
-    if n <= least:
-        return [n] if n else []
-    total = np.cumsum(mix64(ids.astype(np.uint64) + np.uint64(1)))
-    rolled = total.copy()
-    rolled[window:] -= total[:-window]
-    marks = np.flatnonzero((mix64(rolled) & np.uint64((1 << bits) - 1)) == 0) + 1
-    out, at = [], 0
-    while n - at > least:
-        k = np.searchsorted(marks, at + least)
-        end = min(int(marks[k]) if k < len(marks) else n, at + most, n)
-        out.append(end)
-        at = end
-    if at < n:
-        out.append(n)
+    if window > least:
+        raise ValueError("window is longer than the shortest chunk")
+    long = [s for s in streams if len(s) > least]
+    if long:
+        total = np.cumsum(mix64(np.concatenate(long).astype(np.uint64) + np.uint64(1)))
+        rolled = total.copy()
+        rolled[window:] -= total[:-window]
+        marks = np.flatnonzero((mix64(rolled) & np.uint64((1 << bits) - 1)) == 0) + 1
+    out, first = [], 0
+    for s in streams:
+        n, at, ends = len(s), 0, []
+        while n - at > least:
+            k = np.searchsorted(marks, first + at + least)
+            end = min(int(marks[k]) - first if k < len(marks) else n, at + most, n)
+            ends.append(end)
+            at = end
+        if at < n:
+            ends.append(n)
+        first += n if n > least else 0
+        out.append(ends)
     return out
 
 
@@ -100,47 +110,42 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: i
     """
     spark = docs.sparkSession
 
+    most = 1 << 8 * id_bytes
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, stored = encoder(tokenizer, kind), set()
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist(), end_id)):
-                ids = np.frombuffer(data, "<u4")
-                stream, at, names = ids.astype(f"<u{id_bytes}"), 0, []
-                for end in cut_points(ids):
-                    payload = stream[at:end].tobytes()
-                    name = hashlib.sha256(payload).digest()
-                    names.append(name)
-                    if name not in stored:  # within the task; across tasks the shuffle below decides
-                        stored.add(name)
-                        rows.append(("chunk", int.from_bytes(name[:8], "little", signed=True), None, end - at, name, payload))
-                    at = end
-                spread = int.from_bytes(hashlib.sha256(f"{doc}".encode() + names[0]).digest()[:8], "little", signed=True)
-                rows.append(("recipe", spread, doc, len(ids), merkle_root(names), b"".join(names)))
-            if len(stored) > 1_000_000:
-                stored.clear()
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["kind", "key", "doc_id", "n", "name", "payload"])
-
-    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted rows, each chunk once and every recipe."""
-        last = None
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for i, (what, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist())):
-                if what == "chunk":
-                    keep[i], last = name != last, name
-            yield batch.filter(pa.array(keep))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        for big in batches:
+            for lo in range(0, big.num_rows, SLICE):
+                batch = big.slice(lo, SLICE)
+                rows: list[tuple] = []
+                streams = [np.frombuffer(data, "<u4") for data in enc.encode(batch.column(1).to_pylist(), end_id)]
+                if max(int(s.max(initial=0)) for s in streams) >= most:
+                    raise ValueError(f"an id does not fit in {id_bytes} bytes")
+                for doc, ids, ends in zip(batch.column(0).to_pylist(), streams, cut_points(streams)):
+                    stream, at, names = ids.astype(f"<u{id_bytes}").tobytes(), 0, []
+                    for end in ends:
+                        payload = stream[at * id_bytes : end * id_bytes]
+                        name = hashlib.sha256(payload).digest()
+                        names.append(name)
+                        if name not in stored:  # within the task; across tasks the shuffle below decides
+                            stored.add(name)
+                            rows.append(("chunk", int.from_bytes(name[:8], "little", signed=True), None, end - at, name, payload))
+                        at = end
+                    spread = int.from_bytes(hashlib.sha256(f"{doc}".encode() + (names or [b""])[0]).digest()[:8], "little", signed=True)
+                    rows.append(("recipe", spread, doc, len(ids), merkle_root(names), b"".join(names)))
+                if len(stored) > 1_000_000:
+                    stored.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["kind", "key", "doc_id", "n", "name", "payload"])
 
     # One exchange carries payloads and recipes alike. A chunk arrives once a task, a recipe by
     # its own hash, so no key gathers more than a row a task.
     rows = docs.select("doc_id", "text").mapInArrow(run, OBJECTS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        rows.repartition(parts, "key").sortWithinPartitions("kind", "name").mapInArrow(unique, OBJECTS)
-        .drop("key").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
-    )
+    nth = F.row_number().over(Window.partitionBy("key", "kind", "name").orderBy("key"))
+    once = rows.repartition(parts, "key").withColumn("nth", nth).where("kind = 'recipe' or nth = 1")
+    with small_batches(spark):
+        once.drop("key", "nth").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     recipes = spark.read.schema("doc_id bigint, n bigint, name binary, payload binary, kind string").parquet(f"{path}/objects").where("kind = 'recipe'")
     (
         recipes.select("doc_id", F.col("n").alias("n_tokens"), F.col("payload").alias("names"), F.col("name").alias("root"))
@@ -149,18 +154,34 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: i
         .write.parquet(f"{path}/recipes")
     )
 
+    leaf_roots(spark, path).write.parquet(f"{path}/manifest")
+
+
+def leaf_roots(spark: SparkSession, path: str) -> DataFrame:
+    """leaf, root, part, documents and n_tokens of each leaf of recipes: a tree of bounded fan-out, leaves of 4,096 recipes, then parts."""
+
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = [merkle_root([x["root"] for x in sorted(r, key=lambda x: x["place"])]) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.binary())], names=["leaf", "root"])
 
-    # a tree of bounded fan-out: leaves of 4,096 recipes, then parts
-    leaf = spark.read.parquet(f"{path}/recipes").select(
-        "part", F.floor(F.col("place") / 4096).alias("leaf"), "n_tokens", F.struct("place", "root").alias("entry")
+    leaf = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select(
+        "part", F.floor(F.col("place") / LEAF).alias("leaf"), "n_tokens", F.struct("place", "root").alias("entry")
     )
     hashed = leaf.groupBy("leaf").agg(F.collect_list("entry").alias("entries")).mapInArrow(roots, "leaf bigint, root binary")
     sums = leaf.groupBy("part", "leaf").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("n_tokens"))
-    hashed.join(sums, "leaf").write.parquet(f"{path}/manifest")
+    return hashed.join(sums, "leaf")
+
+
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Work out every leaf's root and counts from the recipes; any difference from the manifest, or a leaf of only one of the two, raises."""
+    stored, found = (
+        df.select("leaf", F.struct("root", "part", "documents", "n_tokens").alias(name))
+        for df, name in ((spark.read.schema(MANIFEST).parquet(f"{path}/manifest"), "stored"), (leaf_roots(spark, path), "found"))
+    )
+    wrong = stored.join(found, "leaf", "full_outer").where(~F.col("stored").eqNullSafe(F.col("found"))).select("leaf").head(1)
+    if wrong:
+        raise ValueError(f"the recipes of leaf {wrong[0]['leaf']} don't match the manifest")
 
 
 def chunk_digests(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
@@ -183,7 +204,7 @@ def chunk_digests(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFram
 
 def _references(spark: SparkSession, path: str) -> DataFrame:
     """One row for each chunk of each document, in its place."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
     size = 32
     spots = F.sequence(F.lit(0), (F.length("names") / size - 1).cast("int"))
     return recipes.select("place", F.posexplode(F.transform(spots, lambda i: F.substring("names", i * size + 1, F.lit(size)))).alias("pos", "name"))
@@ -195,10 +216,12 @@ def read_index(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
     Every chunk's bytes are read and checked against their name; a document's
     checksum is that of its chunks joined in the recipe's order, worked out
     from the chunks' checksums, so no bytes are copied once per document. A
-    recipe that doesn't match its root, or lacks a chunk, raises.
+    recipe that doesn't match its root, or lacks a chunk, raises, as do recipes
+    that don't match the manifest.
     """
-    recipes = spark.read.parquet(f"{path}/recipes")
-    parts = spark.read.parquet(f"{path}/manifest").groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    verify_manifest(spark, path)
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    parts = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").groupBy("part").agg(F.sum("n_tokens").alias("total"))
     # as many rows as the recipes have files
     before = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     running = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("place")) - F.col("n_tokens")
@@ -211,6 +234,8 @@ def read_index(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
         for batch in batches:
             crcs = []
             for tokens, root, chunks in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                if any(c["n"] is None for c in chunks):
+                    raise ValueError("a chunk is missing")
                 if merkle_root([c["name"] for c in chunks]) != root or sum(c["n"] for c in chunks) != tokens:
                     raise ValueError("a recipe doesn't match its root")
                 crc = 0
@@ -223,14 +248,20 @@ def read_index(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
-    """doc_id and ids (u32, little-endian) of every document, from chunks and recipes."""
+    """doc_id and ids (u32, little-endian) of every document, from chunks and recipes; what doesn't match its name, root or the manifest raises."""
+    verify_manifest(spark, path)
     chunks = spark.read.schema("name binary, payload binary, kind string").parquet(f"{path}/objects").where("kind = 'chunk'")
-    parts = _references(spark, path).join(chunks.select("name", "payload"), "name")
+    parts = _references(spark, path).join(chunks.select("name", "payload"), "name", "left")
     whole = parts.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
-    rows = spark.read.parquet(f"{path}/recipes").select("place", "doc_id").join(whole, "place").select("doc_id", "parts")
+    rows = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("place", "doc_id", "root").join(whole, "place").select("doc_id", "parts", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for parts, root in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if any(p["payload"] is None for p in parts):
+                    raise ValueError("a chunk is missing")
+                if merkle_root([hashlib.sha256(p["payload"]).digest() for p in parts]) != root:
+                    raise ValueError("a recipe doesn't match its root")
             ids = [np.frombuffer(b"".join(p["payload"] for p in parts), f"<u{id_bytes}").astype("<u4").tobytes() for parts in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
