@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that separate words.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -25,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors of a cluster share.
 
-    Where the setting is absent (local tests) a temporary folder is set as the
-    checkpoint folder first. Folders made here are deleted when the driver ends.
+    Where the setting is absent on a local master (tests) a temporary folder is set as
+    the checkpoint folder first; on a cluster that raises, as no local folder is shared.
+    Folders made here are deleted when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -78,6 +82,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: So many ids, 8 bytes each, are broadcast at most.
+BROADCAST_IDS = 1_000_000
+
+
+def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """`docs` joined by doc_id with `ids`, a stored table of few columns; up to BROADCAST_IDS rows of it are broadcast, so that texts stay where they are."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def split_words(text: bytes) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of UTF-8 text: bytes.split() separates at exactly these six characters."""
     return text.split()

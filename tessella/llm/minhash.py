@@ -8,11 +8,10 @@
    centre, and only (member, centre) pairs are compared, on full sets.
 3. Linked pairs give components. A bucket that still holds several components
    isn't settled: a small one compares all pairs across components, and the
-   members of large ones go on to sharper buckets (two, then three bands at once),
-   each with a star of its own. The members of buckets that are still open after the
-   last level are joined exactly across components, by prefixes of their rarest
-   shingles. So a link is missed only if its two documents share no bucket of a
-   level.
+   members of large ones are joined exactly across components, by prefixes of
+   their rarest shingles, however many they are. So a link is missed only if its two
+   documents share no bucket (below one in ten million at a similarity of 0.8), or
+   their signatures agree in fewer than 60 of 100 bins.
 """
 
 from __future__ import annotations
@@ -25,15 +24,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_hashes, stage, word_hashes
+from .common import join_ids, mix64, shingle_hashes, stage, word_hashes
 
 BINS, ROWS = 128, 4
-#: (bands a bucket, buckets a document): documents of large unsettled buckets go on to sharper ones.
-LEVELS = ((1, 32), (2, 96), (3, 192))
 #: Shingles of more documents than HOT are dealt over SALTS keys.
 HOT, SALTS = 256, 16
-#: Buckets of up to so many documents compare all pairs that are not linked yet.
+#: Buckets of up to so many documents compare all pairs that are not linked yet, at most 3.5 a member.
 SMALL = 8
+#: A class of more than this share of all rows is hot; there are at most its inverse of them.
+HOT_SHARE = 0.001
 _ORDER = np.argsort(mix64(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(77)).reshape(BINS, BINS), axis=1)
 
 
@@ -85,20 +84,17 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary")
 
 
-def bucket_keys(level: tuple[int, int]) -> Column:
-    """The bucket names of a signature: `keys` choices of `bands` bands; one band each takes the bands in turn."""
-    bands, keys = level
-    band = lambda i: F.substring("sig", i * 2 * ROWS + 1, 2 * ROWS)
-    rng, all_bands = np.random.default_rng(bands), BINS // ROWS
-    chosen = [[i] for i in range(all_bands)] if bands == 1 else sorted({tuple(sorted(rng.choice(all_bands, bands, False).tolist())) for _ in range(keys)})
-    return F.array(*(F.xxhash64(F.lit(n), *(band(i) for i in c)) for n, c in enumerate(chosen)))
+def bucket_keys() -> Column:
+    """The bucket names of a signature, one for each band."""
+    return F.array(*(F.xxhash64(F.lit(i), F.substring("sig", i * 2 * ROWS + 1, 2 * ROWS)) for i in range(BINS // ROWS)))
 
 
 def plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """The pairs whose signatures agree in at least percent / 100 - 0.2 of the bins.
 
-    The share of equal bins has a standard error below 0.036 at 80 percent, so
-    a similar pair falls short by more than five of them.
+    The share of equal bins has a standard error of 0.036 at 80 percent, so
+    a similar pair falls short by more than five of them. `signed` may hold
+    several signatures of one doc_id; one that agrees is enough.
     """
     sigs = signed.select("doc_id", "sig")
     both = (
@@ -117,8 +113,8 @@ def plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
 def similar_pairs(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The (a, b) of `pairs` (distinct doc_ids) whose full sets have 100 * intersection >= percent * union."""
-    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(named, "id", "left_semi")
+    named = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
+    texts = join_ids(docs.select("doc_id", "text"), named, "left_semi").withColumnRenamed("doc_id", "id")
     both = (
         pairs.join(texts, pairs.a == texts.id).select("a", "b", F.col("text").alias("text_a"))
         .join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
@@ -142,12 +138,6 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The similar pairs of `pairs`, stored; texts are read only where a pair is plausible."""
-    likely = stage(plausible(pairs, signed, percent), "plausible")
-    return likely if likely.isEmpty() else stage(similar_pairs(likely, docs, k, percent), "links")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and component (smallest node reachable) of every node of `edges` (a, b).
 
@@ -173,8 +163,12 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     shingle in this order has, in both documents, at least as many shingles from it on as the least
     overlap that the lengths ask for. So the shorter document is indexed by a prefix for partners
     no shorter, the longer one looks up a prefix for all its partners, and both ends are checked.
+
+    A shingle of one component alone is left out. Of a hot shingle, the component that holds
+    most of its documents (near copies that are linked already) never meets itself: its
+    indexed documents meet lookups from outside only (`side` 1), all others meet every lookup.
     """
-    texts = docs.select("doc_id", "text").where("text is not null").distinct().join(members, "doc_id")
+    texts = join_ids(docs.select("doc_id", "text").where("text is not null"), members, "inner").distinct().select("doc_id", "text", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -187,24 +181,44 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([each(0), each(2), names, pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "component", "name", "n", "g"])
 
     grams = stage(texts.select("doc_id", "text", "component").mapInArrow(run, "id bigint, component bigint, name bigint, n bigint, g bigint"), "grams")
-    counted = grams.groupBy("g").agg(F.count("*").alias("df"))
+    counted = grams.groupBy("g", "component").agg(F.count("*").alias("n")).groupBy("g").agg(
+        F.sum("n").alias("df"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
     # one document's shingles come together, each counted once a document
-    ranked = grams.join(counted, "g").groupBy("id", "name", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("grams"))
-    placed = ranked.select("id", "component", "n", F.posexplode("grams").alias("at", "x")).select("id", "component", "n", "x.df", "x.g", (F.col("n") - F.col("at")).alias("left"))
-    probe = stage(placed.where((F.col("df") > 1) & (100 * F.col("left") >= percent * F.col("n"))), "prefixes")
-    hot = F.col("df") > HOT
+    ranked = grams.join(counted, "g").groupBy("id", "name", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g", "main", "parts"))).alias("grams"))
+    placed = ranked.select("id", "component", "n", F.posexplode("grams").alias("at", "x")).select("id", "component", "n", "x.*", (F.col("n") - F.col("at")).alias("left"))
+    probe = stage(placed.where((F.col("parts") > 1) & (100 * F.col("left") >= percent * F.col("n"))), "prefixes")
+    hot, outside = F.col("df") > HOT, F.col("component") != F.col("main")
     index = probe.where((100 + percent) * F.col("left") >= 2 * percent * F.col("n")).select(
         F.col("id").alias("i_id"), F.col("component").alias("i_component"), F.col("n").alias("i_n"), F.col("left").alias("i_left"), "g",
+        F.when(hot & ~outside, 1).otherwise(0).alias("side"),
         F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    probe = probe.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    probe = probe.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)).withColumn(
+        "side", F.explode(F.when(hot & outside, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     fits = (
         (F.col("i_component") != F.col("component")) & (F.col("i_n") <= F.col("n")) & (100 * F.col("i_n") >= percent * F.col("n"))
         & ((100 + percent) * F.least("i_left", "left") >= percent * (F.col("i_n") + F.col("n")))
     )
-    pairs = probe.join(index, ["g", "salt"]).where(fits)
+    pairs = probe.join(index, ["g", "salt", "side"]).where(fits)
     return pairs.select(F.greatest("id", "i_id").alias("a"), F.least("id", "i_id").alias("b")).distinct()
 
 
+def open_pairs(buckets: DataFrame, links: DataFrame, tested: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Pairs (a, b) not in `tested` of the buckets that `links` leave with several components, among them every link of their members; None without such buckets."""
+    found = components(links)
+    labelled = buckets.join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    left = stage(labelled.join(mixed, "bucket"), "open")
+    if left.isEmpty():
+        return None
+    small = left.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "component")).alias("m"))
+    x = small.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.doc_id > y.doc_id and x.component <> y.component")
+    new = plausible(stage(x.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs"), signed, percent)
+    members = stage(left.where(F.col("n") > SMALL).select("doc_id", "component").distinct(), "members")
+    if not members.isEmpty():
+        new = new.unionByName(prefix_pairs(members, docs, k, percent).join(tested, ["a", "b"], "left_anti")).distinct()
+    return stage(new, "pairs")
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text).
 
@@ -218,52 +232,45 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     """
     rows = stage(document_sets(docs, k), "sets")
     # one document stands for each set; copies never meet in a bucket
-    classes = stage(rows.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    classes = rows.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    classes = stage(classes, "classes")
+    signed = classes.select(F.col("rep").alias("doc_id"), "sig")
+    hot = max(HOT, HOT_SHARE * rows.count())
     # a doc_id with several sets belongs to several classes, which it links
-    same_id = rows.where("h1 is not null and doc_id is not null").join(classes, ["h1", "h2"]).where("doc_id <> rep").groupBy("doc_id").agg(
+    same_id = named_classes(rows.where("h1 is not null and doc_id is not null"), classes.select("h1", "h2", "rep", "n"), hot).where("doc_id <> rep").groupBy("doc_id").agg(
         F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    signed = rows.where("sig is not null").join(reps, "doc_id", "left_semi")
-    links, tested, active = same_id, None, signed
-    for level in LEVELS:
-        keyed = active.select("doc_id", F.explode(bucket_keys(level)).alias("bucket"))
-        centres = keyed.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-        buckets = stage(keyed.join(centres, "bucket"), "buckets")
-        pairs = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-        new = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(confirmed(new, signed, docs, k, percent))
-        tested = new if tested is None else tested.unionByName(new)
-        found = components(links)
-        labelled = buckets.join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = stage(labelled.join(mixed, "bucket"), "open")
-        small = open_.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "component")).alias("m"))
-        x = small.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.doc_id > y.doc_id and x.component <> y.component")
-        rest = x.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        rest = stage(rest, "pairs")
-        links = links.unionByName(confirmed(rest, signed, docs, k, percent))
-        tested = tested.unionByName(rest)
-        large = stage(open_.where(F.col("n") > SMALL).select("doc_id").distinct(), "large")
-        if large.isEmpty():
-            break
-        active = signed.join(large, "doc_id", "left_semi")
-    else:
-        found = components(links)
-        members = large.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-        rest = stage(prefix_pairs(stage(members, "members"), docs, k, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(stage(similar_pairs(rest, docs, k, percent), "links"))
+    keyed = signed.select("doc_id", F.explode(bucket_keys()).alias("bucket"))
+    centres = keyed.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    buckets = stage(keyed.join(centres, "bucket"), "buckets")
+    star = stage(buckets.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
+    likely = stage(plausible(star, signed, percent), "plausible")
+    links = same_id.unionByName(stage(similar_pairs(likely, docs, k, percent), "links"))
+    new = open_pairs(buckets, links, star, signed, docs, k, percent)
+    if new is not None:
+        links = links.unionByName(stage(similar_pairs(new, docs, k, percent), "links"))
     found = components(links)
-    rep_of = classes.join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    joined = rows.select("doc_id", "n_shingles", "h1", "h2").join(rep_of, ["h1", "h2"], "left")
+    rep_of = classes.join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"), "n")
+    joined = named_classes(rows, rep_of, hot)
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.isnull(component)).alias("kept"))
 
 
+def named_classes(rows: DataFrame, classes: DataFrame, hot: float) -> DataFrame:
+    """`rows` left-joined with `classes` (h1, h2, n, ...); classes of more than `hot` rows, of which there are few, are broadcast, so their rows stay where they are."""
+    names, few = ["h1", "h2"], F.broadcast(classes.where(F.col("n") > hot).drop("n"))
+    rows = rows.select("doc_id", "n_shingles", *names)
+    return rows.join(few, names).unionByName(rows.join(few.select(*names), names, "left_anti").join(classes.where(F.col("n") <= hot).drop("n"), names, "left"))
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that near_duplicates keeps, one of each component, with all their columns.
 
-    Of rows with one doc_id one stays. A row with a null doc_id cannot be named and stays.
+    An empty or null text is a component of its own and stays. Rows that share a doc_id
+    are one document: they stay or go together, but of rows with equal doc_id and text one
+    stays, so no different text is lost. A row with a null doc_id cannot be named and stays.
     """
-    kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    gone = stage(near_duplicates(docs, k, percent).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    rest = join_ids(docs, gone, "left_anti")
+    name = F.xxhash64("text")
+    twice = stage(docs.where("doc_id is not null").groupBy("doc_id", name.alias("name")).agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct(), "twice")
+    return join_ids(rest, twice, "left_anti").unionByName(join_ids(rest, twice, "left_semi").dropDuplicates(["doc_id", "text"]))

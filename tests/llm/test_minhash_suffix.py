@@ -30,14 +30,14 @@ def brute_components(rows, k, percent):
             i = parent[i]
         return i
 
-    where = defaultdict(list)
-    for i, s in enumerate(sets):
-        for x in s:
-            where[x].append(i)
-    common = Counter((a, b) for members in where.values() if len(members) < 400 for n, a in enumerate(members) for b in members[n + 1 :])
-    for (a, b), n in common.items():
-        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
-            parent[root(a)] = root(b)
+    order = sorted(range(len(rows)), key=lambda i: len(sets[i]))
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            if 100 * len(sets[a]) < percent * len(sets[b]):
+                break  # all further ones are longer still
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                parent[root(a)] = root(b)
     by_id = defaultdict(list)
     for i, (doc, _) in enumerate(rows):
         if doc is not None:
