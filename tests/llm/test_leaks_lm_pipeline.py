@@ -86,58 +86,56 @@ def test_block_max_wand_retrieves_all():
 def test_losses_equal_plain_counts(spark):
     rows = documents()
     labels = [(i, i % 2, 0) for i in range(40)] + [(4, 1, 1), (None, 1, 0), (5, None, None)]
-    got = lm_score.cross_entropy_difference(frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), vocab=20).collect()
     good = {d for d, q, _ in labels if q == 1} - {4, None}
-    chars = Counter(c for _, t in rows for c in t or "")
-    code = {c: i + 2 for i, c in enumerate(sorted(chars, key=lambda c: (-chars[c], ord(c)))[:20])}
+    split = lambda t: [w.decode("utf-8", "surrogatepass") for w in (t or "").encode("utf-8", "surrogatepass").lower().split()]
 
-    def grams(text):
-        codes = [code.get(c, 1) for c in text or ""]
-        return list(zip([0, 0, *codes], [0, *codes], codes))
-
-    def model(texts):
-        counts = [Counter(), Counter(), Counter()]
+    def counts(texts):
+        c = Counter()
         for t in texts:
-            for g in grams(t):
-                for k in range(3):
-                    counts[k][g[2 - k :]] += 1
-        below = [Counter(), Counter(), Counter()]
-        kinds = [Counter(), Counter(), Counter()]
-        for k in range(3):
-            for g, n in counts[k].items():
-                below[k][g[:-1]] += n
-                kinds[k][g[:-1]] += 1
-
-        def p(g):
-            out = 1 / 22
-            for k in range(3):
-                h = g[2 - k :]
-                n, t = below[k][h[:-1]], kinds[k][h[:-1]]
-                if n:
-                    out = (counts[k][h] + t * out) / (n + t)
-            return out
-
-        return p
-
-    target, background = model([t for d, t in rows if d in good]), model([t for _, t in rows])
+            w = split(t)
+            c.update(w)
+            c.update(zip(["<start>", *w], w))
+            if w:
+                c["<start>"] += 1
+        return c, sum(len(split(t)) for t in texts)
+
+    every = counts([t for _, t in rows])[1]
+    n_good = counts([t for d, t in rows if d in good])[1]
     want = []
-    for doc, text in rows:
-        g = grams(text)
-        a, b = ((-np.mean([np.log(p(x)) for x in g])) if g else None for p in (target, background))
-        want.append((doc, len(g), a, b))
-    close = lambda x, y: x is None and y is None or abs(x - y) < 1e-4
-    got = sorted(got, key=lambda r: str((r["doc_id"], r["n_tokens"], round(r["background_loss"] or 0, 3))))
-    want.sort(key=lambda r: str((r[0], r[1], round(r[3] or 0, 3))))
-    for r, w in zip(got, want, strict=True):
-        assert (r["doc_id"], r["n_tokens"]) == w[:2] and close(r["target_loss"], w[2]) and close(r["background_loss"], w[3])
-        assert r["score"] is None or abs(r["score"] - (r["target_loss"] - r["background_loss"])) < 1e-9
+    for i, (doc, text) in enumerate(rows):
+        w, means = split(text), []
+        for member in (True, False):  # the target, the background
+            c, n = counts([t for k, (d, t) in enumerate(rows) if (d in good) is member and k != i])
+            whole = n_good if member else every - n_good
+            s = min(1.0, (every - whole) / whole)
+            total = 0.0
+            for v, x in zip(["<start>", *w], w):
+                one = (s * c[x] + 2.0 / every) / (s * n + 2.0)
+                total -= np.log((s * c[v, x] + 2.0 * one) / (s * c[v] + 2.0))
+            means.append(total / len(w) if w else None)
+        want.append((doc, len(w), *means))
+    close = lambda x, y: x is None and y is None or abs(x - y) < 1e-9
+    order = lambda d, n, b: (d is None, d or 0, n, round(b or 0, 6))
+    want.sort(key=lambda r: order(r[0], r[1], r[3]))
+    label_rows = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    for size in (1 << 24, 1 << 14):  # one block, and several with several ranges
+        got = lm_score.cross_entropy_difference(frame(spark, rows), label_rows, block_bytes=size).collect()
+        got.sort(key=lambda r: order(r["doc_id"], r["n_tokens"], r["background_loss"]))
+        for r, w in zip(got, want, strict=True):
+            assert (r["doc_id"], r["n_tokens"]) == w[:2] and close(r["target_loss"], w[2]) and close(r["background_loss"], w[3])
+            assert r["score"] is None or abs(r["score"] - (r["target_loss"] - r["background_loss"])) < 1e-9
     empty = frame(spark, rows).limit(0)
-    assert lm_score.cross_entropy_difference(empty, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).count() == 0
+    assert lm_score.cross_entropy_difference(empty, label_rows).count() == 0
+    none = lm_score.cross_entropy_difference(frame(spark, rows), label_rows.limit(0)).collect()
+    assert len(none) == len(rows) and all(r["score"] is None or np.isfinite(r["score"]) for r in none)
+    some = lm_score.good_ids(spark.range(5000).selectExpr("id as doc_id", "1 as quality", "0 as toxic"), 500).count()
+    assert 400 < some < 600
 
 
 def test_score_tells_the_target_from_the_rest(spark):
     rng = random.Random(1)
-    rows = [(i, " ".join(words(rng, 60))) for i in range(60)] + [(100 + i, "".join(rng.choice("XYZ!?# ") for _ in range(300))) for i in range(60)]
+    one, other = words(rng, 150), ["".join(rng.choice("XYZ!?#") for _ in range(6)) for _ in range(150)]
+    rows = [(i, " ".join(rng.choices(one, k=80))) for i in range(60)] + [(100 + i, " ".join(rng.choices(other, k=80))) for i in range(60)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(100 + i, 0, 0) for i in range(30)], "doc_id bigint, quality int, toxic int")
     s = {r["doc_id"]: r["score"] for r in lm_score.cross_entropy_difference(frame(spark, rows), labels).collect()}
     assert max(s[i] for i in range(30, 60)) < min(s[i] for i in range(130, 160))
