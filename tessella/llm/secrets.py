@@ -1,9 +1,13 @@
 """Secret scans: base patterns, and a character convolutional network over further candidates.
 
-The network reads a candidate and its surroundings, is trained in numpy on
-labelled findings (written out by `labelled_findings` from a fixed seed, in
-surroundings taken from the corpus), is calibrated on held-out ones, and its
-threshold is the highest that keeps a stated recall there.
+A candidate is what base spans leave of a run of key characters, whatever its
+length. The network slides over it in windows and sees each with the characters
+before and behind the candidate; the most likely window decides. It is trained in
+numpy on labelled findings: secrets and harmless runs of usual shapes from a fixed
+seed, and values that the base patterns find in a bounded sample of the corpus
+against slugs of its words, all in surroundings taken from the corpus. It is
+calibrated on held-out ones, and its threshold is the highest that keeps a stated
+recall there.
 """
 
 from __future__ import annotations
@@ -24,10 +28,14 @@ KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so a shorter one never hides a longer
-#: Further candidates: runs of key characters that mix letters and digits.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+#: Further candidates: runs of key characters, of NAMED characters where their surroundings name a key, else of LEAST.
+_RUN = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+_NAMES_KEY = re.compile(r"(?i)key|secret|token|pass|pwd|auth|bearer|cred|hook")
+LEAST, NAMED = 20, 12
 _KEYWORDS = ("passw", "secret", "token", "api")
 BEFORE, BODY, AFTER = 24, 48, 8
+STRIDE = 24
+_PART = re.compile(r"(?<=[/.=_-])[A-Za-z0-9+]{16,}")
 _CLASSES = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=.-:\"' \n@"
 
 
@@ -44,27 +52,42 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Runs that may be secrets and touch no base span."""
+    """The parts of runs outside base spans that may be secrets: of digits and letters, or of both cases."""
     out = []
-    for m in _CANDIDATE.finditer(text):
-        run = m.group()
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < m.end() and m.start() < e for s, e, _ in base):
-            out.append((m.start(), m.end()))
+    for m in _RUN.finditer(text):
+        at, parts = m.start(), []
+        for s, e, _ in base:
+            if s < m.end() and at < e:
+                parts.append((at, s))
+                at = max(at, e)
+        for s, e in [*parts, (at, m.end())]:
+            if e - s >= NAMED and (e - s >= LEAST or _NAMES_KEY.search(text, max(0, s - BEFORE), s)):
+                run = text[s:e]
+                letters = run.lower() != run.upper()
+                if letters and (run.lower() != run != run.upper() or any(c.isdigit() for c in run)):
+                    out.append((s, e))
     return out
 
 
+def windows(text: str, start: int, end: int) -> list[int]:
+    """Where the network's windows over a candidate begin: every STRIDE, the last that fits, and behind separators."""
+    last = max(start, end - BODY)
+    return sorted({*range(start, last, STRIDE), last, *(m.start() for m in _PART.finditer(text, start, end) if m.start() > start)})
+
+
 _CODE = np.full(0x110000, len(_CLASSES) + 1, np.uint8)
 for _i, _c in enumerate(_CLASSES):
     _CODE[ord(_c)] = _i + 1
 N_CODES = len(_CLASSES) + 2
 
 
-def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the characters before, in and behind a candidate, at fixed places; 0 fills up."""
+def encode(text: str, start: int, end: int, at: int | None = None) -> np.ndarray:
+    """Codes of a window of a candidate (from `at`) between the characters before and behind the candidate, at fixed places; 0 fills up."""
+    at = start if at is None else at
     out = np.zeros(BEFORE + BODY + AFTER, np.uint8)
-    before, body, after = text[max(0, start - BEFORE) : start], text[start : min(end, start + BODY)], text[end : end + AFTER]
-    for at, part in ((BEFORE - len(before), before), (BEFORE, body), (BEFORE + BODY, after)):
-        out[at : at + len(part)] = _CODE[[ord(c) for c in part]] if part else 0
+    before, body, after = text[max(0, start - BEFORE) : start], text[at : min(end, at + BODY)], text[end : end + AFTER]
+    for place, part in ((BEFORE - len(before), before), (BEFORE, body), (BEFORE + BODY, after)):
+        out[place : place + len(part)] = _CODE[[ord(c) for c in part]] if part else 0
     return out
 
 
@@ -83,11 +106,11 @@ class CharNet:
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         width = len(self.filters) // self.embed.shape[1]
         e = self.embed[x]
-        windows = np.concatenate([e[:, i : e.shape[1] - width + 1 + i] for i in range(width)], 2)
-        conv = windows @ self.filters + self.bias
+        seen = np.concatenate([e[:, i : e.shape[1] - width + 1 + i] for i in range(width)], 2)
+        conv = seen @ self.filters + self.bias
         at = conv.argmax(1)
         top = np.maximum(np.take_along_axis(conv, at[:, None], 1)[:, 0], 0)
-        return top @ self.out + self.out_bias, top, at, windows
+        return top @ self.out + self.out_bias, top, at, seen
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         a, b = self.scale
@@ -104,10 +127,10 @@ def fit(x: np.ndarray, y: np.ndarray, recall: float = 0.95, filters: int = 24, w
     step = 0
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(len(ty)), max(1, len(ty) // 64)):
-            logit, top, at, windows = net.forward(tx[rows])
+            logit, top, at, seen = net.forward(tx[rows])
             d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - ty[rows]) / len(rows)
             dtop = d[:, None] * net.out * (top > 0)
-            chosen = np.take_along_axis(windows, at[:, :, None], 1)
+            chosen = np.take_along_axis(seen, at[:, :, None], 1)
             grads = {"out": top.T @ d, "out_bias": d.sum(), "bias": dtop.sum(0), "filters": np.einsum("nfw,nf->wf", chosen, dtop)}
             dwin = (dtop[:, :, None] * net.filters.T[None]).reshape(len(rows), -1, width, dim)
             places = tx[rows][np.arange(len(rows))[:, None, None], at[:, :, None] + np.arange(width)]
@@ -131,9 +154,11 @@ def fit(x: np.ndarray, y: np.ndarray, recall: float = 0.95, filters: int = 24, w
     return net
 
 
-def labelled_findings(surroundings: list[str], n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): secrets of usual shapes (1) and harmless runs that look like them (0), half each."""
-    rng = random.Random(seed)
+Finding = tuple[str, int, int, int, int]
+
+
+def _shapes(rng: random.Random) -> tuple[list, list]:
+    """Makers of secrets and of harmless runs of usual shapes."""
     alnum, letters = string.ascii_letters + string.digits, string.ascii_lowercase
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     word = lambda: pick(letters, rng.randint(3, 9))
@@ -141,53 +166,96 @@ def labelled_findings(surroundings: list[str], n: int = 3000, seed: int = 11) ->
         lambda: pick(alnum, rng.randint(24, 64)), lambda: pick(alnum + "+/", rng.randint(28, 60)) + rng.choice(["", "=", "=="]),
         lambda: pick("0123456789ABCDEF", rng.choice([32, 40, 64])), lambda: rng.choice(["sk_live_", "sk-", "pk_", "key-"]) + pick(alnum, rng.randint(24, 40)),
         lambda: rng.choice(["ghp_", "gho_", "glpat-", "xoxb-"]) + pick(alnum, 36), lambda: "eyJ" + pick(alnum + "_-", 20) + ".eyJ" + pick(alnum + "_-", 30) + "." + pick(alnum + "_-", 30),
-        lambda: pick(alnum + "_-", rng.randint(32, 44)),
+        lambda: pick(alnum + "_-", rng.randint(32, 44)), lambda: pick(alnum, rng.randint(14, 20)), lambda: pick(alnum, rng.randint(80, 160)),
+        lambda: "AIza" + pick(alnum + "_-", 35), lambda: "-".join(pick("0123456789ABCDEF", k) for k in (8, 4, 4, 4, 12)),
     ]
     harmless = [
-        lambda: "/".join(word() for _ in range(4)) + f"/{rng.randint(1, 9999)}", lambda: "-".join(word() for _ in range(4)) + f"-{rng.randint(1, 2030)}",
+        lambda: "/".join(word() for _ in range(rng.randint(4, 14))) + f"/{rng.randint(1, 9999)}", lambda: "-".join(word() for _ in range(rng.randint(4, 14))) + f"-{rng.randint(1, 2030)}",
         lambda: "_".join(word() for _ in range(4)) + f"_v{rng.randint(1, 9)}", lambda: f"www.{word()}{word()}.com/{word()}{rng.randint(1, 99)}",
         lambda: pick(letters, rng.randint(20, 40)) + str(rng.randint(0, 99)), lambda: f"{rng.randint(1990, 2030)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}-00-00.000Z",
         lambda: word() + "".join(w.capitalize() for w in (word(), word(), word())) + str(rng.randint(1, 9)), lambda: "=" * rng.randint(20, 40) + word() + "1",
         lambda: f"{word()}.{word()}{rng.randint(1, 99)}.{word()}.example.org", lambda: ".".join(str(rng.randint(0, 99999)) for _ in range(5)) + "v" + str(rng.randint(1, 9)),
-        lambda: pick(letters, 3) + f"-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}-" + word() + word(),
+        lambda: pick(letters, 3) + f"-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}-" + word() + word(), lambda: "".join(w.capitalize() for w in (word(), word(), word(), word())),
+        lambda: rng.choice(["token", "key", "secret"]) + "_" + "_".join(word() for _ in range(3)), lambda: word().upper() + "-" + word().upper() + f"-{rng.randint(10, 999)}" + word(),
     ]
+    return secret, harmless
+
+
+def labelled_findings(surroundings: list[str], n: int = 3000, seed: int = 11, without: tuple[int, ...] = (), only: tuple[int, ...] = ()) -> list[Finding]:
+    """(text, start, end, window, label) of secrets (1) and harmless runs that look like them (0) of usual shapes, half each.
+
+    `without` leaves out secrets of the shapes so numbered, `only` makes no others. A third of the secrets stand late in a longer run.
+    """
+    rng = random.Random(seed)
+    secret, harmless = _shapes(rng)
+    secret = [f for i, f in enumerate(secret) if i not in without and (not only or i in only)]
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(3, 9)))
     out = []
     for i in range(n):
         near = surroundings[i % len(surroundings)] if surroundings else "the value is here for all to see and "
         cut = rng.randint(0, max(0, len(near) - 40))
         before, after = near[cut : cut + 30], near[cut + 30 : cut + 40]
         label = i % 2
-        run = rng.choice(secret if label else harmless)()
-        lead = rng.choice([" ", " ", "\n", '"', ": ", "= ", "key ", "bearer "] if label else [" ", " ", "\n", '"', ": ", "see "])
+        run, late = rng.choice(secret if label else harmless)(), 0
+        lead = rng.choice([" ", " ", "\n", '"', ": ", "= ", " key ", " bearer "] if label else [" ", " ", "\n", '"', ": ", " see ", " key "])
+        if label and rng.random() < 1 / 3:
+            path = "/".join(word() for _ in range(rng.randint(2, 8))) + "/"
+            run, late = path + run, len(path) - rng.choice([0, 0, rng.randint(0, min(24, len(path)))])
         start = len(before) + len(lead)
-        out.append((before + lead + run + rng.choice([" ", "\n", '"', ". "]) + after, start, start + len(run), label))
+        end = start + len(run)
+        if not label:
+            late = rng.choice([0, rng.randint(0, max(0, len(run) - BODY))])
+        out.append((before + lead + run + rng.choice([" ", "\n", '"', ". "]) + after, start, end, start + late, label))
+    return out
+
+
+def corpus_findings(near: list[str], seed: int = 13) -> list[Finding]:
+    """(text, start, end, window, label) of the values in base spans of the texts (1), and of as many slugs of their words (0)."""
+    rng, out = random.Random(seed), []
+    vocabulary = sorted({w for text in near for w in re.findall(r"[a-z]{3,12}", text)})
+    for text in near:
+        for s, e, kind in base_spans(text):
+            value = _ASSIGN.match(text, s) if kind == "assign" else None
+            s = value.start(2) if value else s
+            if e - s >= NAMED and re.search(r"\d", text[s:e]):
+                out.append((text, s, e, s, 1))
+                if vocabulary:
+                    slug = rng.choice("-_/.").join(rng.choice(vocabulary) for _ in range(rng.randint(3, 8))) + rng.choice(["", str(rng.randint(1, 999))])
+                    out.append((text[:s] + slug + text[e:], s, s + len(slug), s, 0))
     return out
 
 
-def train(docs: DataFrame, sample: int = 200, recall: float = 0.95) -> CharNet:
-    """Fit the network; at most `sample` documents (those of least hashed id) lend the surroundings of the findings."""
-    rows = docs.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, 400).alias("near")).orderBy("h", "doc_id", "near").limit(sample).collect()
-    near = [r["near"] for r in rows if r["near"] and len(r["near"]) >= 40]
-    found = labelled_findings(near)
-    x = np.stack([encode(t, s, e) for t, s, e, _ in found])
-    return fit(x, np.array([label for *_, label in found], float), recall)
+def train(docs: DataFrame, sample: int = 200, recall: float = 0.95, chars: int = 400) -> CharNet:
+    """Fit the network; about `sample` documents of low hashed id lend `chars` characters each, from a hashed place, to the findings.
+
+    Ids are cut by a range of the hash first, so about four times `sample` rows reach the driver however large the corpus is.
+    """
+    named = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
+    share = min(1.0, 4 * sample / max(1, docs.count()))
+    place = F.pmod(F.col("h"), F.greatest(F.length("text") - F.lit(chars), F.lit(1))) + 1
+    rows = named.where((F.col("h") <= int((1 << 40) * share)) & (F.length("text") >= 40)).select("h", "doc_id", F.col("text").substr(place.cast("int"), F.lit(chars)).alias("near"))
+    near = [r["near"] for r in rows.distinct().orderBy("h", "doc_id", "near").limit(sample).collect()]
+    found = labelled_findings(near) + corpus_findings(near)
+    return fit(np.stack([encode(t, s, e, at) for t, s, e, at, _ in found]), np.array([label for *_, label in found], float), recall)
 
 
 def find_spans(texts: list[str | None], net: CharNet | None) -> list[list[tuple[int, int, str]]]:
-    """All spans of each text, base and model, by start, then kind; every candidate of the batch is scored at once."""
+    """All spans of each text, base and model, by start, then kind; a candidate is a span as a whole if any of its windows is likely."""
     out, places, rows = [], [], []
     for i, text in enumerate(texts):
         text = text or ""
         base = base_spans(text)
         out.append(base)
         for s, e in candidates(text, base) if net else ():
-            places.append((i, s, e))
-            rows.append(encode(text, s, e))
+            for at in windows(text, s, e):
+                places.append((i, s, e))
+                rows.append((text, s, e, at))
+    hits = set()
     for lo in range(0, len(rows), 2048):
-        p = net.probability(np.stack(rows[lo : lo + 2048]))
-        for (i, s, e), hit in zip(places[lo : lo + 2048], p >= net.threshold):
-            if hit:
-                out[i].append((s, e, "model"))
+        p = net.probability(np.stack([encode(*row) for row in rows[lo : lo + 2048]]))
+        hits.update(place for place, hit in zip(places[lo : lo + 2048], p >= net.threshold) if hit)
+    for i, s, e in hits:
+        out[i].append((s, e, "model"))
     return [sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))) for spans in out]
 
 
@@ -217,7 +285,10 @@ def scan_secrets(docs: DataFrame, net: CharNet | None = None) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, net: CharNet | None = None, mark: str = "[secret]") -> DataFrame:
-    """`docs` with each run of overlapping spans in text replaced by `mark`; all columns and rows stay, n_chars (if there) follows the text."""
+    """`docs` with each run of overlapping spans in text replaced by `mark`; all columns and rows stay, n_chars (if there) follows the text.
+
+    A null or empty text stays as it is; repeated rows are treated alike and all stay, as do rows with a null doc_id.
+    """
     net = net or train(docs)
 
     at, sized = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None

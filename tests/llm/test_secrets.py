@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 
 import numpy as np
 
@@ -47,9 +49,47 @@ def test_network_on_held_out_findings():
     assert abs(p.mean() - y.mean()) < 0.1  # calibrated
 
 
+PROSE = ["some ordinary words of prose that go on for a while, line by line"]
+
+
+def _coded(found):
+    return np.stack([secrets.encode(t, s, e, at) for t, s, e, at, _ in found]), np.array([y for *_, y in found], float)
+
+
 def _findings(seed):
-    found = secrets.labelled_findings(["some ordinary words of prose that go on for a while, line by line"], seed=seed)
-    return np.stack([secrets.encode(t, s, e) for t, s, e, _ in found]), np.array([y for *_, y in found], float)
+    return _coded(secrets.labelled_findings(PROSE, seed=seed))
+
+
+def test_network_on_shapes_it_has_not_seen():
+    held = (3, 4, 9)  # prefixed keys
+    net = secrets.fit(*_coded(secrets.labelled_findings(PROSE, without=held)))
+    x, y = _coded(secrets.labelled_findings(PROSE, seed=5, only=held))
+    hit = net.probability(x) >= net.threshold
+    assert hit[y == 1].mean() >= 0.8 and hit[y == 0].mean() <= 0.1
+
+
+def test_whole_candidates_are_read():
+    net = secrets.fit(*_findings(1))
+    rng = random.Random(3)
+    pick = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    late = ["//hooks.example.com/services/T00000000/B00000000/" + pick(24) for _ in range(40)] + ["/".join(["word"] * 40) + "/" + pick(40) for _ in range(40)]
+    token = [pick(90) + "0123456789abcdef01234567" + pick(90) for _ in range(40)]  # with a base span inside
+    short = ["the api hook " + pick(14) for _ in range(40)]
+    caught = lambda texts: np.mean([any(k == "model" for *_, k in s) for s in secrets.find_spans(texts, net)])
+    assert caught(late) >= 0.9 and caught(token) >= 0.9 and caught(short) >= 0.6
+    for text, spans in zip(token, secrets.find_spans(token, net)):
+        if sum(k == "model" for *_, k in spans) == 2:  # both parts around the base span
+            assert {i for s, e, _ in spans for i in range(s, e)} == set(range(len(text)))
+    plain = ["/".join(["plain", "words", "of", "a", "path"] * 6), "a-slug-of-many-quite-common-words-2024", "VeryLongCamelCaseNameOfThings"]
+    assert all(s == [] for s in secrets.find_spans(plain, net))
+    assert secrets.windows("x" * 30, 0, 30) == [0] and max(secrets.windows("x" * 1000, 0, 1000)) == 952
+
+
+def test_sample_for_training_is_bounded(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "repeat('word and more ', 50) as text")
+    net = secrets.train(df, sample=20)
+    assert 0 < net.threshold < 1
+    assert secrets.train(df.limit(0)).threshold > 0
 
 
 def test_redaction_keeps_rows_columns_and_other_text(spark):
