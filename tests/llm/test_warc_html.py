@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 
 from tessella.llm import html_text, warc
 from tessella.llm.common import shared_dir
@@ -81,3 +82,58 @@ def test_repeated_text_of_a_host_goes_and_articles_stay(spark):
         assert got[i] == story(i)
     assert got[10] == got[11] == "an article that stands here twice with the very same long words in it"
     assert got[20].startswith("menu0 menu1") and got[None] == "alone"
+
+
+def brute_texts(rows, least=8):
+    """Every 8 tokens of a page without an article are looked up in all other pages of its host."""
+    parsed = []
+    for page_id, url, page in rows:
+        found = html_text.blocks(page)
+        rest = [t for r, t in found if r == html_text.UNDECIDED]
+        open_ = not any(r == html_text.ARTICLE for r, _ in found)
+        stream = " ".join(rest + [t for r, t in found if r == html_text.DROPPED]).split()
+        host = (url or "").split("//")[-1].split("/")[0].removeprefix("www.")
+        parsed.append((page_id, host, open_, rest if open_ else None, stream, [t for r, t in found if r == html_text.ARTICLE]))
+    out = []
+    for page_id, host, open_, rest, stream, main in parsed:
+        if not open_:
+            out.append((page_id, "\n\n".join(main)))
+            continue
+        have = set()
+        for _, other, _, content, tokens, _ in parsed:
+            if other == host and content != rest:
+                have |= {tuple(tokens[i : i + least]) for i in range(len(tokens) - least + 1)}
+        gone = {j for i in range(len(stream) - least + 1) if tuple(stream[i : i + least]) in have for j in range(i, i + least)}
+        kept, at, half = [], 0, sum(len(b.split()) for b in rest) / 2
+        for block in rest:
+            words = block.split()
+            left = words if len(words) > half else [w for k, w in enumerate(words, at) if k not in gone]
+            at += len(words)
+            kept += [" ".join(left)] if left else []
+        out.append((page_id, "\n\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def test_repeats_of_a_host_equal_brute_force(spark):
+    rng = random.Random(4)
+    sentence = lambda: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(3, 20)))
+    shared = [sentence() for _ in range(12)]
+    rows = []
+    for i in range(150):
+        parts = [rng.choice(shared) if rng.random() < 0.5 else sentence() for _ in range(rng.randint(1, 7))]
+        body = "".join(f"<div>{p}</div>" if rng.random() < 0.8 else f"<nav>{p}</nav>" for p in parts)
+        if rng.random() < 0.2:
+            body = f"<article><p>{sentence()}</p></article>" + body
+        rows.append((i, f"https://{rng.choice(['www.', ''])}h{rng.choice((0, 0, 0, 1, 2))}.example/{i}", body))
+    rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(20)]  # copies count once
+    rows += [(300, rows[0][1], None), (None, rows[1][1], ""), (5, rows[5][1], rows[5][2]), (301, rows[2][1], "<div>" + "very long page of words " * 4000 + "</div><div>" + shared[0] + "</div>")]
+    got = html_text.extract_text(pages(spark, rows)).collect()
+    assert sorted(((r["page_id"], r["text"]) for r in got), key=str) == brute_texts(rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_copies_keep_their_text(spark):
+    body = "<div>one main text that stands on two addresses of this host and is equal there</div>"
+    rows = [(i, f"http://h.example/{i}", body) for i in range(2)]
+    got = html_text.extract_text(pages(spark, rows)).collect()
+    assert {r["text"] for r in got} == {body[5:-6]}
