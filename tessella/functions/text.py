@@ -15,6 +15,12 @@ def title_key(title: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}\p{M}]+", " ")), F.lit(""))
 
 
+def folded_words(text: Column) -> Column:
+    """Tags stripped, lower case, Latin marks folded, runs of anything but letters and digits as one space."""
+    plain = F.translate(F.lower(F.regexp_replace(text, "<[^>]*>", " ")), MARKED, PLAIN)
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+
+
 def hard_key(value: Column) -> Column:
     """Comparison key: Latin marks folded, apostrophes deleted, punctuation as space, no leading "the"."""
     folded = F.translate(F.lower(F.coalesce(value, F.lit(""))), MARKED, PLAIN)
