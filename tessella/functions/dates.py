@@ -6,6 +6,63 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+#: Zones that calendar texts name; any other name counts as UTC.
+ZONES = ("America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "Europe/London", "Europe/Paris", "Europe/Berlin", "UTC")
+
+
+def month_number(name: Column) -> Column:
+    """1 to 12 of an English month name, by its first three letters in any case; null for others."""
+    at = F.lit(0)
+    three = F.lower(F.substring(name, 1, 3))
+    for i, m in reversed(list(enumerate(MONTHS.lower().split("|"), 1))):
+        at = F.when(three == m[:3], i).otherwise(at)
+    return F.nullif(at, F.lit(0))
+
+
+def utc_stamp(raw: Column, zone: Column) -> Column:
+    """A calendar stamp (yyyyMMdd, yyyyMMddTHHmmss with or without Z, in `zone`) as ISO text: a day stays a day, an hour goes to UTC; null if unreadable."""
+    day = F.try_to_date(raw, "yyyyMMdd")
+    instant = F.try_to_timestamp(F.rtrim(raw, F.lit("Z")), F.lit("yyyyMMdd'T'HHmmss"))
+    at = F.when(raw.endswith("Z") | ~F.coalesce(zone.isin(*ZONES), F.lit(False)), instant).otherwise(F.to_utc_timestamp(instant, F.when(zone.isin(*ZONES), zone).otherwise("UTC")))
+    return F.when(raw.rlike("^[0-9]{8}$"), F.date_format(day, "yyyy-MM-dd")).when(raw.rlike("^[0-9]{8}T[0-9]{6}Z?$"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def stated_night(raw: Column, zone: str) -> Column:
+    """struct night, reason of a printed moment: a bare date as it is, an instant with an offset in `zone`, a naive one by its own date."""
+    bare, naive, aware = (raw.rlike(p) for p in (r"^\d{4}-\d\d-\d\d$", r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d)?$", r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d)?(Z|[+-]\d\d:\d\d)$"))
+    own = F.try_to_date(F.substring(raw, 1, 10), "yyyy-MM-dd")
+    night = F.when(bare | naive, own).when(aware, F.to_date(F.from_utc_timestamp(F.try_to_timestamp(raw), zone)))
+    return F.struct(night.alias("night"), F.when(raw.isNull(), "no_text").when(night.isNull(), "unreadable").alias("reason"))
+
+
+def printed_day(text: Column) -> Column:
+    """The first day printed in a text as 1998-06-05, June 5, 1998 or 5 June 1998 (months by name or three letters); null if none is a day."""
+    name = "((?:" + "|".join(m[:3] + f"(?:{m[3:]})?" if m[3:] else m for m in MONTHS.split("|")) + ")\\.?)"
+    get = lambda p, i: F.regexp_extract(text, p, i)
+    iso, mdy, dmy = r"\b(\d{4}-\d\d-\d\d)", rf"(?i)\b{name} (\d{{1,2}}),? (\d{{4}})\b", rf"(?i)\b(\d{{1,2}}) {name} (\d{{4}})\b"
+
+    def day(pattern: str, y: int, m: int, d: int) -> Column:
+        parts = F.concat_ws("-", get(pattern, y), F.lpad(month_number(get(pattern, m)).cast("string"), 2, "0"), F.lpad(get(pattern, d), 2, "0"))
+        return F.try_to_date(parts, "yyyy-MM-dd")
+
+    return F.coalesce(F.try_to_date(F.nullif(get(iso, 1), F.lit("")), "yyyy-MM-dd"), day(mdy, 3, 1, 2), day(dmy, 3, 2, 1))
+
+
+def printed_clock(text: Column) -> Column:
+    """Minutes since midnight of the first clock such as 8pm, 8:30 pm or 20:30; null if none."""
+    half = r"(?i)\b(1[0-2]|[1-9])(?::([0-5]\d))? ?([ap])\.?m\b"
+    full = r"(?:^|[^0-9:T])([01]?\d|2[0-3]):([0-5]\d)(?:[^0-9:]|$)"
+    number = lambda p, i: F.coalesce(F.try_to_number(F.regexp_extract(text, p, i), F.lit("99")).cast("int"), F.lit(0))
+    twelve = (number(half, 1) % 12 + F.when(F.lower(F.regexp_extract(text, half, 3)) == "p", 12).otherwise(0)) * 60 + number(half, 2)
+    return F.when(text.rlike(half), twelve).when(text.rlike(full), number(full, 1) * 60 + number(full, 2))
+
+
+def aged(r: Column, elapsed: Column, tau: float) -> Column:
+    """Evidence that fades by exp(-elapsed / tau)."""
+    return r * F.exp(-elapsed / tau)
+
+
 def local_night(instant: Column, zone: str) -> Column:
     """The local date of an instant (UTC)."""
     return F.to_date(F.from_utc_timestamp(instant, zone))
@@ -22,7 +79,7 @@ def same_minute(a: Column, b: Column) -> Column:
 
 def weekend(day: Column) -> Column:
     """struct friday, sunday: of the weekend at hand or the next one."""
-    friday = F.date_add(day, F.when(F.weekday(day) <= 4, 4 - F.weekday(day)).otherwise(4 - F.weekday(day)))
+    friday = F.date_add(day, 4 - F.weekday(day))
     return F.struct(friday.alias("friday"), F.date_add(friday, 2).alias("sunday"))
 
 
@@ -49,14 +106,16 @@ def stated_date(text: Column) -> Column:
 
 
 def due_date(text: Column) -> Column:
-    """End of the quarter, half or year that a phrase such as "Q3 2025", "H1 2024" or "by the end of 2026" names; null for fiscal ones."""
+    """Last day of what a phrase such as "Q3 2025", "H1 2024", "March 2025" or "end of 2026" names, in this order; null for fiscal ones."""
     quarter = F.regexp_extract(text, r"(?i)\bQ([1-4]) ?([0-9]{4})\b", 1)
     q_year = F.regexp_extract(text, r"(?i)\bQ([1-4]) ?([0-9]{4})\b", 2)
+    month, m_year = F.regexp_extract(text, rf"(?i)\b({MONTHS}) ([0-9]{{4}})\b", 1), F.regexp_extract(text, rf"(?i)\b({MONTHS}) ([0-9]{{4}})\b", 2)
     half, h_year = F.regexp_extract(text, r"(?i)\bH([12]) ?([0-9]{4})\b", 1), F.regexp_extract(text, r"(?i)\bH([12]) ?([0-9]{4})\b", 2)
     year = F.regexp_extract(text, r"(?i)end of ([0-9]{4})\b", 1)
     number = lambda c: F.try_to_number(c, F.lit("9999")).cast("int")
     fiscal = text.rlike(r"(?i)\b(fiscal|FY)")
     return (
         F.when(fiscal, None).when(quarter != "", F.last_day(F.make_date(number(q_year), number(quarter) * 3, F.lit(1))))
-        .when(half != "", F.last_day(F.make_date(number(h_year), number(half) * 6, F.lit(1)))).when(year != "", F.make_date(number(year), F.lit(12), F.lit(31)))
+        .when(half != "", F.last_day(F.make_date(number(h_year), number(half) * 6, F.lit(1))))
+        .when(month != "", F.last_day(F.make_date(number(m_year), month_number(month), F.lit(1)))).when(year != "", F.make_date(number(year), F.lit(12), F.lit(31)))
     )

@@ -51,12 +51,11 @@ def timing(start: Column, end: Column, now: str, date_only: Column | None = None
     return F.when(start.isNull(), "upcoming").when(last <= moment, "ended").when(start <= moment, "on_now").otherwise("upcoming")
 
 
-def day_tabs(spark, first_day: str, days: int = 8) -> DataFrame:  # noqa: ANN001
-    """tab, lo and hi (half open) of consecutive days."""
-    lo = F.lit(first_day).cast("timestamp_ntz")
-    return spark.range(days).select(
-        F.col("id").cast("int").alias("tab"), (lo + F.make_dt_interval(F.col("id").cast("int"))).alias("lo"), (lo + F.make_dt_interval(F.col("id").cast("int") + 1)).alias("hi")
-    )
+def day_tabs(spark, first_day: str, days: int = 8, zone: str = "UTC") -> DataFrame:  # noqa: ANN001
+    """tab, lo and hi (half open, in UTC) of consecutive days of a zone; a day on which clocks change is 23 or 25 hours long."""
+    day = F.date_add(F.lit(first_day).cast("date"), F.col("id").cast("int"))
+    edge = lambda d: F.to_utc_timestamp(d.cast("timestamp"), zone).cast("timestamp_ntz")
+    return spark.range(days).select(F.col("id").cast("int").alias("tab"), edge(day).alias("lo"), edge(F.date_add(day, 1)).alias("hi"))
 
 
 def in_tabs(listings: DataFrame, tabs: DataFrame, end: Column) -> DataFrame:
