@@ -74,6 +74,11 @@ def link_kind(href: Column, own_host: Column) -> Column:
     )
 
 
+def has_phrase(text: Column, phrases: list[str]) -> Column:
+    """Whether one of the phrases (letters and blanks) stands in the text as whole words, in any case."""
+    return text.rlike(r"(?i)\b(" + "|".join(phrases) + r")\b")
+
+
 def first_label(text: Column, rules: list[tuple[str, str]], other: str = "unmapped") -> Column:
     """The label of the first rule whose keyword the text contains; `other` if none."""
     low = F.lower(F.coalesce(text, F.lit("")))

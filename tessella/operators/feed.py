@@ -15,6 +15,17 @@ def at(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def bound(written: str) -> Column:
+    """A window's bound from text; what can't be read raises instead of leaving the window open."""
+    moment = F.try_to_timestamp(F.lit(written)).cast("timestamp_ntz")
+    return F.coalesce(moment, F.raise_error(F.lit(f"unreadable bound {written!r}")).cast("timestamp_ntz"))
+
+
+def existence(door_readable: Column, title: Column) -> Column:
+    """exists, or which of the two proofs is missing."""
+    return F.when(~F.coalesce(door_readable, F.lit(False)), "no_door").when(F.coalesce(F.trim(title), F.lit("")) == "", "no_title").otherwise("exists")
+
+
 def confidence_rank(c: Column) -> Column:
     """0 for the most trusted label; labels outside the vocabulary sort last."""
     out = F.lit(len(CONFIDENCE))

@@ -17,13 +17,22 @@ HEAD_SQL = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 PATH_SQL = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
-@query("""with n as (select doc_id, text, length(text) as size from documents)
-select doc_id, case when text is null then 'null_text' when trim(text) = '' then 'empty'
-  when size - length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) > size * 0.05 then 'control' when length(trim(text)) < 40 then 'short'
-  when regexp_matches(text, '(?i)\\b(404 not found|access denied|page not found|internal server error|enable javascript)\\b') then 'error_page'
-  when regexp_matches(text, '(?i)\\b(ignore (all|any) (previous|prior) instructions|disregard the above|system prompt)\\b') then 'injection'
-  when size - length(regexp_replace(text, '[\ufffdÃÂ]', '', 'g')) > size * 0.005 then 'mojibake'
-  when size >= 160 and not regexp_matches(right(text, 1), '[.!?"'')\\]…]') then 'truncated' else 'ok' end as verdict from n""")
+def _any(phrases: tuple[str, ...]) -> str:
+    return "(" + " or ".join("contains(low, '" + p.replace("'", "''") + "')" for p in phrases) + ")"
+
+
+RESIDUAL_SQL = "low"
+for _p in sensors.BOILERPLATE:
+    RESIDUAL_SQL = f"replace({RESIDUAL_SQL}, '{_p}', ' ')"
+GARBLED_SQL = " + ".join(f"(size - length(replace(body, '{m}', ''))) / {len(m)}" for m in sensors.MOJIBAKE)
+
+
+@query(f"""with b as (select doc_id, text, trim(text) as body from documents), n as (select *, lower(body) as low, length(body) as size from b)
+select doc_id, case when text is null then 'null_text' when body = '' then 'empty'
+  when size - length(regexp_replace(body, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) > size * 0.05 then 'control' when size < 40 then 'short'
+  when {_any(sensors.ERROR_PAGE)} then 'error_page' when {_any(sensors.INJECTION)} then 'injection' when {GARBLED_SQL} > size * 0.005 then 'mojibake'
+  when {_any(sensors.BOILERPLATE)} and length(trim(regexp_replace({RESIDUAL_SQL}, '\\s+', ' ', 'g'))) < 40 then 'boilerplate'
+  when size >= 160 and not regexp_matches(right(body, 1), '[.!?)\\]}}>"''”’]') then 'truncated' else 'ok' end as verdict from n""")
 def sensor_report(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", sensors.input_verdict(F.col("text")).alias("verdict"))
 
