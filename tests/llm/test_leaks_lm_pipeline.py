@@ -132,6 +132,15 @@ def test_losses_equal_plain_counts(spark):
     assert 400 < some < 600
 
 
+def test_packing_of_names_and_counts():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 1000):
+        names = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (lm_score.unpacked_names(lm_score.packed_names(names)) == names).all()
+        counts = rng.choice([0, 1, 2, 254, 255, 256, 1 << 40], n)
+        assert (lm_score.widen(lm_score.narrow(counts), n) == counts).all()
+
+
 def test_score_tells_the_target_from_the_rest(spark):
     rng = random.Random(1)
     one, other = words(rng, 150), ["".join(rng.choice("XYZ!?#") for _ in range(6)) for _ in range(150)]
