@@ -33,6 +33,73 @@ def performer_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), r"\s+(w/|with |feat\.? |featuring |ft\.? ).*$", ""))
 
 
+def performer_at(title: Column, place: Column) -> Column:
+    """The performer's comparison key: the title without " at <its own venue>" (the last " at "), then without supporting acts."""
+    cut = F.regexp_extract(title, r"(?i)^(.*) at (.*?)$", 1)
+    own = (hard_key(F.regexp_extract(title, r"(?i)^(.*) at (.*?)$", 2)) == hard_key(place)) & (cut != "")
+    return hard_key(performer_key(F.when(F.coalesce(own, F.lit(False)), cut).otherwise(title)))
+
+
+def label_key(label: Column) -> Column:
+    """Lower case, punctuation as one space, without the word "and"."""
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(label), "[^a-z0-9]+", " ")), F.lit(" "))
+    return F.trim(F.regexp_replace(F.replace(spaced, F.lit(" and "), F.lit(" ")), " +", " "))
+
+
+#: What feeds write behind a city, stripped again and again until nothing is left to strip.
+QUALIFIERS = ("usa", "us", "united states", "tx", "texas")
+_TAIL = r"(?:[\s,.]+(?:" + "|".join(QUALIFIERS) + r"|\d{5}(?:-\d{4})?))+[\s,.]*$"
+
+
+def place_key(place: Column) -> Column:
+    """The bare city: ZIP, county, state and country go from the end, whatever their order; null for nothing."""
+    low = F.trim(F.lower(place))
+    bare = F.regexp_replace(low, r"(?:[\s,.]+(?:" + "|".join(QUALIFIERS) + r"|\d{5}(?:-\d{4})?|[a-z.]+ county))+[\s,.]*$", "")
+    return F.nullif(F.regexp_replace(bare, r"^[\s,.]+|[\s,.]+$", ""), F.lit(""))
+
+
+def county_of(place: Column) -> Column:
+    """The county named at the end of a place once state, country and ZIP are gone; null if none."""
+    rest = F.regexp_replace(F.trim(F.lower(place)), _TAIL, "")
+    return F.nullif(F.regexp_extract(rest, r"(?:^|[\s,.])([a-z.]+) county$", 1), F.lit(""))
+
+
+def same_place(a: Column, b: Column) -> Column:
+    """Whether one place key begins the other at a word's end."""
+    ka, kb = hard_key(a), hard_key(b)
+    starts = lambda x, y: F.startswith(F.concat(y, F.lit(" ")), F.concat(x, F.lit(" ")))
+    return (ka != "") & (kb != "") & (starts(ka, kb) | starts(kb, ka))
+
+
+def own_door(page: Column, address: Column) -> Column:
+    """page where the address is the list page itself (its fragment and last slash apart), else other."""
+    plain = lambda u: F.regexp_replace(normal_url(F.regexp_replace(u, "#.*$", "")), "/$", "")
+    return F.when(plain(page) == plain(address), "page").otherwise("other")
+
+
+def price_label(low: Column, high: Column) -> Column:
+    """"Free", "$12", "$12-$20.50" or null; a negative or sub-cent price is refused as null."""
+    good = lambda p: p.isNotNull() & (p >= 0) & (p * 100 == F.floor(p * 100))
+    shown = lambda p: F.concat(F.lit("$"), F.when(p == F.floor(p), p.cast("bigint").cast("string")).otherwise(p.cast("decimal(12,2)").cast("string")))
+    return (
+        F.when(~F.coalesce(good(low), F.lit(False)) | (high.isNotNull() & ~good(high)), None).when((low == 0) & (F.coalesce(high, low) == 0), "Free")
+        .when(high.isNull() | (high == low), shown(low)).otherwise(F.concat(shown(low), F.lit("-"), shown(high)))
+    )
+
+
+def hashtags(city: Column, domains: Column, most: int = 5) -> Column:
+    """#city, #cityevents and one tag a domain in order, each once, at most `most`; letters and digits only."""
+    slug = F.regexp_replace(F.lower(city), "[^a-z0-9]", "")
+    tags = F.concat(F.array(F.lit(""), F.lit("events")), F.transform(domains, lambda d: F.regexp_replace(F.lower(d), "[^a-z0-9]", "")))
+    return F.slice(F.array_distinct(F.transform(tags, lambda t: F.concat(F.lit("#"), slug, t))), 1, most)
+
+
+def grounded(text: Column, source: Column, stop_words: list[str]) -> Column:
+    """Whether every word of a text, but stop words, stands in its source; numbers always count."""
+    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    return F.size(F.array_except(words(text), F.concat(words(source), F.array(*map(F.lit, stop_words))))) == 0
+
+
 def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)), r"^www\.", "")
 
