@@ -46,12 +46,18 @@ def ledger_as_of(log: DataFrame, moment: str) -> DataFrame:
     return live.withColumn("_n", nth).where("_n = 1").drop("_n")
 
 
-def lineage(parents: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """id, ancestor and step of each chain from `start` up `parents` (id, parent), at most `depth` steps."""
-    row = start.select("id", F.col("id").alias("ancestor")).withColumn("step", F.lit(0))
-    out = row
-    up = parents.select(F.col("id").alias("of"), "parent")
-    for step in range(1, depth + 1):
-        row = row.join(up, F.col("ancestor") == F.col("of")).where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(step).alias("step"))
+def lineage(parents: DataFrame, start: DataFrame) -> DataFrame:
+    """id, ancestor and step of each chain from `start` up `parents` (id, parent) to its origin.
+
+    One join a step until no row goes on; each step is kept for the next. A
+    chain that comes back to its start ends there.
+    """
+    row = start.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("step"))
+    out, step = row, 0
+    up = parents.where("parent is not null").select(F.col("id").alias("of"), "parent").persist()
+    while True:
+        step += 1
+        row = row.join(up, F.col("ancestor") == F.col("of")).where("parent <> id").select("id", F.col("parent").alias("ancestor"), F.lit(step).alias("step")).persist()
+        if row.isEmpty():
+            return out
         out = out.unionByName(row)
-    return out

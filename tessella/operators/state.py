@@ -93,9 +93,23 @@ def half_split(rows: DataFrame, key: str, order: str, value: str, least: int = 4
     return means.withColumn("direction", direction)
 
 
-def clamped_score(deltas: Column, start: float = 0.5) -> Column:
-    """0.5 moved by each delta in turn and kept within 0 and 1; the order matters because of the clamp."""
-    return F.aggregate(deltas, F.lit(start), lambda acc, d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc + d)))
+def clamped_scores(rows: DataFrame, key: str, order: list[str], delta: str, start: float = 0.5) -> DataFrame:
+    """key and score: `start` moved by each delta in turn and kept within 0 and 1; the order matters because of the clamp.
+
+    Steps of this kind compose: several of them are x -> clamp(x + shift, lo, hi) again. So rows are
+    dealt by ranges of (key, order), each range is folded to one step, and the few steps of
+    a key are applied in order; no task holds a whole key.
+    """
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(key, *order, delta).repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id())
+    runs = dealt.groupBy(key, "_part").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(delta).alias("d")))).alias("s"))
+    clamp = lambda x, lo, hi: F.greatest(lo, F.least(hi, x))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    none = F.struct(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), zero.alias("shift"))
+    then = lambda f, x: F.struct(clamp(f["lo"] + x["d"], zero, one).alias("lo"), clamp(f["hi"] + x["d"], zero, one).alias("hi"), (f["shift"] + x["d"]).alias("shift"))
+    steps = runs.select(key, F.struct(F.element_at("s", 1).alias("first"), F.aggregate("s", none, then).alias("f")).alias("step"))
+    folded = steps.groupBy(key).agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    return folded.select(key, F.aggregate("steps", F.lit(start), lambda acc, x: clamp(acc + x["f"]["shift"], x["f"]["lo"], x["f"]["hi"])).alias("score"))
 
 
 def smoothed(values: Column, alpha: float = 0.3) -> Column:

@@ -152,14 +152,14 @@ def feed_union(t: Tables) -> DataFrame:
 
 
 @query(f"""with {LISTINGS_SQL}, n as (select event_id, venue_id, start_time, row_number() over (partition by venue_id order by event_id) as pos from listings),
-a as (select venue_id, string_agg(cast(event_id as varchar), ', ' order by pos) as names, count(*) as n from n where pos <= 5 group by venue_id)
+a as (select venue_id, string_agg(cast(event_id as varchar), ', ' order by pos) filter (where pos <= 5) as names, count(*) as n from n group by venue_id)
 select c_custkey as venue_id, coalesce(names, 'Live event') as title, coalesce(n, 0) as n from customer left join a on venue_id = c_custkey""")
 def nested_names(t: Tables) -> DataFrame:
-    """Each venue with the ordered names of its first events; a fixed title where there are none."""
+    """Each venue with a title of its first five events in order (a fixed one where there are none), and how many it has in all."""
     from pyspark.sql import Window
 
     nth = F.row_number().over(Window.partitionBy("venue_id").orderBy("event_id"))
-    first = t.listings().withColumn("pos", nth).where("pos <= 5").groupBy("venue_id").agg(F.array_sort(F.collect_list(F.struct("pos", "event_id"))).alias("e"), F.count("*").alias("n"))
+    first = t.listings().withColumn("pos", nth).groupBy("venue_id").agg(F.array_sort(F.collect_list(F.when(F.col("pos") <= 5, F.struct("pos", "event_id")))).alias("e"), F.count("*").alias("n"))
     names = F.array_join(F.transform("e", lambda x: x["event_id"].cast("string")), ", ")
     joined = t.customer.select(F.col("c_custkey").alias("venue_id")).join(first, "venue_id", "left")
     return joined.select("venue_id", F.coalesce(names, F.lit("Live event")).alias("title"), F.coalesce("n", F.lit(0)).alias("n"))

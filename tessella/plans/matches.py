@@ -59,13 +59,13 @@ def fuzzy_same_event(t: Tables) -> DataFrame:
 
 
 @query(f"""with {NAMES_SQL}, k as (select id, {TRIGRAMS_SQL.format(c="name")} as items from names),
-q as (select id, {TRIGRAMS_SQL.format(c="substr(name, 1, length(name) - 2)")} as items from names where id % 3 = 0),
+q as (select id, {TRIGRAMS_SQL.format(c="substr(name, 1, length(name) - 2)")} as items from names),
 p as (select q.id as l_id, k.id as r_id, {JACCARD_SQL.format(a="q.items", b="k.items")} as s from q, k where {JACCARD_SQL.format(a="q.items", b="k.items")} >= 0.45)
 select l_id, r_id, round(s, 6) as similarity from (select *, row_number() over (partition by l_id order by s desc, r_id) as n from p) where n = 1""")
 def trigram_resolve(t: Tables) -> DataFrame:
     """Each shortened name resolved to the most similar known one."""
     names = _names(t)
-    asked = names.where("id % 3 = 0").select("id", matching.trigrams(F.expr("substr(name, 1, length(name) - 2)")).alias("items"))
+    asked = names.select("id", matching.trigrams(F.expr("substr(name, 1, length(name) - 2)")).alias("items"))
     pairs = matching.similar_sets(asked, names.select("id", matching.trigrams(F.col("name")).alias("items")), 0.45)
     return matching.best_match(pairs).select("l_id", "r_id", F.round("similarity", 6).alias("similarity"))
 
@@ -98,13 +98,13 @@ def desk_union_keys(t: Tables) -> DataFrame:
         F.count("*").alias("members"), F.min("p_partkey").alias("first_seen"), F.min_by("p_type", "p_partkey").alias("kind"), F.min("p_size").alias("smallest"))
 
 
-@query("""with k as (select p_partkey, p_name, p_brand, p_type from part where p_size <= 5)
-select a.p_partkey as a_id, b.p_partkey as b_id from k a join k b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey < b.p_partkey and a.p_name <> b.p_name""")
+@query("""with k as (select p_partkey, p_name, p_brand, p_type, p_size from part)
+select a.p_partkey as a_id, b.p_partkey as b_id from k a join k b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and a.p_partkey < b.p_partkey and a.p_name <> b.p_name""")
 def near_misses(t: Tables) -> DataFrame:
-    """Pairs in one place and of one kind that were not merged."""
-    rows = t.part.where("p_size <= 5").select("p_partkey", "p_name", "p_brand", "p_type")
+    """Pairs of one night, place and kind that were not merged."""
+    rows = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     a, b = rows.alias("a"), rows.alias("b")
-    on = F.expr("a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey < b.p_partkey and a.p_name <> b.p_name")
+    on = F.expr("a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and a.p_partkey < b.p_partkey and a.p_name <> b.p_name")
     return a.join(b, on).select(F.col("a.p_partkey").alias("a_id"), F.col("b.p_partkey").alias("b_id"))
 
 
@@ -123,11 +123,11 @@ def drift(t: Tables) -> DataFrame:
     return both.select("c_custkey", F.array_join(matching.drifted(["name", "area", "city"], "old", "new"), ",").alias("fields")).where("fields <> ''")
 
 
-@query("""with k as (select p_partkey, case when p_partkey % 4 > 0 then p_brand end as brand, case when p_partkey % 3 > 0 then p_type end as type from part where p_size < 4)
+@query("""with k as (select p_partkey, case when p_partkey % 4 > 0 then p_brand end as brand, case when p_partkey % 3 > 0 then p_type end as type from part)
 select a.p_partkey as a_id, b.p_partkey as b_id, case when a.brand <> b.brand or a.type <> b.type then 'different' when a.brand = b.brand or a.type = b.type then 'same' else 'unknown' end as verdict
 from k a join k b on a.p_partkey + 1 = b.p_partkey or a.p_partkey + 7 = b.p_partkey""")
 def identity_verdicts(t: Tables) -> DataFrame:
-    rows = t.part.where("p_size < 4").select("p_partkey", F.when(F.col("p_partkey") % 4 > 0, F.col("p_brand")).alias("brand"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).alias("type"))
+    rows = t.part.select("p_partkey", F.when(F.col("p_partkey") % 4 > 0, F.col("p_brand")).alias("brand"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).alias("type"))
     left = rows.withColumn("other", F.explode(F.array(F.col("p_partkey") + 1, F.col("p_partkey") + 7)))
     pair = left.alias("a").join(rows.alias("b"), F.expr("a.other = b.p_partkey"))
     verdict = matching.identity_verdict([(F.col("a.brand"), F.col("b.brand")), (F.col("a.type"), F.col("b.type"))])

@@ -35,7 +35,7 @@ def window_ratio(t: Tables) -> DataFrame:
 
     def counted(rows: DataFrame, at: str, name: str) -> DataFrame:
         inside = (F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))
-        return rows.where(F.col(at) >= F.lit("1998-06-01").cast("timestamp_ntz")).join(F.broadcast(windows), inside).groupBy("name").agg(F.count("*").alias(name))
+        return rows.where((F.col(at) >= F.lit("1998-06-01").cast("timestamp_ntz")) & (F.col(at) < F.lit("1998-06-08").cast("timestamp_ntz"))).join(F.broadcast(windows), inside).groupBy("name").agg(F.count("*").alias(name))
 
     a = counted(t.listings(), "start_time", "listings")
     b = counted(t.lineitem.withColumn("at", F.col("l_shipdate").cast("timestamp_ntz")), "at", "candidates")
@@ -108,11 +108,11 @@ def publish_decisions(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", trust.publish_decision(k % 29 == 0, k % 5 != 0, gate, F.col("s_acctbal") / 10000).alias("decision"))
 
 
-@query("""select s_suppkey, round(100 * (0.5 * s_acctbal / 10000 + 0.3 * (s_suppkey % 10) / 10 + 0.2 * (s_nationkey % 5) / 5), 2) as priority from supplier where s_suppkey % 2 = 0 or s_suppkey % 3 = 0""")
+@query("""select s_suppkey, round(100 * (0.5 * s_acctbal / 10000 + 0.3 * (s_suppkey % 10) / 10 + 0.2 * (s_nationkey % 5) / 5), 2) as priority from supplier""")
 def priority_score(t: Tables) -> DataFrame:
     """Weighted source priority."""
     score = 100 * (0.5 * F.col("s_acctbal") / 10000 + 0.3 * (F.col("s_suppkey") % 10) / 10 + 0.2 * (F.col("s_nationkey") % 5) / 5)
-    return t.supplier.where("s_suppkey % 2 = 0 or s_suppkey % 3 = 0").select("s_suppkey", F.round(score, 2).alias("priority"))
+    return t.supplier.select("s_suppkey", F.round(score, 2).alias("priority"))
 
 
 @query("""with d as (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as age, event_type = 'purchase' as win from events)

@@ -141,8 +141,8 @@ select user_id, round(list_reduce(list_prepend(cast(0.5 as double), deltas), lam
 def source_reliability(t: Tables) -> DataFrame:
     """A score moved by each outcome in turn and kept within 0 and 1."""
     delta = F.when(F.col("event_type") == "error", -0.1).otherwise(0.05)
-    rows = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", delta.alias("d")))).alias("s"))
-    return rows.select("user_id", F.round(state.clamped_score(F.transform("s", lambda x: x["d"])), 4).alias("reliability"))
+    scores = state.clamped_scores(t.events.withColumn("delta", delta), "user_id", ["ts", "event_id"], "delta")
+    return scores.select("user_id", F.round("score", 4).alias("reliability"))
 
 
 @query("""with r as (select user_id, value, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events),
