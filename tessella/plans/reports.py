@@ -71,7 +71,7 @@ def opinion_fusion(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_orderkey", (F.col("l_returnflag") != "R").cast("int").alias("pro"), (F.col("l_returnflag") == "R").cast("int").alias("con"))
     o = F.col("opinion")
     return trust.fused(rows, "l_orderkey", "pro", "con").select(
-        "l_orderkey", F.round(trust.expectation(o), 6).alias("expectation"), F.round(o["u"], 6).alias("uncertainty"), trust.four_state(o).alias("state"))
+        "l_orderkey", F.round(trust.expectation(o), 6).alias("expectation"), F.round(o["u"], 6).alias("uncertainty"), trust.four_state(o, dispute=0.35, confirm=0.7, uncertain=0.5).alias("state"))
 
 
 @query("""with e as (select l_suppkey, count(*) filter (where l_returnflag <> 'R') as r, count(*) filter (where l_returnflag = 'R') as s from lineitem group by l_suppkey),
