@@ -61,3 +61,49 @@ def lineage(parents: DataFrame, start: DataFrame) -> DataFrame:
         if row.isEmpty():
             return out
         out = out.unionByName(row)
+
+
+def neighbourhood(edges: DataFrame, start: DataFrame, hops: int, kinds: list[str] | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """The edges (src, dst, kind) among all nodes within `hops` undirected steps of `start` (id); `kinds` limits the steps and edges.
+
+    `gone` (id) names nodes that don't hold at the moment asked for: they neither appear nor bridge.
+    """
+    live = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
+    if gone is not None:
+        for end in ("src", "dst"):
+            live = live.join(gone.select(F.col("id").alias(end)), end, "left_anti")
+        start = start.join(gone, "id", "left_anti")
+    reached = k_hop(live, start, hops)
+    for end in ("src", "dst"):
+        live = live.join(reached.select(F.col("id").alias(end)), end, "left_semi")
+    return live.select("src", "dst", "kind").distinct()
+
+
+def contradictions(claims: DataFrame, key: str, value: str, source: str) -> DataFrame:
+    """key, n_values, values and sources (both sorted) of each key whose sources disagree."""
+    found = claims.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("values"), F.array_sort(F.collect_set(source)).alias("sources"))
+    return found.where(F.size("values") > 1).select(key, F.size("values").alias("n_values"), "values", "sources")
+
+
+def superseded(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with `superseded_by` (null for the current one) and revision; nothing is deleted."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("revision", F.row_number().over(w)).withColumn("superseded_by", F.lead(order[-1]).over(w))
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id and component (least id reachable) of every node; labels spread until none changes. For node sets that fit a cache."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().persist()
+    labels = nodes.select("id", F.col("id").alias("component"))
+    while True:
+        near = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("low"))
+        moved = labels.join(near, F.col("id") == F.col("src"), "left").select("id", F.least("component", "low").alias("component"), F.col("component").alias("old")).persist()
+        if moved.where("component <> old").isEmpty():
+            return moved.select("id", "component")
+        labels = moved.select("id", "component")
+
+
+def folded(entities: DataFrame, merges: DataFrame) -> DataFrame:
+    """id and canonical of every entity after the standing merges (seq, src, dst, undo): of each src the latest row counts, and an undo takes it back."""
+    latest = merges.groupBy("src").agg(F.max_by(F.struct("dst", "undo"), "seq").alias("m")).where("not m.undo").select("src", "m.dst")
+    return entities.join(latest, F.col("id") == F.col("src"), "left").select("id", F.coalesce("dst", "id").alias("canonical"))
