@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_dir, small_batches
+from .common import frugal, mix64, shared_dir, small_batches
 from .tokens import encoder
 
 SLICE, LEAF = 256, 4096
@@ -112,6 +112,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: i
 
     most = 1 << 8 * id_bytes
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, stored = encoder(tokenizer, kind), set()
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -160,6 +161,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: i
 def leaf_roots(spark: SparkSession, path: str) -> DataFrame:
     """leaf, root, part, documents and n_tokens of each leaf of recipes: a tree of bounded fan-out, leaves of 4,096 recipes, then parts."""
 
+    @frugal
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = [merkle_root([x["root"] for x in sorted(r, key=lambda x: x["place"])]) for r in batch.column(1).to_pylist()]
@@ -187,6 +189,7 @@ def verify_manifest(spark: SparkSession, path: str) -> None:
 def chunk_digests(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
     """name, n and CRC-32 (over u32 ids) of every stored chunk, from its bytes; a chunk that doesn't match its name raises."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crcs, sizes = [], []
@@ -230,6 +233,7 @@ def read_index(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
     entries = found.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "n", "crc"))).alias("chunks"))
     rows = starts.join(entries, "place").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "root", "chunks")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crcs = []
@@ -255,6 +259,7 @@ def reconstruct(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
     whole = parts.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
     rows = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("place", "doc_id", "root").join(whole, "place").select("doc_id", "parts", "root")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for parts, root in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import frugal, mix64
 
 LEAST_BLOCK, MOST_BLOCKS = 16, 64
 K1, B = 1.2, 0.75
@@ -302,6 +302,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share:
     for built in indexes(benchmark, share, max_words, whole):
         index = docs.sparkSession.sparkContext.broadcast(built)
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(doc, *x) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in leaks(index.value, text, percent)]
@@ -320,6 +321,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share:
     for built in indexes(benchmark, share, max_words, whole):
         index = docs.sparkSession.sparkContext.broadcast(built)
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not leaks(index.value, t, percent) for t in batch.column(at).to_pylist()], pa.bool_()))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, mix64, shingle_hashes, stage, word_hashes
+from .common import frugal, join_ids, mix64, shingle_hashes, stage, word_hashes
 
 BINS, ROWS = 128, 4
 #: Shingles of more documents than HOT are dealt over SALTS keys.
@@ -64,6 +64,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit name (h1, h2) and signature; the last three are null for an empty set."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, 512):
@@ -103,6 +104,7 @@ def plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     )
     least = BINS * (percent / 100 - 0.2)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (2, 3))
@@ -120,6 +122,7 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
         .join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), F.col("b") == F.col("id_b")).select("a", "b", "text_a", "text_b")
     )
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for big in batches:
@@ -170,6 +173,7 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     """
     texts = join_ids(docs.select("doc_id", "text").where("text is not null"), members, "inner").distinct().select("doc_id", "text", "component")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, 64):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import frugal, stage
 from .tokens import CACHE_ENTRIES, encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -33,6 +33,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, with_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row for each piece of each document's ids; with_ids adds the ids as bytes (u32, little-endian)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, kind, cache_entries)
         for batch in batches:

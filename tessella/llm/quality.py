@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words
+from .common import frugal, split_words
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _UPPER = re.compile(r"[A-Z]")
@@ -162,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, keep_recall: f
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -189,6 +190,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, repea
     """
     model = train(docs, labels, sample)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -216,6 +218,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, min_words: int = 50, repeat_pe
     model = train(docs, labels, sample)
     at = docs.columns.index("text")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

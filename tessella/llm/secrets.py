@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -273,6 +275,7 @@ def scan_secrets(docs: DataFrame, net: CharNet | None = None) -> DataFrame:
     net = net or train(docs)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = find_spans(batch.column(1).to_pylist(), net)
@@ -293,6 +296,7 @@ def redact_secrets(docs: DataFrame, net: CharNet | None = None, mark: str = "[se
 
     at, sized = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()

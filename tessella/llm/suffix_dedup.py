@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, delete_path, mix64, shared_dir, stage
+from .common import _BYTE, delete_path, frugal, mix64, shared_dir, stage
 from .suffix_array import suffix_array
 
 GRAM = 32
@@ -83,6 +83,7 @@ def _name(context: bytes, off: int) -> int:
 
 
 def find_blocks(docs: DataFrame, length: int) -> DataFrame:
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, 256):
@@ -176,6 +177,7 @@ def _runs(mark: np.ndarray) -> list[tuple[int, int]]:
 def settle(contexts: DataFrame, length: int) -> DataFrame:
     """Runs of repeated starts within the contexts of single copies; a key's contexts meet in one task."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -204,6 +206,7 @@ def settle(contexts: DataFrame, length: int) -> DataFrame:
 def split_contexts(contexts: DataFrame, step: int, length: int) -> DataFrame:
     """Each context as contexts of `step` starts; the new key names all bytes that these starts' strings share."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -253,6 +256,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, limit: int = 500, with_te
     def with_bytes(rows: DataFrame) -> DataFrame:
         places = rows.groupBy("rid", "did").agg(F.collect_list(F.struct("key", "ctx", "w", "s0", "n", "aoff")).alias("places"))
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for big in batches:
                 for lo in range(0, big.num_rows, 256):
@@ -290,6 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, limit: int = 500, with_te
                 break
     runs = covered.groupBy("rid", "did").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
 
+    @frugal
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
