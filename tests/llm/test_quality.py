@@ -61,18 +61,35 @@ def test_trees_are_monotonic_and_flat():
     assert abs(total - model.score(probe[:1])[0]) < 1e-9
 
 
-def test_labelled_documents(spark):
+def test_held_out_documents(spark):
+    """Fitted on half of the labels, judged on the other half."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    fit_on, judge_on = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    out = quality.quality_rules(docs, fit_on)
+    judged = [(r["kept"], r["quality"], r["base_failed"]) for r in out.join(judge_on, "doc_id").collect()]
+    good, bad = [k for k, q, f in judged if q == 1 and not f], [k for k, q, _ in judged if q == 0]
+    assert len(good) > 500 and len(bad) > 100
+    assert np.mean(good) > 0.98 and np.mean(bad) < HELD_OUT_BAD, (np.mean(good), np.mean(bad))
+
+
+#: Share of held-out bad documents that may stay: the cutoff is set to keep good ones.
+HELD_OUT_BAD = 0.25
+
+
+def test_pipeline_form_keeps_the_same_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    out = quality.quality_rules(docs, labels)
-    joined = [(r["kept"], r["quality"], r["base_failed"]) for r in out.join(labels, "doc_id").collect()]
-    good = [k for k, q, f in joined if q == 1 and not f]
-    bad = [k for k, q, _ in joined if q == 0]
-    assert np.mean(good) > 0.97 and np.mean(bad) < 0.4
-    kept = {r["doc_id"] for r in out.where("kept").collect()}
+    kept = {r["doc_id"] for r in quality.quality_rules(docs, labels).where("kept").collect()}
     assert {r["doc_id"] for r in quality.keep_good(docs, labels).select("doc_id").collect()} == kept
 
 
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    docs = spark.range(200).selectExpr("id % 50 as doc_id", "concat(repeat('good words all along ', 30), id) as text")
+    labels = spark.range(50).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    assert quality.train(docs, labels) is not None
+
+
 def test_empty_table(spark):
     df = frame(spark, documents()).limit(0)
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, None)], "doc_id bigint, quality int, toxic int")
