@@ -109,6 +109,20 @@ def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
+#: A key of more than this share of all rows is hot; there are at most its inverse of them.
+HOT_SHARE = 0.001
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: str, size: str, total: int) -> DataFrame:
+    """`rows` (of about `total`) joined with `keys`, stored and unique in `on`, whose `size` tells how many rows each has.
+
+    Hot keys, of which there are at most 1 / HOT_SHARE, are broadcast, so that their rows are not gathered in one task.
+    """
+    hot = F.broadcast(keys.where(F.col(size) > HOT_SHARE * total))
+    cold = keys.where(F.col(size) <= HOT_SHARE * total)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on))
+
+
 def split_words(text: bytes) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of UTF-8 text: bytes.split() separates at exactly these six characters."""
     return text.split()

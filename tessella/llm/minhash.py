@@ -24,15 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, join_ids, mix64, shingle_hashes, stage, word_hashes
+from .common import HOT_SHARE, frugal, join_ids, mix64, shingle_hashes, stage, word_hashes
 
 BINS, ROWS = 128, 4
 #: Shingles of more documents than HOT are dealt over SALTS keys.
 HOT, SALTS = 256, 16
 #: Buckets of up to so many documents compare all pairs that are not linked yet, at most 3.5 a member.
 SMALL = 8
-#: A class of more than this share of all rows is hot; there are at most its inverse of them.
-HOT_SHARE = 0.001
 _ORDER = np.argsort(mix64(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(77)).reshape(BINS, BINS), axis=1)
 
 

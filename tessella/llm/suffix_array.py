@@ -1,4 +1,7 @@
-"""Suffix sorting by grouping: linear number of steps, no recursive renaming.
+"""Suffix sorting by grouping, without recursive renaming.
+
+The number of grouping steps is linear in the input; the symbols at the start, and
+the members of each group, are sorted besides.
 
 Phase 1 handles groups of suffixes with a common Lyndon prefix in descending
 order. A suffix i of the group at hand is the end of a run for the suffix

@@ -15,7 +15,12 @@ less data than the one before:
    anchor, their suffixes are sorted (suffix_array), and neighbours' common
    prefixes tell which starts are repeated. A key with more than `limit` distinct
    contexts is first cut into blocks of fewer starts, whose keys are longer, down to
-   single strings, so that no task holds an unbounded group.
+   single strings, so that no task holds an unbounded group. `limit` decides where
+   a string is compared, never whether: tests run every case on both sides of it.
+
+So the suffix array decides the edges of repeats and whatever overlaps differently;
+whole copies of a context, and what is left of a very common key, are told by
+their bytes' names (64-bit hashes).
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, delete_path, frugal, mix64, shared_dir, stage
+from .common import _BYTE, delete_path, frugal, join_keys, mix64, shared_dir, stage
 from .suffix_array import suffix_array
 
 GRAM = 32
@@ -244,13 +249,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, limit: int = 500, with_te
     path = f"{shared_dir(spark)}/blocks"
     find_blocks(docs, length).write.parquet(path)
     every = spark.read.parquet(path)
-    common = every.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    blocks = stage(every.join(common, "key"), "common")
+    common = stage(every.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "keys")
+    blocks = stage(join_keys(every, common, "key", "k", every.count()).drop("k"), "common")
     delete_path(spark, path)
     spot = F.struct("rid", "did", "s0", "n", "aoff")
     names = stage(blocks.groupBy("key", "ctx").agg(F.count("*").alias("w"), F.min(spot).alias("spot")), "names")
     keys = names.groupBy("key").agg(F.count("*").alias("contexts"), F.count_if(F.col("w") == 1).alias("single")).where("contexts > 1 and single > 0")
-    wanted = stage(names.join(keys, "key").select("key", "ctx", "w", "spot.*", "contexts"), "wanted")
+    wanted = stage(join_keys(names, stage(keys, "keys"), "key", "contexts", names.count()).select("key", "ctx", "w", "spot.*", "contexts"), "wanted")
     copied = blocks.join(names.where("w > 1").select("key", "ctx"), ["key", "ctx"]).select("rid", "did", F.col("s0").alias("s"), "n")
 
     def with_bytes(rows: DataFrame) -> DataFrame:
