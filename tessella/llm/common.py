@@ -85,13 +85,20 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows, mostly whole texts, that a Python worker takes at a time.
+SLICE = 512
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`run` (a function for mapInArrow), with what its task has freed given back to the machine at the end: Python workers outlive their tasks."""
+    """`run` (a function for mapInArrow) over slices of at most SLICE rows, however large Spark's batches are.
+
+    What its task has freed is given back to the machine at the end, as Python workers outlive their tasks.
+    """
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(big.slice(lo, SLICE) for big in batches for lo in range(0, big.num_rows, SLICE))
         finally:
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(AttributeError, OSError):  # C libraries other than glibc
