@@ -108,11 +108,11 @@ def publish_decisions(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", trust.publish_decision(k % 29 == 0, k % 5 != 0, gate, F.col("s_acctbal") / 10000).alias("decision"))
 
 
-@query("""select s_suppkey, round(100 * (0.5 * s_acctbal / 10000 + 0.3 * (s_suppkey % 10) / 10 + 0.2 * (s_nationkey % 5) / 5), 4) as priority from supplier""")
+@query("""select s_suppkey, round(100 * (0.5 * s_acctbal / 10000 + 0.3 * (s_suppkey % 10) / 10 + 0.2 * (s_nationkey % 5) / 5), 6) as priority from supplier""")
 def priority_score(t: Tables) -> DataFrame:
     """Weighted source priority."""
     score = 100 * (0.5 * F.col("s_acctbal") / 10000 + 0.3 * (F.col("s_suppkey") % 10) / 10 + 0.2 * (F.col("s_nationkey") % 5) / 5)
-    return t.supplier.select("s_suppkey", F.round(score, 4).alias("priority"))
+    return t.supplier.select("s_suppkey", F.round(score, 6).alias("priority"))
 
 
 @query("""with d as (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as age, event_type = 'purchase' as win from events)
