@@ -48,8 +48,11 @@ def match_pairs(published: DataFrame, parsed: DataFrame) -> DataFrame:
         return rows.select(F.col("page").alias(f"{name}_page"), F.struct("*").alias(name), F.explode(F.filter(keys, lambda k: k["v"].isNotNull())).alias("key"))
 
     a, b = keyed(published, "p"), keyed(parsed, "c").withColumnRenamed("key", "key_c")
-    pairs = a.join(b, (F.col("p_page") == F.col("c_page")) & (F.col("key") == F.col("key_c"))).select("p", "c").dropDuplicates(["p", "c"])
-    return pairs.withColumn("kind", match_kind("p", "c")).where("kind is not null")
+    pairs = a.join(b, (F.col("p_page") == F.col("c_page")) & (F.col("key") == F.col("key_c")))
+    # a pair that shares several keys counts under the first of them
+    minute = F.coalesce(same_minute(F.col("p.start"), F.col("c.start")), F.lit(False))
+    first = F.when(F.coalesce(F.col("p.ident") == F.col("c.ident"), F.lit(False)), "i").when(minute, "m").otherwise("t")
+    return pairs.where(F.col("key.by") == first).select("p", "c", match_kind("p", "c").alias("kind")).where("kind is not null")
 
 
 def field_diff(p: str, c: str, kind: Column) -> Column:
