@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -10,14 +10,18 @@ from ..functions import dates
 from ..operators import feed
 from ..sources.tables import Tables
 
-K = F.col("o_orderkey")
-D = F.col("o_orderdate")
+def order_key() -> Column:
+    return F.col("o_orderkey")
+
+
+def order_date() -> Column:
+    return F.col("o_orderdate")
 
 
 def _case(by: int, *options):  # noqa: ANN002, ANN202
     out = options[-1]
     for i, o in reversed(list(enumerate(options[:-1]))):
-        out = F.when(K % by == i, o).otherwise(out)
+        out = F.when(order_key() % by == i, o).otherwise(out)
     return out
 
 
@@ -25,7 +29,8 @@ def _text(*parts):  # noqa: ANN002, ANN202
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-YMD = F.date_format(D, "yyyy-MM-dd")
+def order_day() -> Column:
+    return F.date_format(order_date(), "yyyy-MM-dd")
 
 
 @query("""with o as (select o_orderkey as k, cast(o_orderdate as date) as d, month(o_orderdate) as m, day(o_orderdate) as n from orders),
@@ -33,9 +38,9 @@ v as (select *, case k % 6 when 0 then d when 1 then case when n > 12 or m = n t
 select k as o_orderkey, strftime(value, '%Y-%m-%d') as value, case when value is not null then null when k % 6 = 3 then 'no_text' when k % 6 in (1, 2) then 'ambiguous' when k % 6 = 4 then 'no_full_date' else 'unparseable' end as reason from v""")
 def stated_dates(t: Tables) -> DataFrame:
     """The date that a claim proves, or why it proves none."""
-    text = _case(6, _text("Doors on ", YMD, " now"), _text("on ", F.date_format(D, "M/d/yyyy")), _text("on ", F.date_format(D, "d/M/yyyy")), F.lit(None).cast("string"), F.lit("soon"), F.lit("13/13/1998 or so"))
+    text = _case(6, _text("Doors on ", order_day(), " now"), _text("on ", F.date_format(order_date(), "M/d/yyyy")), _text("on ", F.date_format(order_date(), "d/M/yyyy")), F.lit(None).cast("string"), F.lit("soon"), F.lit("13/13/1998 or so"))
     found = dates.stated_date(text)
-    return t.orders.select(K, F.date_format(found["value"], "yyyy-MM-dd").alias("value"), found["reason"].alias("reason"))
+    return t.orders.select(order_key(), F.date_format(found["value"], "yyyy-MM-dd").alias("value"), found["reason"].alias("reason"))
 
 
 @query("""with o as (select o_orderkey as k, cast(o_orderdate as date) as d from orders)
@@ -44,9 +49,9 @@ select k as o_orderkey, strftime(case k % 6 when 0 then date_trunc('quarter', d)
 def due_dates(t: Tables) -> DataFrame:
     """The last day of the period that a promise names."""
     text = _case(
-        6, _text("due in Q", F.quarter(D).cast("string"), F.date_format(D, " yyyy")), _text("H", F.ceil(F.month(D) / 6).cast("string"), F.date_format(D, " yyyy")), _text("by the end of ", F.date_format(D, "yyyy")),
-        _text("by ", F.date_format(D, "MMMM yyyy")), _text("in FY", F.date_format(D, "yyyy"), " Q2 ", F.date_format(D, "yyyy")), F.lit("in time"))
-    return t.orders.select(K, F.date_format(dates.due_date(text), "yyyy-MM-dd").alias("due"))
+        6, _text("due in Q", F.quarter(order_date()).cast("string"), F.date_format(order_date(), " yyyy")), _text("H", F.ceil(F.month(order_date()) / 6).cast("string"), F.date_format(order_date(), " yyyy")), _text("by the end of ", F.date_format(order_date(), "yyyy")),
+        _text("by ", F.date_format(order_date(), "MMMM yyyy")), _text("in FY", F.date_format(order_date(), "yyyy"), " Q2 ", F.date_format(order_date(), "yyyy")), F.lit("in time"))
+    return t.orders.select(order_key(), F.date_format(dates.due_date(text), "yyyy-MM-dd").alias("due"))
 
 
 @query("""with o as (select o_orderkey as k, o_orderdate + interval 20 hour as w, ['America/Chicago', 'Europe/Paris', 'Mars/Base', null][cast(o_orderkey % 4 + 1 as integer)] as zone from orders)
@@ -54,11 +59,11 @@ select k as o_orderkey, case when k % 5 = 0 then strftime(w, '%Y-%m-%d') when k
   else strftime(timezone('UTC', timezone(zone, w)), '%Y-%m-%dT%H:%M:%SZ') end as stamp from o""")
 def utc_stamps(t: Tables) -> DataFrame:
     """Calendar stamps in UTC: days stay days, an unknown zone counts as UTC."""
-    at = D + F.expr("interval 20 hours")
+    at = order_date() + F.expr("interval 20 hours")
     zone = _case(4, F.lit("America/Chicago"), F.lit("Europe/Paris"), F.lit("Mars/Base"), F.lit(None).cast("string"))
     local = F.date_format(at, "yyyyMMdd'T'HHmmss")
     raw = _case(5, F.date_format(at, "yyyyMMdd"), _text(local, "Z"), local, local, F.lit("tomorrow"))
-    return t.orders.select(K, dates.utc_stamp(raw, zone).alias("stamp"))
+    return t.orders.select(order_key(), dates.utc_stamp(raw, zone).alias("stamp"))
 
 
 @query("""with o as (select o_orderkey as k, o_orderdate + to_hours(cast(o_orderkey % 24 as integer)) as w from orders), n as (select k, case k % 5 when 0 then cast(w as date) when 1 then cast(w as date)
@@ -66,20 +71,20 @@ def utc_stamps(t: Tables) -> DataFrame:
 select k as o_orderkey, strftime(night, '%Y-%m-%d') as night, case when night is null then 'unreadable' end as reason from n""")
 def stated_nights(t: Tables) -> DataFrame:
     """The night of a printed moment as its market sees it."""
-    at = D + F.make_dt_interval(hours=(K % 24).cast("int"))
+    at = order_date() + F.make_dt_interval(hours=(order_key() % 24).cast("int"))
     naive = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
     night = dates.stated_night(_case(5, F.date_format(at, "yyyy-MM-dd"), naive, _text(naive, "Z"), _text(naive, "+02:00"), F.lit("at dusk")), "America/Chicago")
-    return t.orders.select(K, F.date_format(night["night"], "yyyy-MM-dd").alias("night"), night["reason"].alias("reason"))
+    return t.orders.select(order_key(), F.date_format(night["night"], "yyyy-MM-dd").alias("night"), night["reason"].alias("reason"))
 
 
 @query("""select o_orderkey, case when o_orderkey % 6 < 4 then strftime(o_orderdate, '%Y-%m-%d') end as day, case when o_orderkey % 6 in (0, 4) then (o_orderkey % 12) * 60 + 720 when o_orderkey % 6 = 2 then (o_orderkey % 24) * 60 + 5 end as minutes from orders""")
 def printed_moments(t: Tables) -> DataFrame:
     """Day and clock as cards print them."""
-    pm = F.concat(F.when(K % 12 == 0, 12).otherwise(K % 12).cast("string"), F.lit(" pm"))
+    pm = F.concat(F.when(order_key() % 12 == 0, 12).otherwise(order_key() % 12).cast("string"), F.lit(" pm"))
     text = _case(
-        6, _text(F.date_format(D, "E, MMM d yyyy"), " at ", pm), _text("Opens ", F.date_format(D, "MMMM d, yyyy")), _text(F.date_format(D, "d MMMM yyyy"), ", ", F.format_string("%02d:05", K % 24)), _text("from ", YMD, "T20:00 on"),
+        6, _text(F.date_format(order_date(), "E, MMM d yyyy"), " at ", pm), _text("Opens ", F.date_format(order_date(), "MMMM d, yyyy")), _text(F.date_format(order_date(), "d MMMM yyyy"), ", ", F.format_string("%02d:05", order_key() % 24)), _text("from ", order_day(), "T20:00 on"),
         _text("doors ", pm), F.lit("every May"))
-    return t.orders.select(K, F.date_format(dates.printed_day(text), "yyyy-MM-dd").alias("day"), dates.printed_clock(text).cast("bigint").alias("minutes"))
+    return t.orders.select(order_key(), F.date_format(dates.printed_day(text), "yyyy-MM-dd").alias("day"), dates.printed_clock(text).cast("bigint").alias("minutes"))
 
 
 CARRIERS_SQL = "carriers as (select o_custkey as page, cast(o_orderdate as date) as day, o_orderkey % 5 as carrier, o_orderkey as k from orders where o_orderkey % 6 = 0)"
@@ -90,9 +95,9 @@ CARRIERS = (r'"startDate": ?"(\d{4}-\d\d-\d\d)', r'<time[^>]* datetime="(\d{4}-\
 def _pages(t: Tables) -> DataFrame:
     rows = t.orders.where("o_orderkey % 6 = 0")
     shown = _case(
-        5, _text('<script type="application/ld+json">{"startDate": "', YMD, '"}</script>'), _text('<time class="t" datetime="', YMD, '">then</time>'), _text("<p>on ", YMD, " at 8:30 pm</p>"),
-        _text("<p>", F.date_format(D, "MMMM d, yyyy"), "</p>"), _text("<p>", F.date_format(D, "d MMMM yyyy"), "</p>"))
-    return rows.groupBy(F.col("o_custkey").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(F.struct(K, shown.alias("s"))))["s"], "\n").alias("html"))
+        5, _text('<script type="application/ld+json">{"startDate": "', order_day(), '"}</script>'), _text('<time class="t" datetime="', order_day(), '">then</time>'), _text("<p>on ", order_day(), " at 8:30 pm</p>"),
+        _text("<p>", F.date_format(order_date(), "MMMM d, yyyy"), "</p>"), _text("<p>", F.date_format(order_date(), "d MMMM yyyy"), "</p>"))
+    return rows.groupBy(F.col("o_custkey").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(F.struct(order_key(), shown.alias("s"))))["s"], "\n").alias("html"))
 
 
 def _page_dates(pages: DataFrame) -> DataFrame:
@@ -143,14 +148,14 @@ def aged_evidence(t: Tables) -> DataFrame:
 @query("""with o as (select o_orderkey as k, o_orderdate + to_seconds(o_orderkey % 90) as a, o_orderdate + to_seconds(o_orderkey * 7 % 120) as b from orders)
 select k as o_orderkey, case when k % 9 <> 0 then date_trunc('minute', a) = date_trunc('minute', b) end as same from o""")
 def same_minutes(t: Tables) -> DataFrame:
-    a, b = D + F.make_dt_interval(secs=(K % 90).cast("double")), F.when(K % 9 != 0, D + F.make_dt_interval(secs=(K * 7 % 120).cast("double")))
-    return t.orders.select(K, dates.same_minute(a, b).alias("same"))
+    a, b = order_date() + F.make_dt_interval(secs=(order_key() % 90).cast("double")), F.when(order_key() % 9 != 0, order_date() + F.make_dt_interval(secs=(order_key() * 7 % 120).cast("double")))
+    return t.orders.select(order_key(), dates.same_minute(a, b).alias("same"))
 
 
 @query("""select o_orderkey, case when o_orderkey % 3 = 0 then strftime(o_orderdate, '%a %b ') || day(o_orderdate) when o_orderkey % 3 = 1 then strftime(o_orderdate, '%a %b ') || day(o_orderdate) || ', ' || ((o_orderkey % 11) + 1) || ':30 PM' else 'Date to come' end as line from orders""")
 def printed_lines(t: Tables) -> DataFrame:
     """The line that a share text prints: a day alone where no hour is known."""
-    hour = D + F.make_dt_interval(hours=(K % 11 + 13).cast("int"), mins=F.lit(30))
-    start = F.when(K % 3 == 0, D).when(K % 3 == 1, hour)
+    hour = order_date() + F.make_dt_interval(hours=(order_key() % 11 + 13).cast("int"), mins=F.lit(30))
+    start = F.when(order_key() % 3 == 0, order_date()).when(order_key() % 3 == 1, hour)
     line = F.when(dates.precision(start) == "none", "Date to come").when(dates.precision(start) == "date", F.date_format(start, "E MMM d")).otherwise(F.date_format(start, "E MMM d, h:mm a"))
-    return t.orders.select(K, line.alias("line"))
+    return t.orders.select(order_key(), line.alias("line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -10,7 +10,12 @@ from ..functions import text
 from ..operators import trust, union
 from ..sources.tables import LISTINGS_SQL, Tables
 
-L, P = F.col("l_orderkey"), F.col("l_partkey")
+def line_order() -> Column:
+    return F.col("l_orderkey")
+
+
+def line_part() -> Column:
+    return F.col("l_partkey")
 SEQ_SQL = "l_shipdate, l_linenumber, l_partkey, l_suppkey"
 
 
@@ -29,7 +34,7 @@ select k as l_orderkey, case when not ready then 'hold' when k % 11 = 0 or k % 1
 def three_way_gate(t: Tables) -> DataFrame:
     """Hold, escalate or pass, with the holes and notes that decide nothing."""
     rows = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("c"), F.count_distinct("l_shipdate").alias("i"))
-    verdict = trust.three_way_gate(trust.gate(F.col("c"), ["none"]) == "ready", F.col("i"), L % 7 == 0, L % 11 == 0, L % 13 == 0)
+    verdict = trust.three_way_gate(trust.gate(F.col("c"), ["none"]) == "ready", F.col("i"), line_order() % 7 == 0, line_order() % 11 == 0, line_order() % 13 == 0)
     return rows.select("l_orderkey", verdict.alias("v")).select("l_orderkey", "v.*")
 
 
@@ -37,7 +42,7 @@ def three_way_gate(t: Tables) -> DataFrame:
 s as (select k, s, min(w) as lo from c where w is not null group by 1, 2 having count(distinct w) = 1) select k as l_orderkey, count(*) as n_settled, count(distinct lo) > 1 as contested from s group by k""")
 def contested_clocks(t: Tables) -> DataFrame:
     """Clocks that two settled sources contest; claims without evidence don't count."""
-    claims = t.lineitem.where("l_returnflag <> 'A'").select("l_orderkey", (F.col("l_suppkey") % 3).alias("s"), F.when(P % 9 > 0, F.date_trunc("year", "l_shipdate")).alias("w"))
+    claims = t.lineitem.where("l_returnflag <> 'A'").select("l_orderkey", (F.col("l_suppkey") % 3).alias("s"), F.when(line_part() % 9 > 0, F.date_trunc("year", "l_shipdate")).alias("w"))
     return trust.settled_conflicts(claims, "l_orderkey", "s", "w")
 
 
@@ -108,8 +113,8 @@ def _rows(t: Tables) -> DataFrame:
     seq = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_orderkey"]
     pos = F.row_number().over(Window.partitionBy(F.col("l_suppkey") % 4).orderBy(*seq))
     return t.lineitem.select(
-        (F.col("l_suppkey") % 4).alias("page"), pos.cast("bigint").alias("pos"), F.when(P % 3 == 0, F.concat(F.lit("https://h.example/"), (P % 200).cast("string"))).alias("url"), F.concat(F.lit("Show "), (P % 60).cast("string")).alias("title"),
-        F.when(P % 4 > 0, F.date_format(F.date_trunc("month", "l_shipdate"), "yyyy-MM-dd")).alias("day"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Hall "), F.col("l_linenumber").cast("string"))).alias("place"),
+        (F.col("l_suppkey") % 4).alias("page"), pos.cast("bigint").alias("pos"), F.when(line_part() % 3 == 0, F.concat(F.lit("https://h.example/"), (line_part() % 200).cast("string"))).alias("url"), F.concat(F.lit("Show "), (line_part() % 60).cast("string")).alias("title"),
+        F.when(line_part() % 4 > 0, F.date_format(F.date_trunc("month", "l_shipdate"), "yyyy-MM-dd")).alias("day"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Hall "), F.col("l_linenumber").cast("string"))).alias("place"),
         F.when(F.col("l_quantity") < 10, "music").alias("kind"), (F.col("l_quantity") < 5).alias("stated"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -10,7 +10,12 @@ from ..functions import text
 from ..operators import labels
 from ..sources.tables import Tables
 
-K, C = F.col("o_orderkey"), F.col("c_custkey")
+def order_key() -> Column:
+    return F.col("o_orderkey")
+
+
+def customer_key() -> Column:
+    return F.col("c_custkey")
 
 
 def _text(*parts):  # noqa: ANN002, ANN202
@@ -27,42 +32,42 @@ def _case(key, by: int, *options):  # noqa: ANN001, ANN002, ANN202
 @query("""select o_orderkey, case o_orderkey % 5 when 3 then 'band ' || o_orderkey || ' at other hall' else 'band ' || o_orderkey end as performer from orders""")
 def performer_keys(t: Tables) -> DataFrame:
     """The performer behind a title that names its own venue or supporting acts."""
-    band = _text("The Band ", K.cast("string"))
-    title = _case(K, 5, _text(band, " at The Café"), _text(band, " feat. Somebody at Cafe"), band, _text(band, " at Other Hall"), _text(band, " w/ Guests"))
+    band = _text("The Band ", order_key().cast("string"))
+    title = _case(order_key(), 5, _text(band, " at The Café"), _text(band, " feat. Somebody at Cafe"), band, _text(band, " at Other Hall"), _text(band, " w/ Guests"))
     return t.orders.select("o_orderkey", text.performer_at(title, F.lit("Cafe")).alias("performer"))
 
 
 @query("""select c_custkey, case c_custkey % 4 when 0 then 'arts crafts' when 1 then 'music nightlife' when 2 then 'sandand' else null end as label from customer""")
 def label_keys(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", text.label_key(_case(C, 4, F.lit("Arts & Crafts"), F.lit("Music  and/Nightlife"), F.lit("SandAnd"), F.lit(None).cast("string"))).alias("label"))
+    return t.customer.select("c_custkey", text.label_key(_case(customer_key(), 4, F.lit("Arts & Crafts"), F.lit("Music  and/Nightlife"), F.lit("SandAnd"), F.lit(None).cast("string"))).alias("label"))
 
 
 @query("""select c_custkey, case when c_custkey % 7 < 6 then 'city ' || substr('abcdefghij', cast(c_nationkey % 10 + 1 as integer), 1) end as place, case when c_custkey % 7 in (3, 4) then 'bexar' end as county from customer""")
 def place_keys(t: Tables) -> DataFrame:
     """The bare city and the county of a place, however feeds write it."""
     city = _text("City ", F.substring(F.lit("abcdefghij"), F.col("c_nationkey") % 10 + 1, F.lit(1)))
-    place = _case(C, 7, city, _text(city, ", TX"), _text(city, ", TX 78701, USA"), _text(city, ", Bexar County, TX"), _text(city, ", Bexar County"), _text(" ", city, ". Texas. "), F.lit("  "))
+    place = _case(customer_key(), 7, city, _text(city, ", TX"), _text(city, ", TX 78701, USA"), _text(city, ", Bexar County, TX"), _text(city, ", Bexar County"), _text(" ", city, ". Texas. "), F.lit("  "))
     return t.customer.select("c_custkey", text.place_key(place).alias("place"), text.county_of(place).alias("county"))
 
 
 @query("""select c_custkey, c_custkey % 4 < 2 as same, case when c_custkey % 3 = 0 then 'page' else 'other' end as door from customer""")
 def same_places(t: Tables) -> DataFrame:
     """Places that are one at a word's end, and addresses that are no more than their own list page."""
-    a, b = _text("Hall ", C.cast("string")), _case(C, 4, _text("hall ", C.cast("string"), " upstairs"), _text("The Hall ", C.cast("string")), _text("Hall ", C.cast("string"), "7"), F.lit(""))
-    page = _text("https://X.example/list/", C.cast("string"))
-    address = F.when(C % 3 == 0, _text("https://x.example/list/", C.cast("string"), "/#top")).otherwise(_text("https://x.example/show/", C.cast("string")))
+    a, b = _text("Hall ", customer_key().cast("string")), _case(customer_key(), 4, _text("hall ", customer_key().cast("string"), " upstairs"), _text("The Hall ", customer_key().cast("string")), _text("Hall ", customer_key().cast("string"), "7"), F.lit(""))
+    page = _text("https://X.example/list/", customer_key().cast("string"))
+    address = F.when(customer_key() % 3 == 0, _text("https://x.example/list/", customer_key().cast("string"), "/#top")).otherwise(_text("https://x.example/show/", customer_key().cast("string")))
     return t.customer.select("c_custkey", text.same_place(a, b).alias("same"), text.own_door(page, address).alias("door"))
 
 
 @query("""select o_orderkey, case o_orderkey % 6 when 0 then 'Free' when 1 then '$' || (o_orderkey % 40) when 2 then '$' || (o_orderkey % 40) || '-$' || (o_orderkey % 40 + 5) || '.50' end as label from orders""")
 def price_labels(t: Tables) -> DataFrame:
     """What a price prints; negative and sub-cent prices print nothing."""
-    n, dec = K % 40, "decimal(12,4)"
-    low = _case(K, 6, F.lit(0).cast(dec), n.cast(dec), n.cast(dec), F.lit(-1).cast(dec), F.lit("3.001").cast(dec), F.lit(None).cast(dec))
-    low = F.when((K % 6 == 1) & (n == 0), F.lit(None).cast(dec)).otherwise(low)
-    high = F.when(K % 6 == 2, (n + F.lit("5.50").cast(dec)).cast(dec))
+    n, dec = order_key() % 40, "decimal(12,4)"
+    low = _case(order_key(), 6, F.lit(0).cast(dec), n.cast(dec), n.cast(dec), F.lit(-1).cast(dec), F.lit("3.001").cast(dec), F.lit(None).cast(dec))
+    low = F.when((order_key() % 6 == 1) & (n == 0), F.lit(None).cast(dec)).otherwise(low)
+    high = F.when(order_key() % 6 == 2, (n + F.lit("5.50").cast(dec)).cast(dec))
     label = text.price_label(low, high)
-    return t.orders.select("o_orderkey", F.when((K % 6 == 1) & (n == 0), "$0").otherwise(label).alias("label"))
+    return t.orders.select("o_orderkey", F.when((order_key() % 6 == 1) & (n == 0), "$0").otherwise(label).alias("label"))
 
 
 @query("""select c_custkey, '#nation' || c_nationkey || ',#nation' || c_nationkey || 'events,#nation' || c_nationkey || lower(c_mktsegment) || case when c_mktsegment <> 'BUILDING' then ',#nation' || c_nationkey || 'building' else '' end as tags from customer""")
@@ -85,8 +90,8 @@ def grounded_lines(t: Tables) -> DataFrame:
 def title_slots(t: Tables) -> DataFrame:
     """The date and the room that a title prints."""
     d = F.col("o_orderdate")
-    when = _case(K, 5, F.date_format(d, "MMM d, yyyy"), F.date_format(d, "M/d/yyyy"), F.date_format(d, "MMMM d yyyy"), F.lit("tonight"), F.lit("5"))
-    title = _text("Show ", when, F.when(K % 2 == 0, " (Blue Room)").otherwise(" all day"))
+    when = _case(order_key(), 5, F.date_format(d, "MMM d, yyyy"), F.date_format(d, "M/d/yyyy"), F.date_format(d, "MMMM d yyyy"), F.lit("tonight"), F.lit("5"))
+    title = _text("Show ", when, F.when(order_key() % 2 == 0, " (Blue Room)").otherwise(" all day"))
     return t.orders.select("o_orderkey", F.date_format(labels.title_day(title), "yyyy-MM-dd").alias("day"), labels.title_room(title).alias("room"))
 
 
@@ -150,8 +155,8 @@ def source_classes(t: Tables) -> DataFrame:
 select c_custkey, case when m = 'unknown' then null else 'x' || (c_nationkey % 3) end as glyph, case c_custkey % 5 when 0 then 'Confirmed' when 1 then 'Likely' when 2 then 'Unverified' when 3 then 'Disputed' else 'Unverified' end as shown from r""")
 def display_maps(t: Tables) -> DataFrame:
     """The sign of a pair of coordinates, and the words for a state of trust."""
-    state = _case(C, 5, F.lit("confirmed"), F.lit("likely"), F.lit("unverified"), F.lit("disputed"), F.lit("other"))
-    mood = F.when(C % 5 < 2, F.when(C % 5 == 0, "calm").otherwise("wild"))
+    state = _case(customer_key(), 5, F.lit("confirmed"), F.lit("likely"), F.lit("unverified"), F.lit("disputed"), F.lit("other"))
+    mood = F.when(customer_key() % 5 < 2, F.when(customer_key() % 5 == 0, "calm").otherwise("wild"))
     signs = [(m, i, f"x{i}") for m in ("calm", "wild") for i in range(3)]
     table = t.spark.createDataFrame(signs, "mood string, degree int, glyph string")
     rows = t.customer.select("c_custkey", mood.alias("mood"), (F.col("c_nationkey") % 3).cast("int").alias("degree"), state.alias("state"))

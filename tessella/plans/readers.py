@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..sources import texts
 from ..sources.tables import Tables
 
-K, D = F.col("o_orderkey"), F.col("o_orderdate")
+def order_key() -> Column:
+    return F.col("o_orderkey")
+
+
+def order_date() -> Column:
+    return F.col("o_orderdate")
 
 
 def _text(*parts):  # noqa: ANN002, ANN202
@@ -18,16 +23,16 @@ def _text(*parts):  # noqa: ANN002, ANN202
 
 def _joined(rows: DataFrame, piece, lead: str, between: str, end: str) -> DataFrame:  # noqa: ANN001
     """One text a customer: the pieces of its orders in order."""
-    parts = F.array_sort(F.collect_list(F.struct(K, piece.alias("s"))))["s"]
+    parts = F.array_sort(F.collect_list(F.struct(order_key(), piece.alias("s"))))["s"]
     return rows.groupBy(F.col("o_custkey").alias("page")).agg(_text(lead, F.array_join(parts, between), end).alias("body"))
 
 
 def _calendars(t: Tables) -> DataFrame:
-    stamp = F.date_format(D + F.expr("interval 20 hours"), "yyyyMMdd'T'HHmmss")
-    start = F.when(K % 5 == 0, _text("DTSTART;VALUE=DATE:", F.date_format(D, "yyyyMMdd"))).when(K % 5 == 1, _text("DTSTART:", stamp, "Z")).when(K % 5 == 2, _text('DTSTART;X-P="a:b";TZID=America/Chicago:', stamp)).when(
-        K % 5 == 3, _text("DTSTART;TZID=Nowhere/Here:", stamp)).otherwise("DTSTART:soon")
-    summary = F.when(K % 7 == 0, "LOCATION:here").otherwise(F.concat(F.lit("SUMMARY;LANGUAGE=en:Show\\, no\r\n . "), "o_orderpriority", F.lit("\\; part 2")))
-    event = _text("BEGIN:VEVENT\r\nUID:u", K.cast("string"), "\r\n", start, "\r\n", summary, "\r\nEND:VEVENT")
+    stamp = F.date_format(order_date() + F.expr("interval 20 hours"), "yyyyMMdd'T'HHmmss")
+    start = F.when(order_key() % 5 == 0, _text("DTSTART;VALUE=DATE:", F.date_format(order_date(), "yyyyMMdd"))).when(order_key() % 5 == 1, _text("DTSTART:", stamp, "Z")).when(order_key() % 5 == 2, _text('DTSTART;X-P="a:b";TZID=America/Chicago:', stamp)).when(
+        order_key() % 5 == 3, _text("DTSTART;TZID=Nowhere/Here:", stamp)).otherwise("DTSTART:soon")
+    summary = F.when(order_key() % 7 == 0, "LOCATION:here").otherwise(F.concat(F.lit("SUMMARY;LANGUAGE=en:Show\\, no\r\n . "), "o_orderpriority", F.lit("\\; part 2")))
+    event = _text("BEGIN:VEVENT\r\nUID:u", order_key().cast("string"), "\r\n", start, "\r\n", summary, "\r\nEND:VEVENT")
     return _joined(t.orders, event, "BEGIN:VCALENDAR\r\nX-NAME:cal\r\n", "\r\n", "\r\nEND:VCALENDAR\r\n")
 
 
@@ -40,10 +45,10 @@ def calendar_events(t: Tables) -> DataFrame:
 
 
 def _linked(t: Tables) -> DataFrame:
-    offers = F.when(K % 4 == 0, _text('{"price": "', (K % 90).cast("string"), '"}')).when(K % 4 == 1, _text('[{"price": ', (K % 90).cast("string"), '}, {"lowPrice": "5", "highPrice": "free"}]')).otherwise('"none"')
-    kind = F.when(K % 6 == 0, '"Person"').when(K % 6 == 1, '["Thing", "MusicEvent"]').otherwise('"Event"')
-    item = _text('{"@type": ', kind, ', "name": " Show ', K.cast("string"), '", "startDate": "', F.date_format(D, "yyyy-MM-dd"), '", "offers": ', offers, "}")
-    body = F.when(K % 10 == 9, '{"broken": ').when(K % 3 == 0, _text("[", item, "]")).when(K % 3 == 1, _text('{"@graph": [', item, "]}")).otherwise(item)
+    offers = F.when(order_key() % 4 == 0, _text('{"price": "', (order_key() % 90).cast("string"), '"}')).when(order_key() % 4 == 1, _text('[{"price": ', (order_key() % 90).cast("string"), '}, {"lowPrice": "5", "highPrice": "free"}]')).otherwise('"none"')
+    kind = F.when(order_key() % 6 == 0, '"Person"').when(order_key() % 6 == 1, '["Thing", "MusicEvent"]').otherwise('"Event"')
+    item = _text('{"@type": ', kind, ', "name": " Show ', order_key().cast("string"), '", "startDate": "', F.date_format(order_date(), "yyyy-MM-dd"), '", "offers": ', offers, "}")
+    body = F.when(order_key() % 10 == 9, '{"broken": ').when(order_key() % 3 == 0, _text("[", item, "]")).when(order_key() % 3 == 1, _text('{"@graph": [', item, "]}")).otherwise(item)
     return _joined(t.orders, _text('<script type="application/ld+json">', body, "</script>"), "<html><p>x</p>", "\n", "</html>")
 
 
@@ -57,14 +62,14 @@ def linked_events(t: Tables) -> DataFrame:
 @query("""select o_custkey as page, o_orderkey as id, 'T' || o_orderkey as title, strftime(o_orderdate, '%Y-%m-%d') as start from orders where o_orderkey % 8 <> 0""")
 def feed_instances(t: Tables) -> DataFrame:
     """The first instance of each event of a JSON feed."""
-    first = _text('{"event_instance": {"start": "', F.date_format(D, "yyyy-MM-dd"), '"}}, {"event_instance": {"start": "2030-01-01"}}')
-    event = _text('{"event": {"id": ', K.cast("string"), ', "title": "T', K.cast("string"), '", "event_instances": [', F.when(K % 8 == 0, "").otherwise(first), "]}}")
+    first = _text('{"event_instance": {"start": "', F.date_format(order_date(), "yyyy-MM-dd"), '"}}, {"event_instance": {"start": "2030-01-01"}}')
+    event = _text('{"event": {"id": ', order_key().cast("string"), ', "title": "T', order_key().cast("string"), '", "event_instances": [', F.when(order_key() % 8 == 0, "").otherwise(first), "]}}")
     return texts.first_instances(_joined(t.orders, event, '{"events": [', ", ", "]}"), "page", "body")
 
 
 @query("""select kind, count(*) as n from (select case o_orderkey % 5 when 0 then 'calendar' when 1 then 'linked_page' when 2 then 'page' when 3 then 'json' else 'unknown' end as kind from orders) group by kind""")
 def source_kinds(t: Tables) -> DataFrame:
-    body = F.when(K % 5 == 0, "\n BEGIN:VCALENDAR\n").when(K % 5 == 1, "<html><script type='application/ld+json'>{}</script>").when(K % 5 == 2, " <p>x").when(K % 5 == 3, '{"events": []}').otherwise("plain")
+    body = F.when(order_key() % 5 == 0, "\n BEGIN:VCALENDAR\n").when(order_key() % 5 == 1, "<html><script type='application/ld+json'>{}</script>").when(order_key() % 5 == 2, " <p>x").when(order_key() % 5 == 3, '{"events": []}').otherwise("plain")
     return t.orders.groupBy(texts.source_kind(body).alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -75,7 +80,7 @@ select page, case when page % 11 = 0 then 'row 1: repeated column' when page % 1
   case when page % 11 <> 0 and page % 13 <> 0 and n <= 16 and coalesce(ragged, 0) = 0 then 'extra' || ids[n] end as last_note from v""")
 def claim_files(t: Tables) -> DataFrame:
     """Claim files: taken whole or refused whole, naming the row; unknown columns are kept."""
-    line = _text('"Show, ""', K.cast("string"), '""",', F.date_format(D, "yyyy-MM-dd"), ",extra", K.cast("string"), F.when(K % 97 == 0, ",more").otherwise(""))
+    line = _text('"Show, ""', order_key().cast("string"), '""",', F.date_format(order_date(), "yyyy-MM-dd"), ",extra", order_key().cast("string"), F.when(order_key() % 97 == 0, ",more").otherwise(""))
     head = F.when(F.col("page") % 11 == 0, "title,start,Title").when(F.col("page") % 13 == 0, "title,begin,note").otherwise("title,start,note")
     files = _joined(t.orders, line, "", "\r\n", "\r\n").select("page", F.concat(head, F.lit("\r\n"), "body").alias("body"))
     read = texts.claim_files(files, "page", "body", ("title", "start"), most=16)
@@ -99,7 +104,7 @@ def graph_lines(t: Tables) -> DataFrame:
 
 @query("select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey = 77")
 def point_lookup(t: Tables) -> DataFrame:
-    return texts.exactly_one(t.orders, K == 77, "o_orderkey", "o_custkey", "o_orderstatus")
+    return texts.exactly_one(t.orders, order_key() == 77, "o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @query("select count(*) as n from orders")
@@ -111,18 +116,18 @@ def count_probe(t: Tables) -> DataFrame:
 @query("""select o_orderkey, case o_orderkey % 6 when 0 then 'a' when 1 then 'b' when 2 then 'c' when 3 then 'd' end as value from orders""")
 def json_scalars(t: Tables) -> DataFrame:
     """One value of a list of one, an object, or a scalar; anything else is null."""
-    raw = F.when(K % 6 == 0, "a").when(K % 6 == 1, '["b"]').when(K % 6 == 2, '{"name": "c"}').when(K % 6 == 3, '[{"@value": "d"}]').when(K % 6 == 4, '["x", "y"]').otherwise('{"other": 1}')
-    return t.orders.select(K, texts.scalar(raw).alias("value"))
+    raw = F.when(order_key() % 6 == 0, "a").when(order_key() % 6 == 1, '["b"]').when(order_key() % 6 == 2, '{"name": "c"}').when(order_key() % 6 == 3, '[{"@value": "d"}]').when(order_key() % 6 == 4, '["x", "y"]').otherwise('{"other": 1}')
+    return t.orders.select(order_key(), texts.scalar(raw).alias("value"))
 
 
 @query("""select o_orderkey, sha1(o_orderkey || '|' || strftime(o_orderdate, '%Y-%m-%d')) as id, case when o_orderkey % 4 > 0 then 'Show ' || o_orderkey end as title, strftime(o_orderdate, '%Y-%m-%d') as start,
   case when o_orderkey % 3 > 0 then 'Hall ' || o_custkey end as venue from orders""")
 def field_mapped(t: Tables) -> DataFrame:
     """Rows of a data set under the names that its map gives; blanks are null, the id is made of the row."""
-    raw = t.orders.select(K, F.when(K % 4 > 0, _text("Show ", K.cast("string"))).otherwise(" ").alias("evt_nm"), F.date_format(D, "yyyy-MM-dd").alias("dt"), F.when(K % 3 > 0, _text("Hall ", F.col("o_custkey").cast("string"))).otherwise("").alias("loc"))
+    raw = t.orders.select(order_key(), F.when(order_key() % 4 > 0, _text("Show ", order_key().cast("string"))).otherwise(" ").alias("evt_nm"), F.date_format(order_date(), "yyyy-MM-dd").alias("dt"), F.when(order_key() % 3 > 0, _text("Hall ", F.col("o_custkey").cast("string"))).otherwise("").alias("loc"))
     names = {"title": "evt_nm", "start": "dt", "venue": "loc"}
     fields = [F.nullif(F.trim(F.col(c)), F.lit("")).alias(n) for n, c in names.items()]
-    return raw.select(K, F.sha1(F.concat_ws("|", K, "dt")).alias("id"), *fields)
+    return raw.select(order_key(), F.sha1(F.concat_ws("|", order_key(), "dt")).alias("id"), *fields)
 
 
 @query("""select c_custkey, sha256('{"area":"' || c_mktsegment || '","id":' || c_custkey || ',"name":"' || c_name || '"}') as digest from customer""")
@@ -148,16 +153,16 @@ select k as o_orderkey, provider, provider || ':' || k as source_id, 'Show ' ||
   case when provider = 'x' then cast(k % 50 as double) end as price_min, case when k % 5 > 0 then 'https://' || provider || '.example/' || k end as url from r""")
 def provider_rows(t: Tables) -> DataFrame:
     """Records of two providers, each of its own shape, as rows of one shape."""
-    k = K.cast("string")
-    one = _text('{"id": "', k, '", "name": "Show ', k, '", "_embedded": {"venues": [{"name": "Hall ', (K % 20).cast("string"), '"}]}, "priceRanges": [{"min": ', (K % 50).cast("string"), ', "max": 99}]', F.when(K % 5 > 0, _text(', "url": "https://x.example/', k, '"')).otherwise(""), "}")
-    other = _text('{"id": ', k, ', "title": "Show ', k, '", "venue": ', F.when(K % 3 > 0, _text('{"name": "Room ', (K % 20).cast("string"), '"}')).otherwise("null"), F.when(K % 5 > 0, _text(', "link": "https://y.example/', k, '"')).otherwise(""), "}")
-    raw = t.orders.select(K, F.when(K % 2 == 0, "x").otherwise("y").alias("provider"), F.when(K % 2 == 0, one).otherwise(other).alias("raw"))
+    k = order_key().cast("string")
+    one = _text('{"id": "', k, '", "name": "Show ', k, '", "_embedded": {"venues": [{"name": "Hall ', (order_key() % 20).cast("string"), '"}]}, "priceRanges": [{"min": ', (order_key() % 50).cast("string"), ', "max": 99}]', F.when(order_key() % 5 > 0, _text(', "url": "https://x.example/', k, '"')).otherwise(""), "}")
+    other = _text('{"id": ', k, ', "title": "Show ', k, '", "venue": ', F.when(order_key() % 3 > 0, _text('{"name": "Room ', (order_key() % 20).cast("string"), '"}')).otherwise("null"), F.when(order_key() % 5 > 0, _text(', "link": "https://y.example/', k, '"')).otherwise(""), "}")
+    raw = t.orders.select(order_key(), F.when(order_key() % 2 == 0, "x").otherwise("y").alias("provider"), F.when(order_key() % 2 == 0, one).otherwise(other).alias("raw"))
     a = F.from_json("raw", "struct<id: string, name: string, url: string, _embedded: struct<venues: array<struct<name: string>>>, priceRanges: array<struct<min: double>>>")
     b = F.from_json("raw", "struct<id: string, title: string, link: string, venue: struct<name: string>>")
     x = F.col("provider") == "x"
     pick = lambda p, q: F.when(x, p).otherwise(q)
     return raw.select(
-        K, "provider", F.concat_ws(":", "provider", pick(a["id"], b["id"])).alias("source_id"), pick(a["name"], b["title"]).alias("title"), pick(a["_embedded"]["venues"][0]["name"], b["venue"]["name"]).alias("venue"),
+        order_key(), "provider", F.concat_ws(":", "provider", pick(a["id"], b["id"])).alias("source_id"), pick(a["name"], b["title"]).alias("title"), pick(a["_embedded"]["venues"][0]["name"], b["venue"]["name"]).alias("venue"),
         F.when(x, F.array_min(a["priceRanges"]["min"])).alias("price_min"), pick(a["url"], b["link"]).alias("url"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -10,13 +10,14 @@ from ..functions import text
 from ..operators import desires, feed, state
 from ..sources.tables import FETCHES_SQL, LISTINGS_SQL, Tables
 
-K = F.col("o_orderkey")
+def order_key() -> Column:
+    return F.col("o_orderkey")
 GENRES = ("Jazz", "Rock", "Salsa · Live", "Folk", "Metal", "House")
 CATEGORIES = ("music", "comedy", "family", "theater", "nightlife")
 
 
-def _pick(by: int, values: tuple[str, ...], key=K):  # noqa: ANN001, ANN202
-    out = F.lit(None).cast("string")
+def _pick(by: int, values: tuple[str, ...], key=None):  # noqa: ANN001, ANN202
+    out, key = F.lit(None).cast("string"), order_key() if key is None else key
     for i, v in enumerate(values):
         out = F.when(key % by == i, v).otherwise(out)
     return out
@@ -33,8 +34,8 @@ SHOWS_SQL = f"""shows as (select o_orderkey as id, c_nationkey as market, {_pick
 
 def _shows(t: Tables) -> DataFrame:
     return t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(
-        K.alias("id"), F.col("c_nationkey").alias("market"), _pick(7, GENRES).alias("genre"), _pick(6, CATEGORIES).alias("category"), (K % 8 == 0).alias("is_free"), F.when(K % 5 > 0, K % 40).alias("price_min"),
-        F.when(K % 5 > 0, K % 40 + 5).alias("price_max"), F.col("c_mktsegment").alias("area"), F.when(K % 9 > 0, 16 + (K * 7 % 44) / 4.0).alias("hours"))
+        order_key().alias("id"), F.col("c_nationkey").alias("market"), _pick(7, GENRES).alias("genre"), _pick(6, CATEGORIES).alias("category"), (order_key() % 8 == 0).alias("is_free"), F.when(order_key() % 5 > 0, order_key() % 40).alias("price_min"),
+        F.when(order_key() % 5 > 0, order_key() % 40 + 5).alias("price_max"), F.col("c_mktsegment").alias("area"), F.when(order_key() % 9 > 0, 16 + (order_key() * 7 % 44) / 4.0).alias("hours"))
 
 
 def _in(column: str, values: tuple[str, ...]) -> str:
@@ -218,7 +219,7 @@ def view_counts(t: Tables) -> DataFrame:
 def event_candidates(t: Tables) -> DataFrame:
     """Events with the candidates that they were promoted from."""
     rows = t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-    return t.orders.select("o_orderkey").join(rows, F.col("l_orderkey") == K).drop("l_orderkey")
+    return t.orders.select("o_orderkey").join(rows, F.col("l_orderkey") == order_key()).drop("l_orderkey")
 
 
 @query("""with s as (select lower(s_name) as name, min(s_suppkey) as id from supplier group by 1), c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 3 = 0 then 'SUPPLIER#' else 'Supplier#' end || lpad(cast(l_suppkey as varchar), 9, '0') as source_name from lineitem)
@@ -237,7 +238,7 @@ def attached_lines(t: Tables) -> DataFrame:
     """Each listing with the line of its artist; an empty reference attaches nothing and no row is lost or doubled."""
     ref = F.when(F.col("s_nationkey") == 3, "").otherwise(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
     lines = t.supplier.groupBy(ref.alias("artist_ref")).agg(F.concat(F.lit("line "), F.max("s_suppkey").cast("string")).alias("line")).where("artist_ref <> ''")
-    own = F.when(K % 4 == 0, None).when(K % 4 == 1, "").otherwise(F.concat(F.lit("n"), (K % 30).cast("string")))
+    own = F.when(order_key() % 4 == 0, None).when(order_key() % 4 == 1, "").otherwise(F.concat(F.lit("n"), (order_key() % 30).cast("string")))
     return t.orders.select("o_orderkey", own.alias("artist_ref")).join(lines, "artist_ref", "left").select("o_orderkey", "line")
 
 

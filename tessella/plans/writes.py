@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -10,7 +10,12 @@ from ..operators import promote, trust
 from ..sources.tables import FETCHES_SQL, Tables
 from ..streaming import crawl
 
-K, L = F.col("o_orderkey"), F.col("l_orderkey")
+def order_key() -> Column:
+    return F.col("o_orderkey")
+
+
+def line_order() -> Column:
+    return F.col("l_orderkey")
 
 
 @query("""select event_id, user_id as source_id, cast(json_extract(props, '$.k') as bigint) as k, 'needs_review' as status, sha1(user_id || '|' || event_type) as identity from events where event_type <> 'error'""")
@@ -23,7 +28,7 @@ def candidate_rows(t: Tables) -> DataFrame:
 @query("""select l_suppkey as source_id, l_orderkey as candidate_id, count(*) as n, max(l_linenumber) as last_line from lineitem group by 1, 2""")
 def evidence_rows(t: Tables) -> DataFrame:
     """Evidence appended to each candidate by source."""
-    return t.lineitem.groupBy(F.col("l_suppkey").alias("source_id"), L.alias("candidate_id")).agg(F.count("*").alias("n"), F.max("l_linenumber").alias("last_line"))
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("source_id"), line_order().alias("candidate_id")).agg(F.count("*").alias("n"), F.max("l_linenumber").alias("last_line"))
 
 
 PROMOTE_SQL = """c as (select o_orderkey as id, o_custkey as venue, o_orderpriority as title, date_trunc('month', o_orderdate) as start, o_orderkey % 5 > 0 as ready from orders),
@@ -36,7 +41,7 @@ r as (select *, case when not ready then 'held' when twin is not null then 'dupl
 union all select 'audit', id, null, 'promote:' || outcome from r""")
 def promotions(t: Tables) -> DataFrame:
     """Gate, duplicate probe and insert of a batch of candidates: the events, the marked candidates and the audit, which a sink writes together."""
-    rows = t.orders.select(K.alias("id"), F.col("o_custkey").alias("venue"), F.col("o_orderpriority").alias("title"), F.date_trunc("month", "o_orderdate").alias("start"), (K % 5 > 0).alias("ready"))
+    rows = t.orders.select(order_key().alias("id"), F.col("o_custkey").alias("venue"), F.col("o_orderpriority").alias("title"), F.date_trunc("month", "o_orderdate").alias("start"), (order_key() % 5 > 0).alias("ready"))
     out = promote.promote(rows.where("id % 4 > 0"), rows.where("id % 4 = 0"))
     part = lambda name, df, ref, note: df.select(F.lit(name).alias("output"), F.col("id").alias("key"), ref.cast("bigint").alias("ref"), note.alias("note"))
     held = F.when(F.col("outcome") != "held", F.col("event_id"))
@@ -53,8 +58,8 @@ select e.id, coalesce(e.venue, p.filled) as venue, coalesce(p.ghost, false) as c
 def filled_rows(t: Tables) -> DataFrame:
     """Twins of one title and local day: a missing venue is filled from the twin, a later twin without a venue or four to six hours off is cancelled."""
     rows = t.orders.select(
-        K.alias("id"), F.lower(F.trim("o_orderpriority")).alias("title"), (F.col("o_custkey") % 20).alias("market"), F.to_date("o_orderdate").alias("day"),
-        (F.col("o_orderdate") + F.make_dt_interval(hours=(K % 8).cast("int"))).alias("start"), F.when(K % 3 > 0, F.col("o_custkey")).alias("venue"))
+        order_key().alias("id"), F.lower(F.trim("o_orderpriority")).alias("title"), (F.col("o_custkey") % 20).alias("market"), F.to_date("o_orderdate").alias("day"),
+        (F.col("o_orderdate") + F.make_dt_interval(hours=(order_key() % 8).cast("int"))).alias("start"), F.when(order_key() % 3 > 0, F.col("o_custkey")).alias("venue"))
     return promote.fill_twins(rows, ["title", "day", "market"])
 
 
@@ -64,7 +69,7 @@ def provenance_backfill(t: Tables) -> DataFrame:
     """Events get the source of their candidate where they have none; of several candidates the least source."""
     c = t.lineitem.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("supp"))
     s = t.supplier.select("s_suppkey", F.lower("s_name").alias("name"))
-    rows = t.orders.select("o_orderkey", F.when(K % 3 == 0, "kept").alias("source")).join(c, K == L, "left").join(s, F.col("supp") == F.col("s_suppkey"), "left")
+    rows = t.orders.select("o_orderkey", F.when(order_key() % 3 == 0, "kept").alias("source")).join(c, order_key() == line_order(), "left").join(s, F.col("supp") == F.col("s_suppkey"), "left")
     return rows.select("o_orderkey", F.coalesce("source", "name").alias("source"))
 
 
@@ -82,7 +87,7 @@ def rederived_contacts(t: Tables) -> DataFrame:
 @query("""select o_orderkey, case when c.c_custkey is not null then 'known' else 'dropped' end as venue from (select o_orderkey, case when o_orderkey % 9 = 0 then -1 else o_custkey end as v from orders) o left join customer c on c_custkey = v""")
 def checked_venues(t: Tables) -> DataFrame:
     """A venue is written only where it exists."""
-    rows = t.orders.select("o_orderkey", F.when(K % 9 == 0, -1).otherwise(F.col("o_custkey")).alias("v"))
+    rows = t.orders.select("o_orderkey", F.when(order_key() % 9 == 0, -1).otherwise(F.col("o_custkey")).alias("v"))
     found = rows.join(t.customer.select(F.col("c_custkey").alias("v"), F.lit(True).alias("there")), "v", "left")
     return found.select("o_orderkey", F.when(F.col("there"), "known").otherwise("dropped").alias("venue"))
 
@@ -130,8 +135,8 @@ s as (select k, case when m < 4 then 'x' end as seen, m in (0, 1, 2) as publishe
   when seen is not null and drift = 'same' then 'reuse' when held then 'hold' else 'publish' end as action from s) group by action""")
 def desk_ingest(t: Tables) -> DataFrame:
     """What becomes of each planned row: skip, fill, dispute, reuse, hold or publish."""
-    m = K % 7
-    rows = t.orders.select(K, F.when(m < 4, "x").alias("seen"), m.isin(0, 1, 2).alias("published"), F.when(m == 1, "contradicts").when(m == 2, "fills").otherwise("same").alias("drift"), (K % 10 == 0).alias("held"))
+    m = order_key() % 7
+    rows = t.orders.select(order_key(), F.when(m < 4, "x").alias("seen"), m.isin(0, 1, 2).alias("published"), F.when(m == 1, "contradicts").when(m == 2, "fills").otherwise("same").alias("drift"), (order_key() % 10 == 0).alias("held"))
     action = promote.ingest_action(F.col("seen").isNotNull(), F.col("published"), F.col("drift"), F.col("held"))
     return rows.groupBy(action.alias("action")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 

@@ -31,3 +31,14 @@ def test_entry_point(spark):
     assert __spark_entry__.entry(spark).columns == ["event_id", "venue_name", "city", "confidence", "rank", "start_day"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert found.returncode == 0 and int(found.stdout) >= len(NAMES), found.stderr
