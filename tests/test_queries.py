@@ -34,11 +34,11 @@ def test_entry_point(spark):
 
 
 def test_queries_are_listed_without_a_session():
+    import os
     import subprocess
     import sys
 
-    from conftest import ROOT
-
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
-    found = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    found = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
     assert found.returncode == 0 and int(found.stdout) >= len(NAMES), found.stderr
