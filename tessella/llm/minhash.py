@@ -6,12 +6,11 @@
    once, and one of the class stands for it from here on.
 2. Bands of the signature give buckets. Each bucket names its smallest member the
    centre, and only (member, centre) pairs are compared, on full sets.
+   A pair whose signatures agree in fewer than 60 of 100 bins waits for the next step.
 3. Linked pairs give components. A bucket that still holds several components
-   isn't settled: a small one compares all pairs across components, and the
-   members of large ones are joined exactly across components, by prefixes of
-   their rarest shingles, however many they are. So a link is missed only if its two
-   documents share no bucket (below one in ten million at a similarity of 0.8), or
-   their signatures agree in fewer than 60 of 100 bins.
+   isn't settled: the members of all such buckets are joined exactly across components, by
+   prefixes of their rarest shingles, however many they are. So a link is missed only if its
+   two documents share no bucket (below one in ten million at a similarity of 0.8).
 """
 
 from __future__ import annotations
@@ -29,8 +28,6 @@ from .common import HOT_SHARE, frugal, join_ids, mix64, shingle_hashes, stage, w
 BINS, ROWS = 128, 4
 #: Shingles of more documents than HOT are dealt over SALTS keys.
 HOT, SALTS = 256, 16
-#: Buckets of up to so many documents compare all pairs that are not linked yet, at most 3.5 a member.
-SMALL = 8
 _ORDER = np.argsort(mix64(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(77)).reshape(BINS, BINS), axis=1)
 
 
@@ -204,21 +201,15 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     return pairs.select(F.greatest("id", "i_id").alias("a"), F.least("id", "i_id").alias("b")).distinct()
 
 
-def open_pairs(buckets: DataFrame, links: DataFrame, tested: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Pairs (a, b) not in `tested` of the buckets that `links` leave with several components, among them every link of their members; None without such buckets."""
+def open_pairs(buckets: DataFrame, links: DataFrame, tested: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Pairs (a, b) not in `tested` (compared on full sets) of the buckets that `links` leave with several components, among them every link of their members; None without such buckets."""
     found = components(links)
-    labelled = buckets.join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    labelled = buckets.join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    left = stage(labelled.join(mixed, "bucket"), "open")
-    if left.isEmpty():
+    members = stage(labelled.join(mixed, "bucket").select("doc_id", "component").distinct(), "members")
+    if members.isEmpty():
         return None
-    small = left.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "component")).alias("m"))
-    x = small.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.doc_id > y.doc_id and x.component <> y.component")
-    new = plausible(stage(x.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs"), signed, percent)
-    members = stage(left.where(F.col("n") > SMALL).select("doc_id", "component").distinct(), "members")
-    if not members.isEmpty():
-        new = new.unionByName(prefix_pairs(members, docs, k, percent).join(tested, ["a", "b"], "left_anti")).distinct()
-    return stage(new, "pairs")
+    return stage(prefix_pairs(members, docs, k, percent).join(tested, ["a", "b"], "left_anti").distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -247,7 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     star = stage(buckets.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     likely = stage(plausible(star, signed, percent), "plausible")
     links = same_id.unionByName(stage(similar_pairs(likely, docs, k, percent), "links"))
-    new = open_pairs(buckets, links, star, signed, docs, k, percent)
+    new = open_pairs(buckets, links, likely, docs, k, percent)
     if new is not None:
         links = links.unionByName(stage(similar_pairs(new, docs, k, percent), "links"))
     found = components(links)

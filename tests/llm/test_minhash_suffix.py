@@ -71,6 +71,15 @@ def test_near_duplicates_equal_brute_force(spark):
         assert r["kept"] == (r["component_id"] is None or r["doc_id"] == r["component_id"])
 
 
+def test_pairs_that_the_signatures_refuse_are_joined_exactly(spark, monkeypatch):
+    """With a filter that lets nothing through, every link comes from the exact join of open buckets."""
+    monkeypatch.setattr(minhash, "plausible", lambda pairs, signed, percent: pairs.limit(0))
+    rng = random.Random(10)
+    rows = documents() + chain(rng)
+    got = minhash.near_duplicates(frame(spark, rows), 4, 80).collect()
+    assert sorted(map(str, brute_components(rows, 4, 80))) == sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got)
+
+
 def test_all_links_of_a_real_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
