@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, word_hashes
+from .common import frugal, join_ids, mix64, stage, word_hashes
 
 SCORES = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
 PACKED = "range bigint, block bigint, grams binary, n binary, target binary"
@@ -124,12 +124,9 @@ def sizes(docs: DataFrame) -> tuple[int, int, int, int]:
     return tuple(x or 0 for x in counted.agg(F.sum("bytes"), F.sum("words"), F.sum("target"), F.sum("texts")).first())
 
 
-def good_ids(labels: DataFrame, sample: int) -> DataFrame:
-    """doc_id of the labelled good documents; of more than `sample`, about so many, those of least hash."""
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of all labelled good documents."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0")
-    found = good.count()
-    if found > sample:
-        good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / found))
     return good.select("doc_id", F.lit(True).alias("good"))
 
 
@@ -147,23 +144,23 @@ def losses(block: Block, good: np.ndarray, total: np.ndarray, target: np.ndarray
     return means[0], means[1]
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, sample: int = 100_000, prior: float = 2.0, block_bytes: int = 1 << 23) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, prior: float = 2.0, block_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, n_tokens, mean loss (nats a word) under each model and score, their difference, of every row of `docs`.
 
     `docs` has doc_id and text; `labels` has doc_id, quality and toxic, and a
     document is good where some label says quality 1 and none says toxic 1; the
-    target is counted on about `sample` good documents at most, the background on all
-    the rest. A low score is like the target. A null or empty text has no words
+    target is counted on all good documents, the background on all the rest. A low score is like the target. A null or empty text has no words
     and null losses. Without good documents the target knows no words. Repeated rows
     count and score alike, each without itself alone; other columns are ignored.
     `prior` is the weight of the lower order; a word that no other document has is as
     likely as one word of the corpus.
     """
-    marked = docs.select("doc_id", "text").join(F.broadcast(good_ids(labels, sample)), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    marked = join_ids(docs.select("doc_id", "text"), stage(good_ids(labels), "good"), "left").withColumn("good", F.coalesce("good", F.lit(False)))
     n_bytes, words, target_words, _ = sizes(marked)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_blocks, n_ranges = n_bytes // block_bytes + 1, n_bytes // (2 * block_bytes) + 1
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))
+    # equal rows of one id lie in several partitions of the input, which keep them apart
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks))
     blocks = marked.select(block.alias("block"), "doc_id", "text", "good").repartition(max(parts, n_blocks), "block")
 
     def pack(group: pa.Table) -> pa.Table:
