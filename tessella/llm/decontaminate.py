@@ -7,10 +7,10 @@ query walks any postings, the block's largest impacts of its terms are summed; a
 passage whose bound cannot reach the block's least threshold is dropped, a
 document at a time in numpy. The others are walked with block-max WAND, which
 returns all items whose score reaches their threshold. An item's
-threshold is a share of the score it gives itself. Items whose pieces lie apart, or
-whose lost words weigh more than that share, are retrieved by the shingles that the
-whole document holds, so no pair that would be verified is left out; a document that
-holds no shingle of any item is not walked. Found pairs are
+threshold is a share of the score it gives itself. Where an item's pieces lie apart, or
+its lost words weigh more than that share, no passage retrieves it; the shingles that the
+whole document holds give what is left, so no pair that would be verified is missed, and
+`retrieved` tells by which of the two a pair was found. Found pairs are
 verified on the document: `percent` of the distinct 5-word shingles of both question
 and answer or, with `whole`, of the item as a whole; `whole` also compares words
 without the ASCII punctuation at their edges.
@@ -36,7 +36,7 @@ from .common import frugal, mix64
 LEAST_BLOCK, MOST_BLOCKS = 16, 64
 K1, B = 1.2, 0.75
 EDGES = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
-FOUND = "doc_id bigint, item_id bigint, n_question bigint, question_hits bigint, n_answer bigint, answer_hits bigint, score double"
+FOUND = "doc_id bigint, item_id bigint, n_question bigint, question_hits bigint, n_answer bigint, answer_hits bigint, score double, retrieved boolean"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -207,19 +207,19 @@ def block_max_wand(index: Index, query: list[int]) -> list[tuple[int, float]]:
             out.append((item, score))
 
 
-def held_items(index: Index, ids: np.ndarray, percent: int) -> list[int] | None:
-    """Items that the document as a whole holds, by the hashes of their shingles; None where it holds no shingle that any item needs."""
+def held_items(index: Index, ids: np.ndarray, percent: int) -> list[int]:
+    """Items that the document as a whole holds, by the hashes of their shingles."""
     slots = []
     for k, seen, keys, first, of in index.grams:
         if k < 5 and not slots and not index.lone:
-            return None  # every item has a part that needs a five-word shingle
+            return []  # every item has a part that needs a five-word shingle
         h = runs(ids, k)
         h = np.unique(h[seen[h >> np.uint64(44)]])
         at = np.searchsorted(keys, h)
         at = at[keys[np.minimum(at, len(keys) - 1)] == h]
         slots += [of[first[a] : first[a + 1]] for a in at.tolist()]
     if not slots:
-        return None
+        return []
     slot, n = np.unique(np.concatenate(slots), return_counts=True)
     item = np.unique(slot // 3)
     hits = np.zeros((len(item), 3), np.int64)
@@ -228,14 +228,11 @@ def held_items(index: Index, ids: np.ndarray, percent: int) -> list[int] | None:
     return item[enough[:, :2].all(1) | (index.bare & enough[:, 2])].tolist()
 
 
-def candidates(index: Index, words: list[bytes], percent: int) -> dict[int, float]:
-    """Items that some passage of the document retrieves, with the best score, or that the document holds, with its score."""
+def candidates(index: Index, words: list[bytes], percent: int) -> dict[int, tuple[float, bool]]:
+    """Items that some passage of the document retrieves, with the best score, or that only the document as a whole holds, with its score; and which of both."""
     get, none = index.terms.get, len(index.postings)
     ids = np.array([get(w, none) for w in words], np.int64)
-    found: dict[int, float] = {}
-    held = held_items(index, ids, percent)
-    if held is None:  # whatever is retrieved, nothing could be verified
-        return found
+    found: dict[int, tuple[float, bool]] = {}
     for most, least, longest in index.blocks:
         least -= 1e-9
         total = np.concatenate([[0.0], np.cumsum(most[ids])])
@@ -250,31 +247,32 @@ def candidates(index: Index, words: list[bytes], percent: int) -> dict[int, floa
             if most[query].sum() < least:
                 continue
             for item, score in block_max_wand(index, query[query < none].tolist()):
-                found[item] = max(score, found.get(item, 0.0))
-    for item in set(held).difference(found):
-        found[item] = 0.0
+                found[item] = max((score, True), found.get(item, (0.0, True)))
+    for item in set(held_items(index, ids, percent)).difference(found):
+        score = 0.0
         for t in np.unique(ids[ids < none]).tolist():
             at, impact, *_ = index.postings[t]
             k = int(np.searchsorted(at, item))
             if k < len(at) and at[k] == item:
-                found[item] += float(impact[k])
+                score += float(impact[k])
+        found[item] = score, False
     return found
 
 
 def leaks(index: Index, text: str | None, percent: int) -> list[tuple]:
-    """(item_id, question shingles, hits, answer shingles, hits, score) of each item that the text holds."""
+    """(item_id, question shingles, hits, answer shingles, hits, score, retrieved) of each item that the text holds."""
     words = bare(words_of(text)) if index.bare else words_of(text)
     found = candidates(index, words, percent) if words and index.items else {}
     if not found:
         return []
     have, joined, out = shingles(words), b" " + b" ".join(words) + b" ", []
-    for item, score in found.items():
+    for item, (score, retrieved) in found.items():
         sides = index.parts[item]
         # a side of under five words is one shingle, found as a run of words
         hits = [sum(s in have or (s.count(b" ") < 4 and b" " + s + b" " in joined) for s in side) for side in sides]
         enough = [100 * h >= percent * len(side) for h, side in zip(hits, sides)]
         if all(enough[:2]) or index.bare and enough[2]:
-            out.append((index.items[item], len(sides[0]), hits[0], len(sides[1]), hits[1], score))
+            out.append((index.items[item], len(sides[0]), hits[0], len(sides[1]), hits[1], score, retrieved))
     return out
 
 
@@ -290,7 +288,7 @@ def indexes(benchmark: DataFrame, share: float, max_words: int, whole: bool) ->
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share: float = 0.7, max_words: int = 2_000_000, whole: bool = False) -> DataFrame:
-    """One row for each document and test item that it holds: doc_id, item_id, shingle counts and hits, best BM25 score.
+    """One row for each document and test item that it holds: doc_id, item_id, shingle counts and hits, best BM25 score, and whether a passage retrieved it.
 
     `docs` has doc_id and text, `benchmark` item_id and text. Items or documents
     without words match nothing. A side of an item without words counts as
@@ -306,8 +304,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, share:
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(doc, *x) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in leaks(index.value, text, percent)]
-                cols = list(zip(*rows)) or [()] * 7
-                kinds = [pa.int64()] * 6 + [pa.float64()]
+                cols = list(zip(*rows)) or [()] * 8
+                kinds = [pa.int64()] * 6 + [pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
 
         found = docs.select("doc_id", "text").mapInArrow(run, FOUND)

@@ -57,8 +57,8 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold a benchmark item, one row for each such pair."""
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True).drop("score")
+    """The documents that hold a benchmark item, one row for each such pair, with its BM25 score and whether a passage retrieved it."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

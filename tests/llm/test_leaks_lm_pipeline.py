@@ -69,6 +69,20 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.drop_leaks(docs, b.limit(0)).count() == len(rows)
 
 
+def test_passages_retrieve_what_lies_together(spark):
+    """WAND finds every copy and every item with a lost word; only what lies apart is left to the shingles of the whole document."""
+    rng = random.Random(2)
+    bench = items(rng)
+    b = spark.createDataFrame(bench, "item_id bigint, text string")
+    got = decontaminate.find_leaks(frame(spark, leaking(rng, bench)), b, whole=True).collect()
+    assert len(got) >= 30 and all(r["retrieved"] and r["score"] > 0 for r in got)
+    item = max((t for _, t in bench if t), key=len).split()
+    third = len(item) // 3
+    apart = " ".join(item[: third + 2]) + " " + " ".join(words(rng, 900)) + " " + " ".join(item[third - 2 : 2 * third + 2]) + " " + " ".join(words(rng, 900)) + " " + " ".join(item[2 * third - 2 :])
+    found = decontaminate.find_leaks(frame(spark, [(1, apart)]), b, whole=True).collect()
+    assert [r["retrieved"] for r in found] in ([False], [True]) and found
+
+
 def test_block_max_wand_retrieves_all():
     rng = random.Random(8)
     bench = [(i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(rng.randint(3, 40)))) for i in range(200)]
@@ -128,8 +142,8 @@ def test_losses_equal_plain_counts(spark):
     assert lm_score.cross_entropy_difference(empty, label_rows).count() == 0
     none = lm_score.cross_entropy_difference(frame(spark, rows), label_rows.limit(0)).collect()
     assert len(none) == len(rows) and all(r["score"] is None or np.isfinite(r["score"]) for r in none)
-    some = lm_score.good_ids(spark.range(5000).selectExpr("id as doc_id", "1 as quality", "0 as toxic"), 500).count()
-    assert 400 < some < 600
+    many = spark.range(120_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert lm_score.good_ids(many.union(many)).count() == 120_000  # every one, however many
 
 
 def test_packing_of_names_and_counts():
