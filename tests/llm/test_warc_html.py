@@ -61,6 +61,8 @@ HTML = [
     ("<article><ul><li>x</li><li>y</li></ul><table><tr><td>1</td><td>2</td></tr></table><pre>p  q\n r</pre></article>", "x\n\ny\n\n1\n\n2\n\np q r"),
     ("<div class='adventure'><article class='admin'><p class='addition'>kept</p></article></div>", "kept"),
     ("<article><p>open <i>tags <p>everywhere", "open tags\n\neverywhere"),
+    ("<article><div class='section-header'><h2>Part one</h2></div><p class='share-price'>up</p><table class='social-history'><tr><td>t</td></tr></table><section id='related-work'>see</section></article>", "Part one\n\nup\n\nt\n\nsee"),
+    ("<article><p>a</p><div class='related-posts'>x</div><div class='box ad-slot'>y</div><p class='adsl'>b</p><div id='comment_list'>z</div></article>", "a\n\nb"),
     ("", ""), (None, ""), ("<nav>only a menu</nav>", ""), ("<article></article>", ""),
 ]
 
@@ -85,28 +87,31 @@ def test_repeated_text_of_a_host_goes_and_articles_stay(spark):
 
 
 def brute_texts(rows, least=8):
-    """Every 8 tokens of a page without an article are looked up in all other pages of its host."""
+    """Every 8 tokens of the judged blocks of a page are looked up in all other pages of its host."""
     parsed = []
     for page_id, url, page in rows:
         found = html_text.blocks(page)
-        rest = [t for r, t in found if r == html_text.UNDECIDED]
-        open_ = not any(r == html_text.ARTICLE for r, _ in found)
-        stream = " ".join(rest + [t for r, t in found if r == html_text.DROPPED]).split()
+        role = html_text.DOUBTFUL if any(r in (html_text.ARTICLE, html_text.DOUBTFUL) for r, _ in found) else html_text.UNDECIDED
+        judged = [t for r, t in found if r == role]
+        other = [t for r, t in found if r not in (role, html_text.ARTICLE, html_text.DROPPED)] + [t for r, t in found if r == html_text.DROPPED]
         host = (url or "").split("//")[-1].split("/")[0].removeprefix("www.")
-        parsed.append((page_id, host, open_, rest if open_ else None, stream, [t for r, t in found if r == html_text.ARTICLE]))
+        main = [(r == role, t) for r, t in found if r in (role, html_text.ARTICLE)]
+        open_ = bool(judged) or role == html_text.UNDECIDED
+        parsed.append((page_id, host, (main, None) if open_ else (None, " ".join(other)), " ".join(judged + other).split(), main))
     out = []
-    for page_id, host, open_, rest, stream, main in parsed:
-        if not open_:
-            out.append((page_id, "\n\n".join(main)))
-            continue
+    for page_id, host, content, stream, main in parsed:
         have = set()
-        for _, other, _, content, tokens, _ in parsed:
-            if other == host and content != rest:
+        for _, other, its, tokens, _ in parsed:
+            if other == host and its != content:
                 have |= {tuple(tokens[i : i + least]) for i in range(len(tokens) - least + 1)}
         gone = {j for i in range(len(stream) - least + 1) if tuple(stream[i : i + least]) in have for j in range(i, i + least)}
-        kept, at, half = [], 0, sum(len(b.split()) for b in rest) / 2
-        for block in rest:
+        kept, at = [], 0
+        half = sum(len(t.split()) for _, t in main) / 2 if all(j for j, _ in main) else 10**9
+        for judged, block in main:
             words = block.split()
+            if not judged:
+                kept.append(block)
+                continue
             left = words if len(words) > half else [w for k, w in enumerate(words, at) if k not in gone]
             at += len(words)
             kept += [" ".join(left)] if left else []
@@ -124,6 +129,8 @@ def test_repeats_of_a_host_equal_brute_force(spark):
         body = "".join(f"<div>{p}</div>" if rng.random() < 0.8 else f"<nav>{p}</nav>" for p in parts)
         if rng.random() < 0.2:
             body = f"<article><p>{sentence()}</p></article>" + body
+        if rng.random() < 0.3:
+            body += f"<article><p>{sentence()}</p><div class='news-banner-story'>{rng.choice(shared)}</div><p>{sentence()}</p><div class='share-price'>{sentence()}</div></article>"
         rows.append((i, f"https://{rng.choice(['www.', ''])}h{rng.choice((0, 0, 0, 1, 2))}.example/{i}", body))
     rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(20)]  # copies count once
     rows += [(300, rows[0][1], None), (None, rows[1][1], ""), (5, rows[5][1], rows[5][2]), (301, rows[2][1], "<div>" + "very long page of words " * 4000 + "</div><div>" + shared[0] + "</div>")]
@@ -132,6 +139,13 @@ def test_repeats_of_a_host_equal_brute_force(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_doubtful_blocks_of_articles_are_judged_by_their_host(spark):
+    bar = " ".join(f"word{i}" for i in range(12))
+    rows = [(i, "http://h.example/x", f"<article><p>story {i}</p><div class='promo-line'>{bar}</div><div class='share-price'>{i} only here</div></article>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages(spark, rows)).collect()}
+    assert got == {i: f"story {i}\n\n{i} only here" for i in range(3)}
+
+
 def test_copies_keep_their_text(spark):
     body = "<div>one main text that stands on two addresses of this host and is equal there</div>"
     rows = [(i, f"http://h.example/{i}", body) for i in range(2)]
