@@ -220,6 +220,9 @@ def test_registered_queries(spark):
         whole = table(spark, SF, "pages" if name.startswith(("op3_", "op4_")) else "documents").count()
         if name.startswith("op10_"):
             assert rows
+        elif name.startswith("op12_"):
+            parts = table(spark, SF, "documents").select("lang").distinct().count()
+            assert len(rows) == 600 * parts
         elif name.startswith("op6_"):
             assert len({r["doc_id"] for r in rows}) == whole
         else:
