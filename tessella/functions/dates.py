@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-#: Zones that calendar texts name; any other name counts as UTC.
-ZONES = ("America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "Europe/London", "Europe/Paris", "Europe/Berlin", "UTC")
+
+
+@functools.cache
+def zone_names() -> tuple[str, ...]:
+    """The zone names that Spark resolves, as its machine lists them."""
+    jvm = SparkContext._active_spark_context._jvm
+    return tuple(sorted(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(",")))
 
 
 def month_number(name: Column) -> Column:
@@ -21,10 +29,14 @@ def month_number(name: Column) -> Column:
 
 
 def utc_stamp(raw: Column, zone: Column) -> Column:
-    """A calendar stamp (yyyyMMdd, yyyyMMddTHHmmss with or without Z, in `zone`) as ISO text: a day stays a day, an hour goes to UTC; null if unreadable."""
+    """A calendar stamp (yyyyMMdd, yyyyMMddTHHmmss with or without Z, in `zone`) as ISO text: a day stays a day, an hour goes to UTC; null if unreadable.
+
+    An hour without Z in a zone that no machine knows, or in none, is taken as UTC.
+    """
     day = F.try_to_date(raw, "yyyyMMdd")
     instant = F.try_to_timestamp(F.rtrim(raw, F.lit("Z")), F.lit("yyyyMMdd'T'HHmmss"))
-    at = F.when(raw.endswith("Z") | ~F.coalesce(zone.isin(*ZONES), F.lit(False)), instant).otherwise(F.to_utc_timestamp(instant, F.when(zone.isin(*ZONES), zone).otherwise("UTC")))
+    known = F.coalesce(zone.isin(*zone_names()), F.lit(False)) & ~raw.endswith("Z")
+    at = F.to_utc_timestamp(instant, F.when(known, zone).otherwise("UTC"))
     return F.when(raw.rlike("^[0-9]{8}$"), F.date_format(day, "yyyy-MM-dd")).when(raw.rlike("^[0-9]{8}T[0-9]{6}Z?$"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 

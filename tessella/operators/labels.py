@@ -59,7 +59,7 @@ def title_day(title: Column) -> Column:
 
 def title_room(title: Column) -> Column:
     """The room in brackets at the end of a title, in lower case; null if none."""
-    return F.nullif(F.lower(F.regexp_extract(title, r"\(([^()]*(?:room|stage|hall|upstairs|patio))\)\s*$|\(([^()]*(?i:room|stage|hall|upstairs|patio))\)\s*$", 2)), F.lit(""))
+    return F.nullif(F.lower(F.trim(F.regexp_extract(title, r"(?i)\(([^()]*(?:room|stage|hall|upstairs|patio))\s*\)\s*$", 1))), F.lit(""))
 
 
 def search_queries(rows: DataFrame, templates: list[str], place: Column) -> DataFrame:

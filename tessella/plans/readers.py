@@ -30,14 +30,17 @@ def _joined(rows: DataFrame, piece, lead: str, between: str, end: str) -> DataFr
 def _calendars(t: Tables) -> DataFrame:
     stamp = F.date_format(order_date() + F.expr("interval 20 hours"), "yyyyMMdd'T'HHmmss")
     start = F.when(order_key() % 5 == 0, _text("DTSTART;VALUE=DATE:", F.date_format(order_date(), "yyyyMMdd"))).when(order_key() % 5 == 1, _text("DTSTART:", stamp, "Z")).when(order_key() % 5 == 2, _text('DTSTART;X-P="a:b";TZID=America/Chicago:', stamp)).when(
-        order_key() % 5 == 3, _text("DTSTART;TZID=Nowhere/Here:", stamp)).otherwise("DTSTART:soon")
+        order_key() % 5 == 3, _text(F.when(order_key() % 3 == 0, "DTSTART;TZID=Nowhere/Here:").when(order_key() % 3 == 1, "DTSTART;TZID=Asia/Tokyo:").otherwise("DTSTART;TZID=America/Phoenix:"), stamp)).otherwise("DTSTART:soon")
+    more = _text("\r\nDTEND;TZID=Australia/Adelaide:", stamp, "\r\nLOCATION:Hall ", (order_key() % 9).cast("string"), "\\, east\r\nURL:https://h.example/", order_key().cast("string"), "\r\nDESCRIPTION:one\\n  \r\n two")
     summary = F.when(order_key() % 7 == 0, "LOCATION:here").otherwise(F.concat(F.lit("SUMMARY;LANGUAGE=en:Show\\, no\r\n . "), "o_orderpriority", F.lit("\\; part 2")))
-    event = _text("BEGIN:VEVENT\r\nUID:u", order_key().cast("string"), "\r\n", start, "\r\n", summary, "\r\nEND:VEVENT")
+    event = _text("BEGIN:VEVENT\r\nUID:u", order_key().cast("string"), "\r\n", start, "\r\n", summary, F.when(order_key() % 7 == 0, "").otherwise(more), "\r\nEND:VEVENT")
     return _joined(t.orders, event, "BEGIN:VCALENDAR\r\nX-NAME:cal\r\n", "\r\n", "\r\nEND:VCALENDAR\r\n")
 
 
 @query("""select o_custkey as page, 'u' || o_orderkey as uid, 'Show, no. ' || o_orderpriority || '; part 2' as summary, case o_orderkey % 5 when 0 then strftime(o_orderdate, '%Y-%m-%d')
-  when 2 then strftime(timezone('UTC', timezone('America/Chicago', o_orderdate + interval 20 hour)), '%Y-%m-%dT%H:%M:%SZ') else strftime(o_orderdate + interval 20 hour, '%Y-%m-%dT%H:%M:%SZ') end as start, o_orderkey % 5 = 0 as all_day
+  when 2 then strftime(timezone('UTC', timezone('America/Chicago', o_orderdate + interval 20 hour)), '%Y-%m-%dT%H:%M:%SZ')
+  when 3 then strftime(timezone('UTC', timezone(case o_orderkey % 3 when 0 then 'UTC' when 1 then 'Asia/Tokyo' else 'America/Phoenix' end, o_orderdate + interval 20 hour)), '%Y-%m-%dT%H:%M:%SZ') else strftime(o_orderdate + interval 20 hour, '%Y-%m-%dT%H:%M:%SZ') end as start, o_orderkey % 5 = 0 as all_day,
+  strftime(timezone('UTC', timezone('Australia/Adelaide', o_orderdate + interval 20 hour)), '%Y-%m-%dT%H:%M:%SZ') as stop, 'Hall ' || (o_orderkey % 9) || ', east' as place, 'https://h.example/' || o_orderkey as url, 'one   two' as notes
 from orders where o_orderkey % 5 < 4 and o_orderkey % 7 <> 0""")
 def calendar_events(t: Tables) -> DataFrame:
     """Events of calendar texts: folded lines, quoted parameters, zones, days."""
@@ -46,17 +49,18 @@ def calendar_events(t: Tables) -> DataFrame:
 
 def _linked(t: Tables) -> DataFrame:
     offers = F.when(order_key() % 4 == 0, _text('{"price": "', (order_key() % 90).cast("string"), '"}')).when(order_key() % 4 == 1, _text('[{"price": ', (order_key() % 90).cast("string"), '}, {"lowPrice": "5", "highPrice": "free"}]')).otherwise('"none"')
-    kind = F.when(order_key() % 6 == 0, '"Person"').when(order_key() % 6 == 1, '["Thing", "MusicEvent"]').otherwise('"Event"')
-    item = _text('{"@type": ', kind, ', "name": " Show ', order_key().cast("string"), '", "startDate": "', F.date_format(order_date(), "yyyy-MM-dd"), '", "offers": ', offers, "}")
-    body = F.when(order_key() % 10 == 9, '{"broken": ').when(order_key() % 3 == 0, _text("[", item, "]")).when(order_key() % 3 == 1, _text('{"@graph": [', item, "]}")).otherwise(item)
+    kind = F.when(order_key() % 6 == 0, '"Person"').when(order_key() % 6 == 1, '["Thing", "MusicEvent"]').when(order_key() % 6 == 2, '"https://schema.org/Festival"').when(order_key() % 6 == 3, '"event"').otherwise('"Event"')
+    place = F.when(order_key() % 5 == 0, '"Hall"').when(order_key() % 5 == 1, '[{"name": "Hall", "address": {"streetAddress": "1 Main", "addressLocality": "Town"}}, "x"]').when(order_key() % 5 == 2, '{"name": {"@value": "Hall"}, "address": "2 Main"}').otherwise("null")
+    item = _text('{"@type": ', kind, ', "location": ', place, F.when(order_key() % 8 == 7, "").otherwise(_text(', "name": " Show ', order_key().cast("string"), '"')), ', "startDate": "', F.date_format(order_date(), "yyyy-MM-dd"), '", "offers": ', offers, "}")
+    body = F.when(order_key() % 10 == 9, '{"broken": ').when(order_key() % 9 == 0, _text('[{"@graph": [', item, ']}, {"@type": "Place"}]')).when(order_key() % 3 == 0, _text("[", item, "]")).when(order_key() % 3 == 1, _text('{"@graph": [', item, "]}")).otherwise(item)
     return _joined(t.orders, _text('<script type="application/ld+json">', body, "</script>"), "<html><p>x</p>", "\n", "</html>")
 
 
-@query("""select o_custkey as page, 'Show ' || o_orderkey as name, strftime(o_orderdate, '%Y-%m-%d') as start, case o_orderkey % 4 when 0 then cast(o_orderkey % 90 as double) when 1 then least(5.0, o_orderkey % 90) end as low,
+@query("""select o_custkey as page, case when o_orderkey % 8 < 7 then 'Show ' || o_orderkey end as name, case when o_orderkey % 5 < 3 then 'Hall' end as place, case o_orderkey % 5 when 1 then '1 Main' when 2 then '2 Main' end as address, case when o_orderkey % 5 = 1 then 'Town' end as locality, strftime(o_orderdate, '%Y-%m-%d') as start, case o_orderkey % 4 when 0 then cast(o_orderkey % 90 as double) when 1 then least(5.0, o_orderkey % 90) end as low,
   case o_orderkey % 4 when 0 then cast(o_orderkey % 90 as double) when 1 then greatest(5.0, o_orderkey % 90) end as high from orders where o_orderkey % 10 <> 9 and o_orderkey % 6 <> 0""")
 def linked_events(t: Tables) -> DataFrame:
     """Events in the linked data of pages, with the range of their offers."""
-    return texts.linked_events(_linked(t), "page", "body").drop("type")
+    return texts.linked_events(_linked(t), "page", "body").drop("type", "stop", "url")
 
 
 @query("""select o_custkey as page, o_orderkey as id, 'T' || o_orderkey as title, strftime(o_orderdate, '%Y-%m-%d') as start from orders where o_orderkey % 8 <> 0""")
@@ -76,11 +80,11 @@ def source_kinds(t: Tables) -> DataFrame:
 @query("""with n as (select o_custkey as page, count(*) as n, list(o_orderkey order by o_orderkey) as ids from orders group by 1),
 v as (select *, list_position(list_transform(ids, lambda k: k % 97 = 0), true) as ragged from n)
 select page, case when page % 11 = 0 then 'row 1: repeated column' when page % 13 = 0 then 'row 1: no column start' when n > 16 then 'row 18: too many rows' when ragged > 0 then 'row ' || (ragged + 1) || ': ragged' else 'ok' end as verdict,
-  case when page % 11 <> 0 and page % 13 <> 0 and n <= 16 and coalesce(ragged, 0) = 0 then n end as rows_taken, case when page % 11 <> 0 and page % 13 <> 0 and n <= 16 and coalesce(ragged, 0) = 0 then 'Show, "' || ids[1] || '"' end as first_title,
+  case when page % 11 <> 0 and page % 13 <> 0 and n <= 16 and coalesce(ragged, 0) = 0 then n end as rows_taken, case when page % 11 <> 0 and page % 13 <> 0 and n <= 16 and coalesce(ragged, 0) = 0 then 'Show, "' || ids[1] || '"' || case when ids[1] % 4 = 0 then chr(10) || 'night' else '' end end as first_title,
   case when page % 11 <> 0 and page % 13 <> 0 and n <= 16 and coalesce(ragged, 0) = 0 then 'extra' || ids[n] end as last_note from v""")
 def claim_files(t: Tables) -> DataFrame:
     """Claim files: taken whole or refused whole, naming the row; unknown columns are kept."""
-    line = _text('"Show, ""', order_key().cast("string"), '""",', F.date_format(order_date(), "yyyy-MM-dd"), ",extra", order_key().cast("string"), F.when(order_key() % 97 == 0, ",more").otherwise(""))
+    line = _text('"Show, ""', order_key().cast("string"), '""', F.when(order_key() % 4 == 0, "\nnight").otherwise(""), '",', F.date_format(order_date(), "yyyy-MM-dd"), ",extra", order_key().cast("string"), F.when(order_key() % 97 == 0, ",more").otherwise(""))
     head = F.when(F.col("page") % 11 == 0, "title,start,Title").when(F.col("page") % 13 == 0, "title,begin,note").otherwise("title,start,note")
     files = _joined(t.orders, line, "", "\r\n", "\r\n").select("page", F.concat(head, F.lit("\r\n"), "body").alias("body"))
     read = texts.claim_files(files, "page", "body", ("title", "start"), most=16)

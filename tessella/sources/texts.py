@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import utc_stamp
+from .markup import json_objects
 
 #: A parameter part of a calendar line; quoted values may hold a colon.
 _PARAMS = r'((?:;(?:[^:"\r\n]|"[^"\r\n]*")*)?)'
@@ -21,10 +22,10 @@ def source_kind(text: Column) -> Column:
 
 
 def calendar_events(texts: DataFrame, key: str, column: str) -> DataFrame:
-    """key, pos, uid, summary, start and all_day of each event of a calendar text.
+    """key, pos, uid, summary, start, stop, all_day, place, url and notes of each event of a calendar text.
 
     Folded lines are joined, quoted parameters and escapes are read; an event
-    without a summary or a readable start is left out. start is ISO text: a day, or an instant in UTC.
+    without a summary or a readable start is left out. start and stop are ISO text: a day, or an instant in UTC.
     """
     lines = F.regexp_replace(F.col(column), r"\r?\n[ \t]", "")
     blocks = F.slice(F.split(lines, r"BEGIN:VEVENT\r?\n"), 2, F.greatest(F.size(F.split(lines, r"BEGIN:VEVENT\r?\n")) - 1, F.lit(0)))
@@ -33,27 +34,46 @@ def calendar_events(texts: DataFrame, key: str, column: str) -> DataFrame:
     def field(name: str, part: int = 2) -> Column:
         return F.nullif(F.trim(F.regexp_extract("body", rf"(?m)^{name}{_PARAMS}:([^\r\n]*)", part)), F.lit(""))
 
-    plain = F.regexp_replace(F.regexp_replace(field("SUMMARY"), r"\\n", " "), r"\\([,;\\])", "$1")
-    zone = F.nullif(F.regexp_extract(F.coalesce(field("DTSTART", 1), F.lit("")), r'TZID="?([^";:]+)', 1), F.lit(""))
-    out = rows.select(key, "pos", field("UID").alias("uid"), plain.alias("summary"), utc_stamp(field("DTSTART"), zone).alias("start"), field("DTSTART").rlike("^[0-9]{8}$").alias("all_day"))
+    plain = lambda name: F.regexp_replace(F.regexp_replace(field(name), r"\\[nN]", " "), r"\\([,;\\])", "$1")
+    zone = lambda name: F.nullif(F.regexp_extract(F.coalesce(field(name, 1), F.lit("")), r'TZID="?([^";:]+)', 1), F.lit(""))
+    stamp = lambda name: utc_stamp(field(name), zone(name))
+    out = rows.select(
+        key, "pos", field("UID").alias("uid"), plain("SUMMARY").alias("summary"), stamp("DTSTART").alias("start"), stamp("DTEND").alias("stop"), field("DTSTART").rlike("^[0-9]{8}$").alias("all_day"),
+        plain("LOCATION").alias("place"), field("URL").alias("url"), plain("DESCRIPTION").alias("notes"))
     return out.where("summary is not null and start is not null")
 
 
+def linked_event(item: Column) -> Column:
+    """struct is_event, type, name, start, stop, url, place, address, locality, low and high of a linked-data object in JSON.
+
+    An event's type, or one of its types, ends in "event" in any case, or is Festival; a namespace in front
+    is left out. A place may be a text, an object or a list (its first), an address a text or an object. What isn't stated is null.
+    """
+    get = lambda path: F.get_json_object(item, path)
+    said = lambda path: F.nullif(F.trim(scalar(get(path))), F.lit(""))
+    kinds = F.when(get("$['@type']").startswith("["), F.from_json(get("$['@type']"), "array<string>")).otherwise(F.array(get("$['@type']")))
+    bare = F.transform(F.filter(kinds, lambda k: k.isNotNull()), lambda k: F.lower(F.trim(F.regexp_replace(k, "^.*[/:]", ""))))
+    spot = F.when(get("$.location").startswith("["), get("$.location[0]")).otherwise(get("$.location"))
+    at = lambda path: F.nullif(F.trim(scalar(F.get_json_object(spot, path))), F.lit(""))
+    object_ = F.coalesce(spot.startswith("{"), F.lit(False))
+    address = F.get_json_object(spot, "$.address")
+    low, high = offer_range(get("$.offers"))
+    return F.struct(
+        F.exists(bare, lambda k: k.endswith("event") | (k == "festival")).alias("is_event"), get("$['@type']").alias("type"), said("$.name").alias("name"), said("$.startDate").alias("start"), said("$.endDate").alias("stop"),
+        said("$.url").alias("url"), F.when(object_, at("$.name")).otherwise(F.nullif(F.trim(spot), F.lit(""))).alias("place"),
+        F.when(object_, F.when(address.startswith("{"), at("$.address.streetAddress")).otherwise(F.nullif(F.trim(address), F.lit("")))).alias("address"),
+        F.when(object_ & address.startswith("{"), at("$.address.addressLocality")).alias("locality"), low.alias("low"), high.alias("high"))
+
+
 def linked_events(pages: DataFrame, key: str, column: str) -> DataFrame:
-    """key, type, name, start, low and high (least and greatest price) of each event in the linked data of a page.
+    """key and the fields of linked_event of each event in the linked data of a page.
 
-    A script holds an object, a list or an object with @graph; a malformed
-    script is left out and the others stay; only Event and its subtypes count.
+    A script holds an object or a list, and either may hold @graph lists; a malformed
+    script is left out and the others stay. What an event doesn't state is null, its name too.
     """
     scripts = F.regexp_extract_all(F.col(column), F.lit(r"(?is)<script[^>]*type=[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"), 1)
-    body = F.trim(F.col("body"))
-    graph = F.get_json_object(body, "$['@graph']")
-    listed = F.when(body.startswith("["), body).when(graph.isNotNull(), graph).otherwise(F.concat(F.lit("["), body, F.lit("]")))
-    item = "array<struct<`@type`: string, name: string, startDate: string, offers: string>>"
-    rows = pages.select(key, F.explode(scripts).alias("body")).select(key, F.explode(F.from_json(listed, item)).alias("x"))
-    low, high = offer_range(F.col("x.offers"))
-    rows = rows.select(key, F.col("x.@type").alias("type"), F.trim(F.col("x.name")).alias("name"), F.col("x.startDate").alias("start"), low.alias("low"), high.alias("high"))
-    return rows.where(F.col("type").rlike(r'(^|[^A-Za-z])[A-Za-z]*Event($|[^A-Za-z])') & F.col("name").isNotNull())
+    rows = pages.select(key, F.explode(json_objects(scripts)).alias("item")).select(key, linked_event(F.col("item")).alias("e"))
+    return rows.select(key, "e.*").where("is_event").drop("is_event")
 
 
 def offer_range(offers: Column) -> tuple[Column, Column]:
@@ -78,15 +98,31 @@ def scalar(value: Column) -> Column:
     return F.when(inner.startswith("{"), F.coalesce(F.get_json_object(inner, "$.name"), F.get_json_object(inner, "$['@value']"))).when(~inner.startswith("["), inner)
 
 
+def csv_records(text: Column) -> Column:
+    """The records of a text of comma-separated cells; a cell that begins with a quote may hold line ends, up to the closing quote.
+
+    Line ends behind the last record are left out. A quote within a cell, or one that nothing closes, is a character.
+    """
+    record = r'((?:[^"\r\n]++|(?<![^,\r\n])"[^"]*+(?:""[^"]*+)*+"|")*+)(?:\r?\n|$)'
+    found = F.regexp_extract_all(F.regexp_replace(text, r"(\r?\n)+$", ""), F.lit(record), 1)
+    # where the last record ends the text, an empty match follows it
+    return F.when((F.size(found) > 1) & (F.element_at(found, -1) == ""), F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+
+
+def csv_cells(record: Column) -> Column:
+    """The cells of a record, trimmed, without the quotes around them."""
+    found = F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(r'("[^"]*+(?:""[^"]*+)*+"|[^,]*),'), 1)
+    return F.transform(found, lambda c: F.trim(F.when(c.rlike('(?s)^".*"$'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)))
+
+
 def claim_files(files: DataFrame, key: str, column: str, required: tuple[str, ...], most: int = 500) -> DataFrame:
     """key, verdict and rows (array of maps, null where refused) of claim files with a header.
 
     A file is taken whole or refused whole: a repeated or missing column, a ragged row or more than
     `most` rows refuse it, and the verdict names the row as a spreadsheet numbers it. Columns that are not
-    required stay in the map. Cells may be quoted; a quoted cell keeps its commas.
+    required stay in the map. Cells may be quoted; a quoted cell keeps its commas and line ends.
     """
-    lines = F.filter(F.split(F.regexp_replace(F.col(column), r"(\r?\n)+$", ""), r"\r?\n"), lambda x: x.isNotNull())
-    cells = lambda x: F.transform(F.regexp_extract_all(F.concat(x, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), 1), lambda c: F.trim(F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))))
+    lines, cells = csv_records(F.col(column)), csv_cells
     rows = files.select(key, F.transform(lines, cells).alias("t")).select(key, F.transform(F.element_at("t", 1), F.lower).alias("head"), F.expr("slice(t, 2, greatest(size(t) - 1, 0))").alias("body"))
     missing = F.array_except(F.array(*map(F.lit, required)), "head")
     ragged = F.array_position(F.transform("body", lambda r: F.size(r) != F.size("head")), True)
