@@ -79,11 +79,13 @@ class Index:
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     bound: np.ndarray
     threshold: np.ndarray
-    blocks: list[tuple[np.ndarray, float, int]]  # each block's largest impact of each term, least threshold, longest item
+    blocks: list[tuple[int, int, float, int]]  # first item and end, least threshold, longest item
+    most: np.ndarray  # each block's largest impact of each term; 0 for a word that is no term
     bare: bool
     grams: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words, filter, hashes, their first slot, slots (3 * item + part)
     sizes: np.ndarray  # distinct hashes of each slot
     lone: bool  # some item has no part of five words beside the whole
+    numbers: _Numbers | None = None  # of words, filled by each worker
 
 
 def runs(ids: np.ndarray, k: int) -> np.ndarray:
@@ -146,26 +148,35 @@ def build_index(items: list[tuple[int | None, str | None]], share: float, whole:
     sides = [(*map(form, question_and_answer(t)), w) for (_, t), w in zip(items, texts)]
     parts = [tuple(map(shingles, x)) for x in sides]
     threshold = share * own
-    blocks = []
+    blocks, mosts = [], []
     for lo in range(0, n, per_block):
         most = np.zeros(len(postings) + 1)
         for t, (at, _, largest, last) in enumerate(postings):
             k = int(np.searchsorted(last // per_block, lo // per_block))
             if k < len(last) and last[k] // per_block == lo // per_block:
                 most[t] = largest[k]
-        blocks.append((most, float(threshold[lo : lo + per_block].min()), max(map(len, texts[lo : lo + per_block]))))
-    return Index([i for i, _ in items], parts, terms, postings, bound, threshold, blocks, whole, *gram_index(sides, terms))
+        mosts.append(most)
+        blocks.append((lo, min(lo + per_block, n), float(threshold[lo : lo + per_block].min()), max(map(len, texts[lo : lo + per_block]))))
+    mosts = np.array(mosts).reshape(len(blocks), len(postings) + 1)
+    return Index([i for i, _ in items], parts, terms, postings, bound, threshold, blocks, mosts, whole, *gram_index(sides, terms))
 
 
-def block_max_wand(index: Index, query: list[int]) -> list[tuple[int, float]]:
-    """(item, score) of all items that reach their threshold for the distinct terms in `query`.
+def block_max_wand(index: Index, query: list[int], lo: int = 0, hi: int | None = None, bounds: np.ndarray | None = None) -> list[tuple[int, float]]:
+    """(item, score) of all items in [lo, hi), or of all, that reach their threshold for the distinct terms in `query`.
 
     Thresholds differ between items, so the least of them guides the pivot and
-    each fully scored item is held against its own.
+    each fully scored item is held against its own. `bounds` has the terms' largest impacts in the range.
     """
-    least = float(index.threshold.min()) - 1e-9
-    lists = [(index.postings[t], [0], float(index.bound[t])) for t in query]
-    ends = {id(x): len(x[0][0]) for x in lists}
+    hi = len(index.items) if hi is None else hi
+    bounds = index.bound if bounds is None else bounds
+    least = float(index.threshold[lo:hi].min()) - 1e-9
+    lists, ends = [], {}
+    for t in query:
+        held = index.postings[t]
+        first, end = (0, len(held[0])) if hi - lo == len(index.items) else np.searchsorted(held[0], (lo, hi)).tolist()
+        if first < end:
+            lists.append((held, [first], float(bounds[t])))
+            ends[id(lists[-1])] = end
     out = []
     while True:
         lists = [x for x in lists if x[1][0] < ends[id(x)]]
@@ -228,26 +239,46 @@ def held_items(index: Index, ids: np.ndarray, percent: int) -> list[int]:
     return item[enough[:, :2].all(1) | (index.bare & enough[:, 2])].tolist()
 
 
-def candidates(index: Index, words: list[bytes], percent: int) -> dict[int, tuple[float, bool]]:
-    """Items that some passage of the document retrieves, with the best score, or that only the document as a whole holds, with its score; and which of both."""
-    get, none = index.terms.get, len(index.postings)
-    ids = np.array([get(w, none) for w in words], np.int64)
+def earlier(ids: np.ndarray) -> np.ndarray:
+    """The last place before each where the same number stands; -1 without one."""
+    order = np.argsort(ids, kind="stable")
+    out = np.full(len(ids), -1)
+    again = ids[order[1:]] == ids[order[:-1]]
+    out[order[1:][again]] = order[:-1][again]
+    return out
+
+
+#: Impacts of words under blocks that are summed together.
+SUMS = 1 << 20
+
+
+def candidates(index: Index, ids: np.ndarray, percent: int) -> dict[int, tuple[float, bool]]:
+    """Items that some passage of the document (numbers of its words) retrieves, with the best score, or that only the document as a whole holds, with its score; and which of both."""
+    none = len(index.postings)
     found: dict[int, tuple[float, bool]] = {}
-    for most, least, longest in index.blocks:
-        least -= 1e-9
-        total = np.concatenate([[0.0], np.cumsum(most[ids])])
-        if total[-1] < least:
-            continue
-        step = max(4, longest // 4)
-        start = np.arange(0, len(ids), step)
-        end = np.minimum(start + longest + longest // 4 + step, len(ids))
-        for k in np.flatnonzero(total[end] - total[start] >= least).tolist():  # repeated terms only raise the bound
-            query = np.unique(ids[start[k] : end[k]])
-            query = query[most[query] > 0]
-            if most[query].sum() < least:
+    before = None
+    together = max(1, SUMS // (len(ids) + 1))
+    for group in range(0, len(index.blocks), together):
+        values = index.most[group : group + together][:, ids]
+        totals = np.zeros((len(values), len(ids) + 1))
+        np.cumsum(values, axis=1, out=totals[:, 1:])
+        for value, total, most, (first, last, least, longest) in zip(values, totals, index.most[group:], index.blocks[group:]):
+            least -= 1e-9
+            if total[-1] < least:
                 continue
-            for item, score in block_max_wand(index, query[query < none].tolist()):
-                found[item] = max((score, True), found.get(item, (0.0, True)))
+            step = max(4, longest // 4)
+            start = np.arange(0, len(ids), step)
+            end = np.minimum(start + longest + longest // 4 + step, len(ids))
+            hopeful = total[end] - total[start] >= least  # repeated terms only raise the bound
+            for lo, hi in zip(start[hopeful].tolist(), end[hopeful].tolist()):
+                if before is None:
+                    before = earlier(ids)
+                if value[lo:hi][before[lo:hi] < lo].sum() < least - 1e-9:  # each term counted once
+                    continue
+                query = np.unique(ids[lo:hi])
+                query = query[most[query] > 0]
+                for item, score in block_max_wand(index, query[query < none].tolist(), first, last, most):
+                    found[item] = max((score, True), found.get(item, (0.0, True)))
     for item in set(held_items(index, ids, percent)).difference(found):
         score = 0.0
         for t in np.unique(ids[ids < none]).tolist():
@@ -259,12 +290,35 @@ def candidates(index: Index, words: list[bytes], percent: int) -> dict[int, tupl
     return found
 
 
+#: Words whose numbers a Python worker keeps.
+KEPT_WORDS = 500_000
+
+
+class _Numbers(dict):
+    """The number of each word of a text, once it has been looked up in the index."""
+
+    def __init__(self, index: Index):
+        super().__init__()
+        self.get_term, self.none, self.bare = index.terms.get, len(index.postings), index.bare
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        number = self[word] = self.get_term(word.strip(EDGES) or word if self.bare else word, self.none)
+        return number
+
+
 def leaks(index: Index, text: str | None, percent: int) -> list[tuple]:
     """(item_id, question shingles, hits, answer shingles, hits, score, retrieved) of each item that the text holds."""
-    words = bare(words_of(text)) if index.bare else words_of(text)
-    found = candidates(index, words, percent) if words and index.items else {}
+    raw = words_of(text)
+    if not raw or not index.items:
+        return []
+    if index.numbers is None:
+        index.numbers = _Numbers(index)
+    found = candidates(index, np.fromiter(map(index.numbers.__getitem__, raw), np.int64, len(raw)), percent)
     if not found:
         return []
+    words = bare(raw) if index.bare else raw
     have, joined, out = shingles(words), b" " + b" ".join(words) + b" ", []
     for item, (score, retrieved) in found.items():
         sides = index.parts[item]
