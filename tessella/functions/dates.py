@@ -131,3 +131,90 @@ def due_date(text: Column) -> Column:
         .when(half != "", F.last_day(F.make_date(number(h_year), number(half) * 6, F.lit(1))))
         .when(month != "", F.last_day(F.make_date(number(m_year), month_number(month), F.lit(1)))).when(year != "", F.make_date(number(year), F.lit(12), F.lit(31)))
     )
+
+
+# what houses print ---------------------------------------------------------------
+
+_MONTH = "(" + "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") + ("|sept" if m == "September" else "") for m in MONTHS.split("|")) + r")\.?"
+_WEEKDAY = r"(mon|tue|wed|thu|fri|sat|sun)(?:day|s|sday|nesday|rs|rsday|urday)?\.?,?"
+WEEKDAYS = ("mondays", "tuesdays", "wednesdays", "thursdays", "fridays", "saturdays", "sundays")
+
+
+def _number(text: Column) -> Column:
+    return text.try_cast("int")
+
+
+def printed_years(text: Column) -> Column:
+    """The years 20xx that a text prints, each once, in order of size."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(20\d{2})\b"), 1), lambda y: y.cast("int"))))
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+
+
+def completed(month: Column, day: Column, years: Column, as_of: Column) -> Column:
+    """The date of a month and day: in the least of the printed `years`, else this year if it is no more than 14 days gone, else the next; null if there is none."""
+    this = _day(F.year(as_of), month, day)
+    near = F.when(this >= F.date_sub(as_of, 14), this).otherwise(_day(F.year(as_of) + 1, month, day))
+    return F.when(month.isNotNull() & day.isNotNull(), F.when(F.size(years) > 0, _day(F.get(years, F.lit(0)), month, day)).otherwise(near))
+
+
+def translated_when(text: Column, as_of: Column, page: Column) -> Column:
+    """The day that a text prints, in whatever form: 2026-08-01 at its start, Aug 1st (a weekday before it says nothing), 1 August, 8/1, 13/8, 8/1/2026, 8/1/26.
+
+    A range is its first day. The year is that of the text, else the least that `page` prints, else the
+    one nearest to `as_of` (completed). No hour is made up. Null for a text without a day, or with one that no calendar has.
+    """
+    raw = F.trim(text)
+    get = lambda p, i: F.regexp_extract(raw, p, i)
+    iso, mdy, dmy = r"^(20\d{2}-\d{2}-\d{2})(?:[T ].+)?$", rf"(?i)\b{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?\b(?!\d)", rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{_MONTH}(?![a-z])"
+    slash = r"\b(\d{1,2})/(\d{1,2})(?:/(20\d{2}|\d{2}))?\b"
+    years = F.when(F.size(printed_years(raw)) > 0, printed_years(raw)).otherwise(printed_years(page))
+    a, b, y = _number(get(slash, 1)), _number(get(slash, 2)), get(slash, 3)
+    swap = (a > 12) & (b <= 12)
+    own = F.when(y != "", F.array(_number(F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)))).otherwise(years)
+    return (
+        F.when(raw.rlike(iso), F.try_to_date(get(iso, 1), "yyyy-MM-dd")).when(raw.rlike(mdy), completed(month_number(get(mdy, 1)), _number(get(mdy, 2)), years, as_of))
+        .when(raw.rlike(dmy), completed(month_number(get(dmy, 2)), _number(get(dmy, 1)), years, as_of)).when(raw.rlike(slash), completed(F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), own, as_of))
+    )
+
+
+def _clocks(window: Column) -> Column:
+    """struct start, stop: minutes since midnight of the first range such as 7-9:30 pm, or of the first clock; null where none is printed."""
+    span, one = r"(?i)\b(\d{1,2})(?::(\d{2}))?\s*(?:-|–|to)\s*(\d{1,2})(?::(\d{2}))?\s*([ap])\.?m\.?", r"(?i)\b(\d{1,2})(?::(\d{2}))?\s*([ap])\.?m\.?"
+    get = lambda p, i: F.regexp_extract(window, p, i)
+    minutes = lambda p, h, m, ap: (_number(get(p, h)) % 12 + F.when(F.lower(get(p, ap)) == "p", 12).otherwise(0)) * 60 + F.coalesce(_number(get(p, m)), F.lit(0))
+    return F.struct(
+        F.when(window.rlike(span), minutes(span, 1, 2, 5)).when(window.rlike(one), minutes(one, 1, 2, 3)).alias("start"), F.when(window.rlike(span), minutes(span, 3, 4, 5)).alias("stop"))
+
+
+def house_nights(card: Column, page: Column, as_of: Column) -> Column:
+    """The nights that a card prints, by date: structs of day, start and stop (minutes since midnight, null where no clock is near).
+
+    A night is a weekday with a month and day, in every year that the card (else the title and headings of its page, else
+    `as_of`) prints and in which that day is that weekday; its clock is printed within 48 characters
+    behind it, and before the next night. "Continues through Sep 5" with weekdays in the plural
+    gives each such weekday from `as_of` to that day. Equal nights count once.
+    """
+    hit = rf"(?i)\b{_WEEKDAY}\s+{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?\b"
+    heads = F.regexp_replace(F.array_join(F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(r"(?is)<(?:title|h[1-3])\b[^>]*>(.*?)</(?:title|h[1-3])>"), 1), " "), "<[^>]+>", " ")
+    own = printed_years(card)
+    years = F.when(F.size(own) > 0, own).when(F.size(printed_years(heads)) > 0, printed_years(heads)).otherwise(F.array(F.year(as_of)))
+    pieces = F.filter(F.split(card, f"(?={hit})"), lambda p: p.rlike(f"^{hit}"))
+    weekday = lambda name: F.array_position(F.array(*(F.lit(w[:3]) for w in WEEKDAYS)), F.lower(F.substring(name, 1, 3))) - 1
+
+    def nights(piece: Column) -> Column:
+        get = lambda i: F.regexp_extract(piece, f"^{hit}", i)
+        clock = _clocks(F.substr(F.regexp_replace(piece, f"^{hit}", ""), F.lit(1), F.lit(48)))
+        days = F.filter(F.transform(years, lambda y: _day(y, month_number(get(2)), _number(get(3)))), lambda d: d.isNotNull() & (F.weekday(d) == weekday(get(1))))
+        return F.transform(days, lambda d: F.struct(d.alias("day"), clock["start"].alias("start"), clock["stop"].alias("stop")))
+
+    until = rf"(?i)Continues through\s+{_MONTH}\s+(\d{{1,2}})"
+    last = _day(F.element_at(years, -1), month_number(F.regexp_extract(card, until, 1)), _number(F.regexp_extract(card, until, 2)))
+    named = F.transform(F.regexp_extract_all(card, F.lit(rf"(?i)\b({'|'.join(WEEKDAYS)})\b"), 1), weekday)
+    # before the first dated night
+    general = _clocks(F.get(F.split(card, f"(?={hit})"), F.lit(0)))
+    run = F.when((last >= as_of) & (F.size(named) > 0), F.filter(F.sequence(as_of, last), lambda d: F.array_contains(named, F.weekday(d))))
+    runs = F.transform(F.coalesce(run, F.array().cast("array<date>")), lambda d: F.struct(d.alias("day"), general["start"].alias("start"), general["stop"].alias("stop")))
+    return F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(pieces, nights)), runs)))

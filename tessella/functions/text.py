@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and what comparison keys put in their place.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+from .unicode import casefolded, latin_folded, without_marks
 
 
 def title_key(title: Column) -> Column:
-    """Lower case, runs of anything but letters, marks and digits as one space; null for nothing."""
-    return F.nullif(F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}\p{M}]+", " ")), F.lit(""))
+    """Case and composition folded, runs of anything but letters, marks and digits as one space; null for nothing."""
+    return F.nullif(F.trim(F.regexp_replace(casefolded(title), r"[^\p{L}\p{N}\p{M}]+", " ")), F.lit(""))
 
 
 def folded_words(text: Column) -> Column:
-    """Tags stripped, lower case, Latin marks folded, runs of anything but letters and digits as one space."""
-    plain = F.translate(F.lower(F.regexp_replace(text, "<[^>]*>", " ")), MARKED, PLAIN)
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+    """Tags stripped, case and all marks folded, runs of anything but letters and digits as one space."""
+    return F.trim(F.regexp_replace(without_marks(F.regexp_replace(text, "<[^>]*>", " ")), r"[^\p{L}\p{N}]+", " "))
 
 
 def hard_key(value: Column) -> Column:
-    """Comparison key: Latin marks folded, apostrophes deleted, punctuation as space, no leading "the"."""
-    folded = F.translate(F.lower(F.coalesce(value, F.lit(""))), MARKED, PLAIN)
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(folded, "['’]", ""), "[^a-z0-9]+", " "))
+    """Comparison key: marks of Latin letters folded, apostrophes deleted, punctuation as space, no leading "the"."""
+    folded = latin_folded(F.coalesce(value, F.lit("")))
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(folded, "['’‘ʼ]", ""), r"[^\p{L}\p{N}\p{M}]+", " "))
     return F.regexp_replace(spaced, "^the ", "")
 
 

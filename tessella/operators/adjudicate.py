@@ -19,13 +19,14 @@ COLLISION, UNTITLED, FAR = "collision", "untitled", "far"
 TITLE_HOURS = 12
 
 
-def match_kind(p: str, c: str) -> Column:
+def match_kind(p: str, c: str, key: str | None = None) -> Column:
     """How the parsed listing `c` meets the published row `p` (column prefixes of structs); null where it doesn't.
 
-    An identity decides both ways; other sources never match; then the minute, then the title.
+    An identity decides both ways; other sources never match; then the minute, then the title. `key` names
+    a field that holds the title's key already.
     """
     f = lambda side, name: F.col(f"{side}.{name}")
-    pt, ct = title_key(f(p, "title")), title_key(f(c, "title"))
+    pt, ct = (f(side, key) if key else title_key(f(side, "title")) for side in (p, c))
     minute = F.coalesce(same_minute(f(p, "start"), f(c, "start")), F.lit(False))
     same_title = F.coalesce(pt == ct, F.lit(False))
     apart = F.abs(F.timestamp_diff("MINUTE", f(p, "start"), f(c, "start")))
@@ -42,9 +43,10 @@ def match_pairs(published: DataFrame, parsed: DataFrame) -> DataFrame:
     """p, c (structs) and kind of every pair of a page that meets; only rows that share an identity, minute or title are paired."""
 
     def keyed(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.withColumn("title_key", title_key(F.col("title")))  # once a row, not once a pair
         keys = F.array(
             F.struct(F.lit("i").alias("by"), F.col("ident").alias("v")), F.struct(F.lit("m").alias("by"), F.date_trunc("minute", "start").cast("string").alias("v")),
-            F.struct(F.lit("t").alias("by"), title_key(F.col("title")).alias("v")))
+            F.struct(F.lit("t").alias("by"), F.col("title_key").alias("v")))
         return rows.select(F.col("page").alias(f"{name}_page"), F.struct("*").alias(name), F.explode(F.filter(keys, lambda k: k["v"].isNotNull())).alias("key"))
 
     a, b = keyed(published, "p"), keyed(parsed, "c").withColumnRenamed("key", "key_c")
@@ -52,7 +54,7 @@ def match_pairs(published: DataFrame, parsed: DataFrame) -> DataFrame:
     # a pair that shares several keys counts under the first of them
     minute = F.coalesce(same_minute(F.col("p.start"), F.col("c.start")), F.lit(False))
     first = F.when(F.coalesce(F.col("p.ident") == F.col("c.ident"), F.lit(False)), "i").when(minute, "m").otherwise("t")
-    return pairs.where(F.col("key.by") == first).select("p", "c", match_kind("p", "c").alias("kind")).where("kind is not null")
+    return pairs.where(F.col("key.by") == first).select("p", "c", match_kind("p", "c", "title_key").alias("kind")).where("kind is not null")
 
 
 def field_diff(p: str, c: str, kind: Column) -> Column:
@@ -82,19 +84,19 @@ def bracket(parsed: DataFrame) -> DataFrame:
 
 def adjudicate(published: DataFrame, parsed: DataFrame, pages: DataFrame) -> DataFrame:
     """row, decision (cancel, update or keep), reason and fields of each published row; the first rule that applies decides."""
-    every = match_pairs(published, parsed).select("p.row", "c.item", "p", "c", "kind")
-    hit = F.col("kind").isin(IDENTITY, TIME, TITLE)
+    every = match_pairs(published, parsed).select("p.row", "c.item", F.struct("c.start", "c.end", "c.title", "c.gate").alias("c"), "kind")
     w = Window.partitionBy("row")
-    named = every.withColumn("by_id", F.max(F.when(F.col("kind") == IDENTITY, 1).otherwise(0)).over(w))
-    hits = named.where(hit & ((F.col("by_id") == 0) | (F.col("kind") == IDENTITY)))
-    hits = hits.withColumn("hits", F.count("*").over(w)).withColumn("claims", F.count("*").over(Window.partitionBy("item")))
-    one = hits.groupBy("row").agg(F.max("hits").alias("hits"), F.max("claims").alias("claims"), F.min_by(F.struct("c", "kind"), "item").alias("hit"))
-    near = every.where(~hit).select(F.col("row").alias("near_row")).distinct()
+    known = F.col("kind") == IDENTITY
+    named = every.withColumn("by_id", F.max(known).over(w)).withColumn("hit", F.col("kind").isin(IDENTITY, TIME, TITLE) & (~F.col("by_id") | known))
+    counted = named.withColumns({"hits": F.count(F.when(F.col("hit"), 1)).over(w), "claims": F.count(F.when(F.col("hit"), 1)).over(Window.partitionBy("item"))})
+    found = counted.groupBy(F.col("row").alias("met_row")).agg(
+        F.max(F.when(F.col("hit"), F.col("hits"))).alias("hits"), F.max(F.when(F.col("hit"), F.col("claims"))).alias("claims"), F.min(F.when(F.col("hit"), F.struct("item", "c", "kind"))).alias("hit"),
+        F.max(~F.col("kind").isin(IDENTITY, TIME, TITLE)).alias("near"))
     read = parsed.groupBy("page").agg(F.count("*").alias("n_parsed")).join(bracket(parsed), "page", "left")
     facts = pages.join(read, "page", "left").withColumnRenamed("page", "fact_page")
     doubt = contested_minutes(parsed).select(F.col("page").alias("doubt_page"), "minute")
-    rows = published.select("row", "page", F.struct("*").alias("p")).join(facts, F.col("page") == F.col("fact_page"), "left").join(one, "row", "left")
-    rows = rows.join(near, F.col("row") == F.col("near_row"), "left").join(doubt, (F.col("page") == F.col("doubt_page")) & (F.date_trunc("minute", "hit.c.start") == F.col("minute")), "left")
+    rows = published.select("row", "page", F.struct("*").alias("p")).join(facts, F.col("page") == F.col("fact_page"), "left").join(found, F.col("row") == F.col("met_row"), "left")
+    rows = rows.join(doubt, (F.col("page") == F.col("doubt_page")) & (F.date_trunc("minute", "hit.c.start") == F.col("minute")), "left")
     rows = rows.withColumn("kind", F.col("hit.kind")).withColumn("c", F.col("hit.c"))
     diff = field_diff("p", "c", F.col("kind"))
     end = F.when(F.array_contains(diff, "end_time"), F.col("c.end")).otherwise(F.col("p.end"))
@@ -103,7 +105,7 @@ def adjudicate(published: DataFrame, parsed: DataFrame, pages: DataFrame) -> Dat
     reason = (
         F.when(F.col("verdict") == "absent", "page_gone").when(~F.coalesce(F.col("verdict") == "present", F.lit(False)), "page_unverified").when(F.col("n_parsed").isNull(), "nothing_parsed")
         .when((F.col("hits") > 1) | (F.col("claims") > 1), "ambiguous")
-        .when(F.col("hits").isNull(), F.when(F.col("near_row").isNotNull(), "neighbour").when(F.coalesce(still_on_page(F.col("p.title"), F.col("text")), F.lit(True)), "still_on_page")
+        .when(F.col("hits").isNull(), F.when(F.col("near"), "neighbour").when(F.coalesce(still_on_page(F.col("p.title"), F.col("text")), F.lit(True)), "still_on_page")
               .when(~covered, "not_bracketed").otherwise("not_listed"))
         .when((F.col("kind") != IDENTITY) & F.col("minute").isNotNull(), "contested").when(F.size(diff) == 0, "no_difference").when(~F.coalesce(F.col("c.gate"), F.lit(False)), "gate")
         .when(F.col("kind") == TITLE, "title_only").when(F.coalesce(end <= start, F.lit(False)), "window").otherwise("stated")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chains import components as components
+from .chains import trace
+
 
 def k_hop(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """id and depth of what `start` (id) reaches in at most `hops` undirected steps over `edges` (src, dst); the plan has one join a hop."""
@@ -47,20 +50,8 @@ def ledger_as_of(log: DataFrame, moment: str) -> DataFrame:
 
 
 def lineage(parents: DataFrame, start: DataFrame) -> DataFrame:
-    """id, ancestor and step of each chain from `start` up `parents` (id, parent) to its origin.
-
-    One join a step until no row goes on; each step is kept for the next. A
-    chain that comes back to its start ends there.
-    """
-    row = start.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("step"))
-    out, step = row, 0
-    up = parents.where("parent is not null").select(F.col("id").alias("of"), "parent").persist()
-    while True:
-        step += 1
-        row = row.join(up, F.col("ancestor") == F.col("of")).where("parent <> id").select("id", F.col("parent").alias("ancestor"), F.lit(step).alias("step")).persist()
-        if row.isEmpty():
-            return out
-        out = out.unionByName(row)
+    """id, ancestor and step of each chain from `start` up `parents` (id, parent) to its origin; a chain that comes back to a node ends before it."""
+    return trace(parents, start)
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, hops: int, kinds: list[str] | None = None, gone: DataFrame | None = None) -> DataFrame:
@@ -91,18 +82,6 @@ def superseded(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("revision", F.row_number().over(w)).withColumn("superseded_by", F.lead(order[-1]).over(w))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id and component (least id reachable) of every node; labels spread until none changes. For node sets that fit a cache."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().persist()
-    labels = nodes.select("id", F.col("id").alias("component"))
-    while True:
-        near = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("low"))
-        moved = labels.join(near, F.col("id") == F.col("src"), "left").select("id", F.least("component", "low").alias("component"), F.col("component").alias("old")).persist()
-        if moved.where("component <> old").isEmpty():
-            return moved.select("id", "component")
-        labels = moved.select("id", "component")
-
-
 def folded(entities: DataFrame, merges: DataFrame) -> DataFrame:
     """id and canonical of every entity after the standing merges (seq, src, dst, undo): of each src the latest row counts, and an undo takes it back."""
     latest = merges.groupBy("src").agg(F.max_by(F.struct("dst", "undo"), "seq").alias("m")).where("not m.undo").select("src", "m.dst")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chains import components
+
 
 def instant_key(said: Column) -> Column:
     """The moment that a text states, to the second, or else the text itself."""
@@ -28,8 +30,18 @@ def same_page(rows: DataFrame) -> DataFrame:
 
 
 def desk_union(rows: DataFrame) -> DataFrame:
-    """grp and one happening of `rows` (pos, desk, night, place, title, performer, kind, stated): rows of one night and place with one performer; a row without a night stays alone."""
-    grp = F.when(F.col("night").isNull(), F.concat(F.lit("row:"), F.col("pos").cast("string"))).otherwise(F.concat_ws("~", "night", F.lower("place"), "performer"))
-    return rows.withColumn("grp", grp).groupBy("grp").agg(
-        F.count("*").alias("members"), F.count_distinct("desk").alias("desks"), F.min("pos").alias("first_pos"), F.min_by("title", "pos").alias("title"),
+    """grp and one happening of `rows` (pos, desk, night, place, title, performer, kind, stated): rows of one night and place with one title or one performer, and whatever these join.
+
+    A missing part joins nothing: a row without night or place, or with neither title nor performer, stays alone. The first
+    row owns the title; a stated kind beats a defaulted one; `titles` counts the titles that a performer has brought together.
+    """
+    part = lambda c: F.nullif(F.trim(F.lower(F.col(c).cast("string"))), F.lit(""))
+    known = part("night").isNotNull() & part("place").isNotNull()
+    key = lambda tag, c: F.when(known & part(c).isNotNull(), F.concat_ws("~", part("night"), part("place"), F.concat(F.lit(tag), part(c))))
+    keyed = rows.withColumn("by_performer", key("p:", "performer")).withColumn("by_title", key("t:", "title"))
+    keyed = keyed.withColumn("own", F.coalesce("by_performer", "by_title"))
+    found = components(keyed.select(F.col("by_performer").alias("src"), F.col("by_title").alias("dst")), keyed.select(F.col("own").alias("id")).where("id is not null"))
+    grouped = keyed.join(found, F.col("own") == F.col("id"), "left").withColumn("grp", F.coalesce("component", F.concat(F.lit("row:"), F.col("pos").cast("string"))))
+    return grouped.groupBy("grp").agg(
+        F.count("*").alias("members"), F.count_distinct("desk").alias("desks"), F.min("pos").alias("first_pos"), F.min_by("title", "pos").alias("title"), F.count_distinct(part("title")).alias("titles"),
         F.coalesce(first_known("kind", "pos", F.col("stated")), first_known("kind", "pos")).alias("kind"))

@@ -159,3 +159,34 @@ def printed_lines(t: Tables) -> DataFrame:
     start = F.when(order_key() % 3 == 0, order_date()).when(order_key() % 3 == 1, hour)
     line = F.when(dates.precision(start) == "none", "Date to come").when(dates.precision(start) == "date", F.date_format(start, "E MMM d")).otherwise(F.date_format(start, "E MMM d, h:mm a"))
     return t.orders.select(order_key(), line.alias("line"))
+
+
+@query("""with o as (select o_orderkey as k, cast(o_orderdate as date) as d, strftime(o_orderdate, '%b %-d') as md from orders),
+y as (select k, d, case k % 8 when 0 then d when 1 then make_date(2024, month(d), day(d)) when 2 then make_date(2021, month(d), day(d)) when 3 then d when 4 then make_date(2026, month(d), day(d)) when 7 then make_date(2025, month(d), day(d)) end as said
+  from o where not (month(d) = 2 and day(d) = 29)),
+w as (select k, d, make_date(1998, month(d), day(d)) as this from o where not (month(d) = 2 and day(d) = 29))
+select y.k as event, strftime(case y.k % 8 when 5 then case when w.this >= date '1998-08-02' - interval 14 day then w.this else make_date(1999, month(w.this), day(w.this)) end else said end, '%Y-%m-%d') as day from y join w on w.k = y.k
+  where y.k % 8 not in (0, 3)""")
+def translated_days(t: Tables) -> DataFrame:
+    """The day that a text prints in one of many forms, its year from the text, else from the page, else the one near a date; none is no day."""
+    k, day = order_key(), order_date()
+    md = lambda f: F.date_format(day, f)
+    text = _case(8, F.lit(""), _text(md("EEE"), " ", md("MMMM"), " ", md("d"), "th at 8pm"), _text(md("MMM"), ". ", md("d"), ", 2021 or 2023"), F.lit(""), _text(md("M"), "/", md("d"), "/26"), _text(md("d"), " ", md("MMM")), F.lit("soon"), _text("2025-", md("MM"), "-", md("dd"), "T20:00"))
+    rows = t.orders.where("not (month(o_orderdate) = 2 and day(o_orderdate) = 29) and o_orderkey % 8 not in (0, 3)")
+    found = dates.translated_when(text, F.lit("1998-08-02").cast("date"), F.when(k % 8 == 1, "season 2024/2025"))
+    return rows.select(k.alias("event"), F.date_format(found, "yyyy-MM-dd").alias("day"))
+
+
+@query("""with o as (select o_orderkey as k, cast(o_orderdate as date) as d from orders where o_orderkey % 3 = 0 and not (month(o_orderdate) = 2 and day(o_orderdate) >= 28)),
+n as (select k, cast(d as date) as night, 0 as nth from o union all select k, cast(d + interval 1 day as date), 1 from o),
+y as (select k, nth, strftime(night, '%a') as said, make_date(2027, month(night), day(night)) as day from n)
+select k as event, strftime(day, '%Y-%m-%d') as day, case when nth = 0 then 1200 when k % 2 = 0 then 1170 end as start, case when nth = 1 and k % 2 = 0 then 1320 end as stop from y where strftime(day, '%a') = said""")
+def house_nights(t: Tables) -> DataFrame:
+    """The nights that a card prints, each with the clock near it; the year is the card's own, or that of its page in which the weekday is right."""
+    k, day, nxt = order_key(), order_date(), F.date_add(order_date(), 1)
+    shown = lambda d: F.date_format(d, "EEEE, MMM d")
+    card = _text(shown(day), " 8pm with guests and friends, ", shown(nxt), F.when(k % 2 == 0, " 7:30-10 p.m.").otherwise(" late"))
+    rows = t.orders.where("not (month(o_orderdate) = 2 and day(o_orderdate) >= 28)")
+    head = _text("<title>Season 2027</title><h2>x</h2>")
+    nights = dates.house_nights(card, head, F.lit("1998-08-02").cast("date"))
+    return rows.where("o_orderkey % 3 = 0").select(k.alias("event"), F.explode(nights).alias("n")).select("event", F.date_format("n.day", "yyyy-MM-dd").alias("day"), "n.start", "n.stop")

@@ -195,12 +195,13 @@ def store_coverage(t: Tables) -> DataFrame:
 UNION_SQL = """d as (select p_partkey as pos, p_size % 5 as desk, case when p_partkey % 6 > 0 then p_size end as night, p_brand as place, p_name as title, split_part(p_name, ' ', 2) as performer, p_type as kind, p_partkey % 3 = 0 as stated from part)"""
 
 
-@query(f"""with {UNION_SQL}, k as (select *, case when night is not null then night || '~' || lower(place) || '~' || lower(title) end as key from d), f as (select night, place, performer, min(pos) as lead from d where night is not null group by 1, 2, 3),
-g as (select k.*, case when k.night is null then 'row:' || k.pos else night || '~' || lower(place) || '~' || performer end as grp from k)
-select grp, count(*) as members, count(distinct desk) as desks, min(pos) as first_pos, min_by(title, pos) as title, coalesce(min_by(kind, pos) filter (where stated), min_by(kind, pos)) as kind from g group by grp""")
+@query(f"""with {UNION_SQL}, n as (select pos, desk, night, lower(case when pos % 11 > 0 then place end) as place, title, case when pos % 7 > 0 then performer end as performer, kind, stated from d),
+k as (select *, case when performer is not null then performer else max(performer) over (partition by night, place, title) end as by_title from n),
+g as (select *, case when night is null or place is null then 'row:' || pos else night || '~' || place || '~' || coalesce('p:' || by_title, 't:' || title) end as grp from k)
+select grp, count(*) as members, count(distinct desk) as desks, min(pos) as first_pos, min_by(title, pos) as title, count(distinct title) as titles, coalesce(min_by(kind, pos) filter (where stated), min_by(kind, pos)) as kind from g group by grp""")
 def desk_union(t: Tables) -> DataFrame:
     """Rows of several desks as one happening: of one night, place and title or performer; the first desk owns the title, a stated kind beats a defaulted one."""
     rows = t.part.select(
-        F.col("p_partkey").alias("pos"), (F.col("p_size") % 5).alias("desk"), F.when(F.col("p_partkey") % 6 > 0, F.col("p_size")).alias("night"), F.col("p_brand").alias("place"), F.col("p_name").alias("title"),
-        F.split_part("p_name", F.lit(" "), F.lit(2)).alias("performer"), F.col("p_type").alias("kind"), (F.col("p_partkey") % 3 == 0).alias("stated"))
+        F.col("p_partkey").alias("pos"), (F.col("p_size") % 5).alias("desk"), F.when(F.col("p_partkey") % 6 > 0, F.col("p_size")).alias("night"), F.when(F.col("p_partkey") % 11 > 0, F.col("p_brand")).alias("place"), F.col("p_name").alias("title"),
+        F.when(F.col("p_partkey") % 7 > 0, F.split_part("p_name", F.lit(" "), F.lit(2))).alias("performer"), F.col("p_type").alias("kind"), (F.col("p_partkey") % 3 == 0).alias("stated"))
     return union.desk_union(rows)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import graph, state
+from ..operators import chains, folds, graph, state
 from ..sources.tables import Tables
 
 EDGES_SQL = """edges as (select 'n' || n_nationkey as src, 'r' || n_regionkey as dst, 'in' as kind from nation union all select 's' || s_suppkey, 'n' || s_nationkey, 'based' from supplier
@@ -95,7 +95,7 @@ def token_families(t: Tables) -> DataFrame:
     parts = F.split("id", "-")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(F.sequence(F.lit(1), F.size(parts) - i + 1), lambda n: F.array_join(F.slice(parts, i, n), "-"))))
     inner = names.select(F.col("id").alias("src"), F.explode(F.array_distinct(runs)).alias("dst")).where("src <> dst")
-    return graph.components(inner.join(names.select(F.col("id").alias("dst")), "dst", "left_semi"), names)
+    return chains.components(inner.join(names.select(F.col("id").alias("dst")), "dst", "left_semi"), names)
 
 
 @query("""with m as (select l_suppkey % 50 as src, max_by(l_partkey % 50, l_orderkey * 100 + l_linenumber * 10 + l_partkey % 10) as dst, max_by(l_quantity < 25, l_orderkey * 100 + l_linenumber * 10 + l_partkey % 10) as undo,
@@ -106,6 +106,69 @@ def entity_folds(t: Tables) -> DataFrame:
     return graph.folded(t.supplier.select(F.col("s_suppkey").alias("id")), rows)
 
 
+def _walked(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Desks of customers: a page an order, each with the next one's address; some pages are walls, some the last by their own word, some lead back."""
+    k, w = F.col("o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    url = lambda c: F.concat(F.lit("https://d.example/"), c.cast("string"))
+    rows = t.orders.select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(w).alias("after"), F.min("o_orderkey").over(Window.partitionBy("o_custkey")).alias("first"))
+    after = F.when(k % 19 == 0, F.col("first")).when(k % 23 == 0, F.lit(-1)).otherwise(F.col("after"))
+    pages = rows.select(url(k).alias("url"), url(after).alias("next"), F.when(k % 13 == 0, 403).when(k % 29 == 0, 500).alias("status"), (k % 17 == 0).alias("last"), (k % 2 == 0).alias("control"))
+    doors = rows.where("o_orderkey = first").select(F.col("o_custkey").alias("door"), url(k).alias("start"))
+    return chains.walks(pages, doors, most=8)
+
+
+WALK_SQL = """with recursive r as (select o_custkey, o_orderkey as k, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as after, min(o_orderkey) over (partition by o_custkey) as first from orders),
+p as (select o_custkey as door, k, first, case when k % 19 = 0 then first when k % 23 = 0 then -1 else after end as next, k % 13 = 0 as wall, k % 29 = 0 as broken, k % 17 = 0 as last from r),
+w(door, k, step, seen) as (select door, k, 0, [k] from p where k = first union all select w.door, p.next, w.step + 1, list_append(w.seen, p.next) from w join p on p.k = w.k
+  where not p.wall and not p.broken and not p.last and p.next is not null and w.step < 7 and not list_contains(w.seen, p.next))"""
+
+
+@query(WALK_SQL + " select door, cast(step as bigint) as step, 'https://d.example/' || k as url from w")
+def desk_walk_pages(t: Tables) -> DataFrame:
+    """The pages of every desk's walk along its own next links."""
+    return _walked(t)[0]
+
+
+@query(WALK_SQL + """, e as (select door, max_by(k, step) as k, count(*) as pages, max_by(seen, step) as seen from w group by door)
+select e.door, e.pages, 'https://d.example/' || e.k as last, case when p.k is null then 'fetch_error' when p.wall then 'wall' when p.broken then 'fetch_error' when p.last then 'desk_last_page'
+  when p.next is null then case when p.k % 2 = 0 then 'next_control_not_a_link' else 'no_next_link' end when list_contains(e.seen, p.next) then 'cycle' else 'max_pages' end as reason from e left join p on p.k = e.k""")
+def desk_walk_stops(t: Tables) -> DataFrame:
+    """How far every desk's walk came and why it stopped."""
+    return _walked(t)[1]
+
+
+def _folded(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Customers folded into the least of their nation; every third fold is undone, every sixth made again, every fifth tried once more."""
+    key, name = F.col("c_custkey"), lambda c: F.concat(F.lit("s"), c.cast("string"))
+    rows = t.customer.withColumn("least", F.min("c_custkey").over(Window.partitionBy("c_nationkey")))
+    entities = rows.select(name(key).alias("id"), F.col("c_name").alias("name"), F.array(F.concat(F.lit("alias "), key.cast("string"))).alias("aliases"), F.array(F.concat(F.lit("doc "), (key % 7).cast("string"))).alias("sources"))
+    step = lambda add, op: F.struct((key * 3 + add).alias("seq"), F.lit(op).alias("op"))
+    steps = F.array_compact(F.array(step(0, "fold"), F.when(key % 3 == 0, step(1, "undo")), F.when(key % 6 == 0, step(2, "fold")), F.when(key % 5 == 0, F.struct((key + 10_000_000).alias("seq"), F.lit("fold").alias("op")))))
+    log = rows.where("c_custkey <> least").select(F.explode(steps).alias("x"), name(F.col("least")).alias("canonical"), F.array(name(key)).alias("others")).select("x.*", "canonical", "others", F.lit("same nation").alias("rationale"), F.lit(0.9).alias("confidence"))
+    return folds.fold_log(entities, log)
+
+
+FOLD_SQL = """with e as (select c_custkey as k, c_name, min(c_custkey) over (partition by c_nationkey) as head from customer),
+f as (select *, k % 3 > 0 or k % 6 = 0 as early, k % 5 = 0 as late from e where k <> head),
+m as (select k as m, c_name, head, case when early then k else k + 10000000 end as spot from f where early or late)"""
+
+
+@query(FOLD_SQL + """, n as (select head, string_agg(c_name || ',alias ' || m, ',' order by spot) as more from m group by head), d as (select head, m % 7 as doc, 1 + spot as spot from m union all select distinct head, head % 7, 0 from e),
+o as (select head, doc, min(spot) as spot from d group by 1, 2), s as (select head, string_agg('doc ' || doc, ',' order by spot) as sources from o group by head)
+select 's' || e.k as id, 'alias ' || e.k || coalesce(',' || n.more, '') as aliases, case when e.k = e.head then s.sources else 'doc ' || (e.k % 7) end as sources, case when m.m is not null then 's' || m.head end as superseded_by,
+  case when n.more is not null then 'same nation' end as rationale from e left join m on m.m = e.k left join n on n.head = e.k left join s on s.head = e.k""")
+def reversible_folds(t: Tables) -> DataFrame:
+    """Entities after a log of folds, undoings and refusals: the canonical holds all names and sources of what stands folded into it."""
+    return _folded(t)[0].select("id", F.array_join("aliases", ",").alias("aliases"), F.array_join("sources", ",").alias("sources"), "superseded_by", "rationale")
+
+
+@query(FOLD_SQL + """ select k * 3 as seq, 'folded' as outcome from f union all select k * 3 + 1, 'undone' from f where k % 3 = 0 union all select k * 3 + 2, 'folded' from f where k % 6 = 0
+union all select k + 10000000, case when early then 'refused: superseded form' else 'folded' end from f where late""")
+def fold_outcomes(t: Tables) -> DataFrame:
+    """What became of each row of the log."""
+    return _folded(t)[1]
+
+
 @query("""with f as (select l_orderkey as k, unnest(['part', 'flag', 'tax']) as field, unnest([case when l_partkey % 5 > 0 then cast(l_partkey % 3 as varchar) end, case when l_partkey % 7 > 0 then l_returnflag end, case when l_tax > 0.02 then 't' end]) as said,
   unnest([case when l_partkey % 6 > 0 then cast(l_partkey % 3 + case when l_partkey % 4 = 0 then 1 else 0 end as varchar) end, case when l_partkey % 3 > 0 then l_returnflag end, case when l_tax > 0.04 then 't' end]) as truth from lineitem),
 c as (select field, count(*) filter (where said is not null and said = truth) as tp, count(*) filter (where said is not null and said is distinct from truth) as fp, count(*) filter (where truth is not null and said is distinct from truth) as fn, count(*) filter (where said is null and truth is null) as tn from f group by field)

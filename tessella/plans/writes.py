@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import promote, trust
+from ..operators import merge, promote, trust
 from ..sources.tables import FETCHES_SQL, Tables
-from ..streaming import crawl
+from ..sources.staging import shared_dir
+from ..sources.versions import Versions
+from ..streaming import crawl, learning
 
 def order_key() -> Column:
     return F.col("o_orderkey")
@@ -155,3 +157,62 @@ def streamed_fail_streaks(t: Tables) -> DataFrame:
     """Failures of each source since its last success, kept as state over a stream."""
     out = crawl.drained(crawl.fail_streaks(crawl.attempts(t.spark, f"{t.sf_dir}/events.parquet")), "update")
     return out.groupBy("source_id").agg(F.max_by(F.struct("n", "fail_streak"), "batch").alias("s")).select("source_id", "s.n", "s.fail_streak")
+
+
+def _promoted(tables: dict, rows: DataFrame) -> dict:
+    """One batch of candidates: each becomes an event or moves the one of its key, its status is kept, and every decision is logged."""
+    fresh = rows.select("key", F.col("seen").alias("first_seen"), F.col("seen").alias("last_seen"), "place")
+    events = merge.upsert_seen(tables["events"], fresh, ["key"], "first_seen", "last_seen") if "events" in tables else merge.upsert_seen(fresh.limit(0), fresh, ["key"], "first_seen", "last_seen")
+    status = rows.select("candidate", F.when(F.col("fit"), "promoted").otherwise("held").alias("status"))
+    log = rows.select("candidate", "key", F.when(F.col("fit"), "promoted").otherwise("held").alias("action"), "seen")
+    add = lambda name, new: new if name not in tables else tables[name].unionByName(new)
+    return {"events": events, "candidates": add("candidates", status), "audit": add("audit", log)}
+
+
+def _versions(t: Tables) -> Versions:
+    """Three batches of candidates from the line items, the second of them twice, as versions of three tables."""
+    line = line_order()
+    rows = t.lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("candidate"), F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("key"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("seen"),
+        F.concat_ws(" ", F.lit("hall"), F.date_format("l_shipdate", "yyyyMMdd")).alias("place"), (F.col("l_suppkey") % 2 == 0).alias("fit"), (line % 3).alias("batch"))
+    versions = Versions(t.spark, shared_dir(t.spark))
+    write = versions.sink(_promoted, "candidates")
+    for batch in (0, 1, 1, 2):
+        write(rows.where(F.col("batch") == batch).drop("batch"), batch)
+    return versions
+
+
+@query("""select 'e' || l_partkey as key, strftime(min(l_shipdate), '%Y-%m-%d') as first_seen, strftime(max(l_shipdate), '%Y-%m-%d') as last_seen, 'hall ' || strftime(max(l_shipdate), '%Y%m%d') as place from lineitem group by l_partkey""")
+def versioned_events(t: Tables) -> DataFrame:
+    """Events upserted batch by batch: the first sighting stays, the last one and its place move."""
+    return _versions(t).table("events")
+
+
+@query("""select case when l_suppkey % 2 = 0 then 'promoted' else 'held' end as status, count(*) as candidates, count(*) as decisions, 3 as version from lineitem group by 1""")
+def versioned_promotion(t: Tables) -> DataFrame:
+    """Candidates and their log as of the last version: a batch that runs twice counts once in each table."""
+    versions = _versions(t)
+    log = versions.table("audit").groupBy(F.col("action").alias("status")).agg(F.count("*").alias("decisions"))
+    kept = versions.table("candidates").groupBy("status").agg(F.count("*").alias("candidates"))
+    return kept.join(log, "status").withColumn("version", F.lit(versions.number()))
+
+
+@query("""with o as (select user_id as source_id, ts, event_id, event_id % 4 as found, event_type <> 'error' as ok, event_type from events),
+l as (select source_id, list(struct_pack(good := ok and found > 0, found := found) order by ts, event_id) as x from o group by 1)
+select source_id, len(x) as attempts, len(list_filter(x, lambda r: r.good)) as successes, x[-1].found as last_yield, list_median(list_transform(x[-20:], lambda r: r.found)) as median_yield,
+  list_reduce(list_transform(x, lambda r: cast(r.good as int) * 1.0::double), lambda a, b: format('{:.6f}', 0.7 * a + 0.3 * b)::double, 0.5::double) as reliability,
+  list_reduce(list_transform(x, lambda r: cast(r.good as int) * 1.0::double), lambda a, b: format('{:.6f}', case when b > 0 then least(1.0, a + 0.05) else greatest(0.0, a - 0.1) end::double)::double, 0.5::double) as confidence,
+  len(x) - coalesce(list_max(list_transform(range(1, len(x) + 1), lambda i: case when x[i].good then i else 0 end)), 0) >= 2 as rediscover from l""")
+def outcome_learning(t: Tables) -> DataFrame:
+    """What every source's outcomes have taught so far, kept as state over a stream."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(store)
+    t.spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = crawl.attempts(t.spark, f"{t.sf_dir}/events.parquet")
+        outcomes = rows.select("source_id", F.col("fetched_at").alias("at"), F.col("fetch_id").alias("outcome_id"), (F.col("fetch_id") % 4).alias("found"), (~F.col("failed")).alias("success"), F.when(F.col("failed"), "plain").otherwise("feed").alias("technique"))
+        out = crawl.drained(learning.outcome_learning(outcomes), "update")
+    finally:
+        t.spark.conf.set(store, before)
+    last = out.groupBy("source_id").agg(F.max_by(F.struct("attempts", "successes", "last_yield", "median_yield", "reliability", "confidence", "rediscover"), F.struct("attempts", "batch")).alias("r"))
+    return last.select("source_id", "r.*")

@@ -112,7 +112,7 @@ def csv_records(text: Column) -> Column:
 def csv_cells(record: Column) -> Column:
     """The cells of a record, trimmed, without the quotes around them."""
     found = F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(r'("[^"]*+(?:""[^"]*+)*+"|[^,]*),'), 1)
-    return F.transform(found, lambda c: F.trim(F.when(c.rlike('(?s)^".*"$'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)))
+    return F.transform(found, lambda c: F.regexp_replace(F.when(c.rlike('(?s)^".*"$'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c), r"^\s+|\s+$", ""))
 
 
 def claim_files(files: DataFrame, key: str, column: str, required: tuple[str, ...], most: int = 500) -> DataFrame:

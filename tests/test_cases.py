@@ -21,7 +21,7 @@ def values(spark, column, rows, schema="x string"):
 
 def test_titles_keep_marks_and_keys_fold_them(spark):
     rows = ["  The CAFÉ -- Night!! ", "café night", "", None, "¡¿!?", "Ünïcode 東京"]
-    assert values(spark, text.title_key(F.col("x")), rows) == ["the café night", "café night", None, None, None, "ünïcode 東京"]
+    assert values(spark, text.title_key(F.col("x")), rows) == ["the café night", "café night", None, None, None, "ünïcode 東京"]
     assert values(spark, text.hard_key(F.col("x")), ["The Café", "O'Brien’s", None, "the", "Thé Party"]) == ["cafe", "obriens", "", "the", "party"]
 
 
