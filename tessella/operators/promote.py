@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,14 +25,16 @@ def promote(fresh: DataFrame, stored: DataFrame) -> DataFrame:
 def fill_twins(rows: DataFrame, key: list[str], lo: int = 14400, hi: int = 21600) -> DataFrame:
     """id, venue and cancelled of `rows` (id, start, venue and the key): a twin fills a missing venue with the least one; a later twin without a venue, or `lo` to `hi` seconds off an earlier one, is cancelled.
 
-    Twins of one key are few by nature; they meet in an equi-join on it.
+    Twins are told by windows over a key's starts, so no pair is made.
     """
-    a = rows.select(*key, "id", "start", "venue")
-    b = rows.select(*key, F.col("id").alias("b_id"), F.col("start").alias("b_start"), F.col("venue").alias("b_venue"))
-    off = F.abs(F.timestamp_diff("SECOND", F.col("start"), F.col("b_start")))
-    ghost = (F.col("id") > F.col("b_id")) & (F.col("venue").isNull() | off.between(lo, hi))
-    pairs = a.join(b, key).where("id <> b_id").groupBy("id").agg(F.min("b_venue").alias("filled"), F.max(ghost).alias("ghost"))
-    return rows.select("id", "venue").join(pairs, "id", "left").select("id", F.coalesce("venue", "filled").alias("venue"), F.coalesce("ghost", F.lit(False)).alias("cancelled"))
+    at = F.unix_seconds(F.col("start").cast("timestamp"))
+    own = Window.partitionBy(*key)
+    near = lambda first, last: F.min("id").over(own.orderBy("at").rangeBetween(first, last)) < F.col("id")
+    earlier = F.min("id").over(own) < F.col("id")
+    ghost = F.when(F.col("venue").isNull(), earlier).otherwise(F.col("at").isNotNull() & (F.coalesce(near(-hi, -lo), F.lit(False)) | F.coalesce(near(lo, hi), F.lit(False))))
+    keyed = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key))
+    rows = rows.select(*key, "id", "venue", at.alias("at"))
+    return rows.select("id", F.when(keyed, F.coalesce("venue", F.min("venue").over(own))).otherwise(F.col("venue")).alias("venue"), (keyed & ghost).alias("cancelled"))
 
 
 def fill_from_page(rows: DataFrame) -> DataFrame:

@@ -25,12 +25,9 @@ def link_signal(href: Column, own: Column) -> Column:
     )
 
 
-def dated_segments(texts: DataFrame, key: str, column: str, least: int = 2, most: int = 200) -> DataFrame:
-    """key, pos and segment of each text cut before lines that begin with a date; a text with fewer than `least` such lines is one segment.
-
-    `most` bounds the segments of one page, as a reader's page does; the rest of the text stays in the last.
-    """
-    parts = F.filter(F.split(F.col(column), DATE_LINE, most), lambda s: F.trim(s) != "")
+def dated_segments(texts: DataFrame, key: str, column: str, least: int = 2) -> DataFrame:
+    """key, pos and segment of each text cut before lines that begin with a date; a text with fewer than `least` such lines is one segment."""
+    parts = F.filter(F.split(F.col(column), DATE_LINE), lambda s: F.trim(s) != "")
     dated = F.size(F.filter(parts, lambda s: s.rlike(r"^\d{4}-\d\d-\d\d\b")))
     rows = texts.select(key, F.posexplode_outer(F.when(dated >= least, parts).otherwise(F.array(column))).alias("pos", "segment"))
     return rows.where("segment is not null")
@@ -56,7 +53,7 @@ def first_pattern(url: Column, patterns: list[tuple[str, str]]) -> Column:
 def place_after_title(card: Column) -> Column:
     """The line of a card behind its title and its clock; null where it prints none."""
     lines = F.filter(F.transform(F.split(card, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rest = F.filter(F.slice(lines, 2, 50), lambda x: ~x.rlike(r"(?i)^(\d{1,2}(:\d\d)? ?[ap]\.?m\.?|\d{4}-\d\d-\d\d|\$.*|free)$"))
+    rest = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(0))), lambda x: ~x.rlike(r"(?i)^(\d{1,2}(:\d\d)? ?[ap]\.?m\.?|\d{4}-\d\d-\d\d|\$.*|free)$"))
     return F.get(rest, F.lit(0))
 
 

@@ -114,4 +114,4 @@ def clamped_scores(rows: DataFrame, key: str, order: list[str], delta: str, star
 
 def smoothed(values: Column, alpha: float = 0.3) -> Column:
     """Exponentially weighted mean of an ordered array, starting at its first value."""
-    return F.aggregate(F.slice(values, 2, 1000000), F.element_at(values, 1), lambda acc, v: acc * (1 - alpha) + v * alpha)
+    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1), lambda acc, v: acc * (1 - alpha) + v * alpha)

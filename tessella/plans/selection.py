@@ -127,13 +127,13 @@ def banned_phrases(t: Tables) -> DataFrame:
 
 
 @query(f"""with {LISTINGS_SQL} select event_id, strftime(start_time, '%H:%M') as clock from (select event_id, start_time + to_minutes(cast(event_id % 3 * 400 as integer)) as start_time from listings)
-order by case when start_time is null or strftime(start_time, '%H:%M') = '00:00' then 1 else 0 end, start_time nulls last, event_id limit 300""")
+order by case when start_time is null or strftime(start_time, '%H:%M') = '00:00' then 1 else 0 end, start_time nulls last, event_id""")
 def clock_sorted(t: Tables) -> DataFrame:
     """By start; rows without a printed hour come last, none is dropped."""
     rows = t.listings().withColumn("start_time", F.col("start_time") + F.make_dt_interval(mins=(F.col("event_id") % 3 * 400).cast("int")))
     clock = F.date_format("start_time", "HH:mm")
     untimed = F.when(F.col("start_time").isNull() | (clock == "00:00"), 1).otherwise(0)
-    return rows.orderBy(untimed, F.asc_nulls_last("start_time"), "event_id").limit(300).select("event_id", clock.alias("clock"))
+    return rows.orderBy(untimed, F.asc_nulls_last("start_time"), "event_id").select("event_id", clock.alias("clock"))
 
 
 @query(f"""with {FETCHES_SQL}, l as (select source_id, max(fetched_at) filter (where not failed and source_id % 4 > 0) as last, min(fetch_id) as rank from fetches group by 1)
@@ -147,11 +147,12 @@ def overdue_order(t: Tables) -> DataFrame:
     return rows.select("source_id", F.row_number().over(order).cast("bigint").alias("place"))
 
 
-@query("""select l_orderkey, l_linenumber, l_partkey from lineitem where l_suppkey = 7 order by case when l_returnflag = 'R' then 0 when l_discount > 0.02 then 1 else 2 end, l_orderkey, l_linenumber, l_partkey limit 150""")
+@query("""select l_suppkey, l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_suppkey order by case when l_returnflag = 'R' then 0 when l_discount > 0.02 then 1 else 2 end, l_orderkey, l_linenumber, l_partkey) as place from lineitem""")
 def publish_order(t: Tables) -> DataFrame:
-    """Corrections, then what can be published, then what is held; each in page order."""
+    """The order in which every source's rows are published: corrections, then what can be, then what is held; each in page order."""
     group = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_discount") > 0.02, 1).otherwise(2)
-    return t.lineitem.where("l_suppkey = 7").orderBy(group, "l_orderkey", "l_linenumber", "l_partkey").limit(150).select("l_orderkey", "l_linenumber", "l_partkey")
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(group, "l_orderkey", "l_linenumber", "l_partkey"))
+    return t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", place.cast("bigint").alias("place"))
 
 
 @query("""with l as (select page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>[^<]*', 1)) as href, unnest(range(1, 1 + len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>[^<]*', 1)))) as pos from pages),
@@ -191,11 +192,11 @@ def feed_plans(t: Tables) -> DataFrame:
     return best.select("p_brand", (-F.col("b.k")).alias("plan"), F.col("b.score").alias("score"))
 
 
-@query("""select p_partkey, p_type from part join (values ('PROMO', 0), ('ECONOMY', 1), ('STANDARD', 2)) d(kind, pos) on p_type = kind order by pos, p_partkey limit 100""")
+@query("""select p_partkey, p_type from part join (values ('PROMO', 0), ('ECONOMY', 1), ('STANDARD', 2)) d(kind, pos) on p_type = kind order by pos, p_partkey""")
 def hunt_order(t: Tables) -> DataFrame:
     """Doors in the order of their kinds, then by id."""
     kinds = t.spark.createDataFrame([("PROMO", 0), ("ECONOMY", 1), ("STANDARD", 2)], "kind string, pos int")
-    return t.part.join(F.broadcast(kinds), F.col("p_type") == F.col("kind")).orderBy("pos", "p_partkey").limit(100).select("p_partkey", "p_type")  # a fixed list
+    return t.part.join(F.broadcast(kinds), F.col("p_type") == F.col("kind")).orderBy("pos", "p_partkey").select("p_partkey", "p_type")  # a fixed list
 
 
 LEXICON = [("jazz", "jazz"), ("rock", "rock"), ("hard rock", "metal"), ("salsa", "latin"), ("metal", "metal"), ("folk", "folk")]
