@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import listing_pages
+from ..functions.text import host
+from ..operators import listing_pages, promote
 from ..sources import markup
 from ..sources.tables import Tables
 
@@ -105,12 +106,8 @@ def desk_reasons(t: Tables) -> DataFrame:
     return listing_pages.page_reasons(read, "page").drop("untitled")
 
 
-@query("""with e as (select o_orderkey as k, o_orderkey % 8 as form, strftime(o_orderdate, '%Y-%m-%d') as day, strftime(o_orderdate + interval 1 day, '%Y-%m-%d') as next from orders)
-select k as event, case form when 0 then day || 'T20:00' when 1 then day when 2 then day || 'T20:00:00-05:00' when 6 then day || 'T20:00' end as "when", case form when 0 then 'minute' when 1 then 'date' when 2 then 'minute' when 6 then 'minute' end as precision,
-  case form when 0 then 'printed' when 1 then 'linked' when 2 then 'linked' when 6 then 'printed' end as source, case when form = 3 then day || ',' || next else '' end as dates, form = 7 as conflict, form = 4 as end_only, form = 5 as clock_only,
-  case when form in (1, 2, 7) then 'Hall ' || (k % 9) || ', 1 Main' when form = 0 then 'Hall ' || (k % 9) end as place, cast(1 + case when form = 6 then 1 else 0 end as int) as foreign from e""")
-def event_statements(t: Tables) -> DataFrame:
-    """The date and place that each event's page states of itself; other listings, footers, ends and bare clocks are not its own."""
+def _event_pages(t: Tables) -> DataFrame:
+    """A page (event, url, html) of every event, in eight forms: what it states, and what is not its own."""
     form, k = F.col("o_orderkey") % 8, F.col("o_orderkey")
     hall, nxt = _text("Hall ", (k % 9).cast("string")), F.date_format(F.date_add("o_orderdate", 1), "yyyy-MM-dd")
     time = lambda *v: _text('<time datetime="', *v, '">on</time>')
@@ -122,5 +119,41 @@ def event_statements(t: Tables) -> DataFrame:
         .when(form == 6, F.concat(time(_day(), "T20:00"), card)).otherwise(F.concat(data(_day()), time(nxt)))
     )
     html = _text("<html><body><main><article><h1>Show ", _k(), "</h1>", body, '</article></main><footer class="location"><address>Desk, 9 Row</address>', time("2001-01-01"), "</footer></body></html>")
-    rows = t.orders.select(F.col("o_orderkey").alias("event"), _text("https://desk.example/event/", _k(), "/").alias("url"), html.alias("html"))
-    return listing_pages.event_statements(rows, "event", "url", "html").withColumn("dates", F.array_join("dates", ",")).drop("place_source")
+    return t.orders.select(F.col("o_orderkey").alias("event"), _text("https://desk.example/event/", _k(), "/").alias("url"), html.alias("html"))
+
+
+STATED_SQL = """e as (select o_orderkey as k, o_orderkey % 8 as form, o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day, strftime(o_orderdate + interval 1 day, '%Y-%m-%d') as next from orders),
+s as (select *, case form when 0 then day || 'T20:00' when 1 then day when 2 then day || 'T20:00:00-05:00' when 6 then day || 'T20:00' end as stated,
+  case when form in (1, 2, 7) then 'Hall ' || (k % 9) || ', 1 Main' when form = 0 then 'Hall ' || (k % 9) end as stated_place from e)"""
+
+
+@query(f"""with {STATED_SQL} select k as event, stated as "when", case when form in (0, 2, 6) then 'minute' when form = 1 then 'date' end as precision,
+  case form when 0 then 'printed' when 1 then 'linked' when 2 then 'linked' when 6 then 'printed' end as source, case when form = 3 then day || ',' || next else '' end as dates, form = 7 as conflict, form = 4 as end_only, form = 5 as clock_only,
+  stated_place as place, cast(1 + case when form = 6 then 1 else 0 end as int) as foreign from s""")
+def event_statements(t: Tables) -> DataFrame:
+    """The date and place that each event's page states of itself; other listings, footers, ends and bare clocks are not its own."""
+    return listing_pages.event_statements(_event_pages(t), "event", "url", "html").withColumn("dates", F.array_join("dates", ",")).drop("place_source")
+
+
+@query(f"""with {STATED_SQL}, r as (select k, substr(stated, 1, 10) as stated_night, stated_place, case when k % 31 = 0 then 404 when k % 37 = 0 then 403 else 200 end as status, case when k % 3 > 0 then day when k % 9 = 0 then next end as night,
+  case when o_custkey % 2 = 0 then 'Own hall' end as place from s)
+select k as event, case when status = 403 then 'wall' when status = 404 then 'unread' when night <> stated_night then 'contested' when night is null and stated_night is not null then 'filled' else 'as_is' end as verdict,
+  case when status <> 200 then night when night <> stated_night then null else coalesce(night, stated_night) end as night, case when status = 200 then coalesce(place, stated_place) else place end as place from r""")
+def read_hole_fills(t: Tables) -> DataFrame:
+    """Holes of published events filled from what their own pages state; a page that contradicts the night leaves none."""
+    k = F.col("o_orderkey")
+    stored = t.orders.select(
+        k.alias("event"), F.when(k % 31 == 0, 404).when(k % 37 == 0, 403).otherwise(200).alias("status"),
+        F.when(k % 3 > 0, _day()).when(k % 9 == 0, F.date_format(F.date_add("o_orderdate", 1), "yyyy-MM-dd")).alias("night"), F.when(F.col("o_custkey") % 2 == 0, "Own hall").alias("place"))
+    stated = listing_pages.event_statements(_event_pages(t), "event", "url", "html").select("event", F.substring("when", 1, 10).alias("stated_night"), F.col("place").alias("stated_place"))
+    return promote.fill_from_page(stored.join(stated, "event")).select("event", "verdict", "night", "place")
+
+
+@query("""with l as (select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as name from pages)
+select page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || href as link, min(name) as name, count(*) as n from l where regexp_full_match(href, '/[A-Za-z]{4,}') group by 1, 2""")
+def directory_entries(t: Tables) -> DataFrame:
+    """The entries of every page taken as a directory: links of its own host that fit the directory's pattern, with the names they print."""
+    rows, nodes = markup.with_tree(t.pages.select("page_id", "url", "html"), "html", "url"), F.col("nodes")
+    fits = lambda x: (x["tag"] == "a") & (host(x["link"]) == host(F.col("url"))) & x["link"].rlike("^https?://[^/]+/[A-Za-z]{4,}$")
+    found = F.transform(F.filter(nodes, fits), lambda x: F.struct(x["link"].alias("link"), markup.text_of(nodes, x).alias("name")))
+    return rows.select("page_id", F.explode(found).alias("x")).groupBy("page_id", "x.link").agg(F.min("x.name").alias("name"), F.count("*").alias("n"))
