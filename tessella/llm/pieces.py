@@ -288,7 +288,7 @@ def _sha(text: str) -> str:
 
 
 def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", with_pieces: bool = False) -> DataFrame:
-    """Ids of every row of `docs` (doc_id, text), decoded again, as digests; spans_sha256 digests `start:end` of the pieces in source bytes, joined by commas.
+    """Ids of every row of `docs` (doc_id, text), decoded again, as digests; spans_sha256 digests start and end of each piece in source bytes, as little-endian 64-bit integers.
 
     with_pieces adds the pieces (id and source bytes) and the decoded text. A null or
     empty text has no ids, and its digests are those of nothing. Equal rows and rows with a null doc_id
@@ -305,9 +305,8 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", with_piec
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     ids, spans = coder.encode(text.as_py())
                     decoded = coder.decode(ids) if ids else ""
-                    listed = spans.tolist()
-                    row = (i, len(ids), _sha(",".join(map(str, ids))), _sha(decoded), _sha(",".join(f"{a}:{b}" for a, b in listed)))
-                    rows.append((*row, *(([{"id": x, "start": a, "end": b} for x, (a, b) in zip(ids, listed)], decoded) if with_pieces else ())))
+                    row = (i, len(ids), _sha(",".join(map(str, ids))), _sha(decoded), hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest())
+                    rows.append((*row, *(([{"id": x, "start": a, "end": b} for x, (a, b) in zip(ids, spans.tolist())], decoded) if with_pieces else ())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[c for c, _ in kinds])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))

@@ -213,6 +213,7 @@ def test_pieces_cover_the_source_bytes(spark):
             if not lib.is_byte(p.id) and p.start:
                 assert data[p.start : p.end].decode() == piece.replace("▁", " ")
         assert at == len(data)
+        assert row.spans_sha256 == sha(b"".join(x.to_bytes(8, "little") for p in row.pieces for x in (p.start, p.end)))
 
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
