@@ -76,14 +76,14 @@ def averaging_fusion(t: Tables) -> DataFrame:
 b as (select l_suppkey as k, l_linestatus as answer, l_returnflag as mode, count(*) * 1.0 / sum(count(*)) over (partition by l_suppkey) as p from lineitem group by 1, 2, 3),
 m as (select k, mode, sum(p) as p from b group by 1, 2), prior as (select k, min(loss) as loss from (select k, action, sum(p * loss) as loss from m join c using (mode) group by 1, 2) group by k),
 post as (select k, sum(loss) as loss from (select k, answer, min(loss) as loss from (select k, answer, action, sum(p * loss) as loss from b join c using (mode) group by 1, 2, 3) group by 1, 2) group by k)
-select k as l_suppkey, round(prior.loss, 6) as prior, round(prior.loss - post.loss - 0.05, 6) as value from prior join post using (k)""")
+select k as l_suppkey, round(prior.loss, 9) as prior, round(prior.loss - post.loss - 0.05, 9) as value from prior join post using (k)""")
 def value_of_information(t: Tables) -> DataFrame:
     """What an answer is worth before it is asked for."""
     counted = t.lineitem.groupBy("l_suppkey", F.col("l_linestatus").alias("answer"), F.col("l_returnflag").alias("mode")).agg(F.count("*").alias("n"))
     branches = counted.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("l_suppkey")))
     modes = branches.groupBy("l_suppkey", "mode").agg(F.sum("p").alias("p"))
     costs = t.spark.createDataFrame([("publish", "N", 0.0), ("publish", "A", 4.0), ("publish", "R", 20.0), ("hold", "N", 3.0), ("hold", "A", 2.0), ("hold", "R", 1.0)], "action string, mode string, loss double")
-    return trust.value_of_information(modes, branches, costs, "l_suppkey", 0.05).select("l_suppkey", F.round("prior", 6).alias("prior"), F.round("value", 6).alias("value"))
+    return trust.value_of_information(modes, branches, costs, "l_suppkey", 0.05).select("l_suppkey", F.round("prior", 9).alias("prior"), F.round("value", 9).alias("value"))
 
 
 @query("""with s as (select p_partkey as k, p_size % 4 as n from part) select k as p_partkey, case when k % 17 = 0 then 'hold' when k % 5 = 0 or k % 7 = 0 then 'verified' when n >= 1 then 'validated' else 'hold' end as decision,
