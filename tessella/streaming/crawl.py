@@ -29,22 +29,28 @@ def windowed_counts(fetches: DataFrame, window: str = "1 hour", late: str = "2 h
 
 
 def fail_streaks(fetches: DataFrame) -> DataFrame:
-    """After each batch, the failures of a source since its last success. State is one row a source; attempts of a batch are taken in order of time, then id."""
+    """After each batch, the failures of a source since its last success.
+
+    Attempts count in order of time, then id, whatever batch brings them: state is a source's last success and the
+    failures after it, so a late success takes back those before it. A source's batch is read piece by piece.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, success, n = state.get if state.exists else (0, None, 0)
-        rows = pd.concat(list(batches)).sort_values(["fetched_at", "fetch_id"])
-        n += len(rows)
-        good = rows.loc[~rows["failed"], "fetched_at"]
-        if len(good):
-            success = good.iloc[-1].to_pydatetime()
-            streak = int((~rows["failed"])[::-1].to_numpy().argmax())
-        else:
-            streak += len(rows)
-        state.update((streak, success, n))
-        yield pd.DataFrame({"source_id": [key[0]], "fail_streak": [streak], "last_success": pd.Series([success], dtype="datetime64[ns]"), "n": [n]})
-
-    return fetches.groupBy("source_id").applyInPandasWithState(step, STREAKS, "fail_streak bigint, last_success timestamp, n bigint", "update", GroupStateTimeout.NoTimeout)
+        at, id_, n, times, ids = state.get if state.exists else (None, None, 0, [], [])
+        success = None if at is None else (at, id_)
+        failures = list(zip(times, ids))
+        for rows in batches:
+            n += len(rows)
+            moments = list(zip(rows["fetched_at"].astype("datetime64[us]").astype("int64").tolist(), rows["fetch_id"].tolist(), rows["failed"].tolist()))
+            success = max([(t, i) for t, i, failed in moments if not failed], default=success) if success is None else max([success, *((t, i) for t, i, failed in moments if not failed)])
+            failures = [f for f in [*failures, *((t, i) for t, i, failed in moments if failed)] if success is None or f > success]
+        at, id_ = success or (None, None)
+        state.update((at, id_, n, [t for t, _ in failures], [i for _, i in failures]))
+        last = None if at is None else pd.Timestamp(at, unit="us").to_pydatetime()
+        yield pd.DataFrame({"source_id": [key[0]], "fail_streak": [len(failures)], "last_success": pd.Series([last], dtype="datetime64[ns]"), "n": [n]})
+
+    held = "success_at bigint, success_id bigint, n bigint, fail_at array<bigint>, fail_id array<bigint>"
+    return fetches.groupBy("source_id").applyInPandasWithState(step, STREAKS, held, "update", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:

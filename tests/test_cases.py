@@ -209,3 +209,18 @@ def test_streaks_over_several_batches(spark, tmp_path):
     for i, _, k, kind, _ in rows:
         want[k] = want.get(k, 0) + 1 if kind == "error" else 0
     assert {k: r["fail_streak"] for k, r in last.items()} == want and all(r["n"] == 5 for r in last.values())
+
+
+def test_streaks_do_not_depend_on_the_order_of_batches(spark, tmp_path):
+    import random
+
+    rng, base = random.Random(7), dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=rng.randrange(40)), i % 3, rng.choice(["error", "error", "view"]), 1.0) for i in range(60)]
+    want = {}
+    for i, at, k, kind, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[k] = want.get(k, 0) + 1 if kind == "error" else 0
+    for n in range(4):
+        spark.createDataFrame(rows[n::4], "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = crawl.fail_streaks(crawl.attempts(spark, str(tmp_path / "events"), per_batch=1))
+    last = {r["source_id"]: r for r in crawl.drained(stream, "update").orderBy("batch").collect()}
+    assert {k: r["fail_streak"] for k, r in last.items()} == want and all(r["n"] == 20 for r in last.values())
