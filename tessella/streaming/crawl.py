@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..sources.staging import shared_dir
+
 STREAKS = "source_id bigint, fail_streak bigint, last_success timestamp, n bigint"
 
 
@@ -55,16 +55,10 @@ def fail_streaks(fetches: DataFrame) -> DataFrame:
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there and return what it wrote, with the number of its batch; files and progress lie in the shared folder."""
-    spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessella-stream-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_dir(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")  # a batch that runs again replaces itself
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{path}/out")
+    return stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{path}/out")
