@@ -148,6 +148,11 @@ def with_tree(pages: DataFrame, html: str, url: str | None = None) -> DataFrame:
     return pages.mapInArrow(run, T.StructType([*fields, T.StructField("nodes", T._parse_datatype_string(NODES))]))
 
 
+def plain_references(html: Column) -> Column:
+    """A page whose ampersands are text except in &lt; &gt; and &amp;: any other reference, or one without a semicolon, is read as it is written."""
+    return F.regexp_replace(html, "&(?!(?:lt|gt|amp);)", "&amp;")
+
+
 # expressions over `nodes` --------------------------------------------------------
 
 Test = Callable[[Column], Column]
