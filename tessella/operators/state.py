@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stored
+
 
 def latest_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row of each key, the first by `order` (which must end in a unique key)."""
@@ -12,6 +14,22 @@ def latest_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFram
     return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
+def numbered(rows: DataFrame, key: str, order: list[str], name: str = "pos", width: int = 250_000) -> DataFrame:
+    """`rows` with the place of each, from 1, among those of its key by `order` (which must end in a unique key).
+
+    Rows are dealt by sorted ranges of (key, order) of about `width` rows and stored with their place in the range; how
+    many of a key lie in the ranges before is a row a range. No task holds a key, and a task holds no more of a larger table. For few keys.
+    """
+    parts = 1 + rows.count() // width
+    dealt = stored(rows.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)  # the number of the range; the other bits count its rows
+    ranges = dealt.groupBy(F.col(key).alias("_key"), part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = stored(ranges.select("_key", "_part", (before - F.col("_first") + 1).alias("_add")))
+    found = dealt.join(F.broadcast(places), F.col(key).eqNullSafe(F.col("_key")) & (part == F.col("_part")))
+    return found.select(*rows.columns, (F.col("_at") + F.col("_add")).alias(name))
+
+
 def fail_streak(fetches: DataFrame) -> DataFrame:
     """Failed attempts of each source after its last success; all of them if there was none.
 

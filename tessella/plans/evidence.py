@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text
-from ..operators import trust, union
+from ..operators import state, trust, union
 from ..sources.tables import LISTINGS_SQL, Tables
 
 def line_order() -> Column:
@@ -111,9 +111,9 @@ ROWS_SQL = f"""rows as (select l_suppkey % 4 as page, row_number() over (partiti
 
 def _rows(t: Tables) -> DataFrame:
     seq = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_orderkey"]
-    pos = F.row_number().over(Window.partitionBy(F.col("l_suppkey") % 4).orderBy(*seq))
-    return t.lineitem.select(
-        (F.col("l_suppkey") % 4).alias("page"), pos.cast("bigint").alias("pos"), F.when(line_part() % 3 == 0, F.concat(F.lit("https://h.example/"), (line_part() % 200).cast("string"))).alias("url"), F.concat(F.lit("Show "), (line_part() % 60).cast("string")).alias("title"),
+    lines = state.numbered(t.lineitem.select((F.col("l_suppkey") % 4).alias("page"), *seq, "l_quantity"), "page", seq)
+    return lines.select(
+        "page", "pos", F.when(line_part() % 3 == 0, F.concat(F.lit("https://h.example/"), (line_part() % 200).cast("string"))).alias("url"), F.concat(F.lit("Show "), (line_part() % 60).cast("string")).alias("title"),
         F.when(line_part() % 4 > 0, F.date_format(F.date_trunc("month", "l_shipdate"), "yyyy-MM-dd")).alias("day"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Hall "), F.col("l_linenumber").cast("string"))).alias("place"),
         F.when(F.col("l_quantity") < 10, "music").alias("kind"), (F.col("l_quantity") < 5).alias("stated"))
 
@@ -129,8 +129,8 @@ def same_page_rows(t: Tables) -> DataFrame:
 @query(f"""with {ROWS_SQL}, d as (select *, row_number() over (partition by lower(title), day order by page, pos) as n from rows) select page, pos, title, day from d where n = 1""")
 def cross_page_rows(t: Tables) -> DataFrame:
     """One row of each listing over all pages, the first one read."""
-    nth = F.row_number().over(Window.partitionBy(F.lower("title"), "day").orderBy("page", "pos"))
-    return _rows(t).withColumn("n", nth).where("n = 1").select("page", "pos", "title", "day")
+    first = F.min(F.struct("page", "pos", "title"))
+    return _rows(t).groupBy(F.lower("title").alias("key"), "day").agg(first.alias("r")).select("r.*", "day")
 
 
 @query(f"""with {ROWS_SQL} select page, pos, case when day is not null and place is not null then day || '~' || lower(place) || '~' || lower(title) when url is not null then url else 'row:' || page || ':' || pos end as ingest_key,
