@@ -19,6 +19,23 @@ def band_pairs(rows: DataFrame, key: str, minute: str, unique: str, width: int)
     return left.join(right, near).select(F.col("k").alias(key), "a_id", "b_id", (F.col("b_min") - F.col("a_min")).alias("apart"))
 
 
+def differing_pairs(rows: DataFrame, keys: list[str], name: str, unique: str) -> DataFrame:
+    """Pairs (a_id, b_id), a_id < b_id, of rows with equal `keys` and other names; a null part is equal to nothing.
+
+    The names of a key meet first, each once, so copies of one name make no pair; only rows of names that differ from another
+    are joined then, dealt by pair of names over as many tasks as the session has partitions.
+    """
+    known = rows.dropna(subset=[*keys, name])
+    names = known.select(*keys, name).distinct()
+    two = names.join(names.withColumnRenamed(name, "_other"), keys).where(F.col(name) != F.col("_other"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = known.join(two, [*keys, name]).select(*keys, F.col(name).alias("_name"), "_other", F.col(unique).alias("a_id"))
+    right = known.select(*keys, F.col(name).alias("_other"), F.col(unique).alias("b_id"))
+    by = [*keys, "_other"]
+    pairs = left.repartition(parts, *by).join(right.repartition(parts, *by), by)
+    return pairs.where("a_id < b_id").select("a_id", "b_id")
+
+
 def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     """Distinct [a-z0-9]+ runs of two characters or more, without stop words; empty for null."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)

@@ -102,10 +102,9 @@ def desk_union_keys(t: Tables) -> DataFrame:
 select a.p_partkey as a_id, b.p_partkey as b_id from k a join k b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and a.p_partkey < b.p_partkey and a.p_name <> b.p_name""")
 def near_misses(t: Tables) -> DataFrame:
     """Pairs of one night, place and kind that were not merged."""
-    rows = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    a, b = rows.alias("a"), rows.alias("b")
-    on = F.expr("a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and a.p_partkey < b.p_partkey and a.p_name <> b.p_name")
-    return a.join(b, on).select(F.col("a.p_partkey").alias("a_id"), F.col("b.p_partkey").alias("b_id"))
+    night = ["p_brand", "p_type", "p_size"]
+    rows = t.part.select("p_partkey", "p_name", *night)
+    return matching.differing_pairs(rows, night, "p_name", "p_partkey")
 
 
 @query("""with o as (select c_custkey, c_name as name, c_mktsegment as area, c_nationkey as city from customer),
