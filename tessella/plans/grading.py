@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import grading, listing_pages
+from ..sources.staging import stored
 from ..sources.tables import Tables
 from .listing_pages import PATTERNS, SELECTORS, _desks
 
@@ -95,7 +96,7 @@ select walk, count(*) as pages, count(*) filter (where form >= 3) as unsplit, ca
   cast(sum(case when form < 3 then nights else 0 end) as bigint) as happenings, cast(sum(case when form < 3 then nights else 0 end) as bigint) as dated, cast(sum(case when form = 2 then n else 0 end) as bigint) as own_list from p group by walk""")
 def walk_counts(t: Tables) -> DataFrame:
     """What every walk over listing pages saw: rows as printed, happenings once each, dated ones, pages without rows, rows that named the list itself."""
-    read = listing_pages.listing_rows(_desks(t), "page", "url", "html", PATTERNS, SELECTORS)
+    read = stored(listing_pages.listing_rows(_desks(t), "page", "url", "html", PATTERNS, SELECTORS))  # read twice below
     walk = (F.col("page") % 20).alias("walk")
     seen = listing_pages.page_reasons(read, "page").groupBy(walk).agg(F.count("*").alias("pages"), F.count_if(F.col("reason").isNotNull()).alias("unsplit"), F.sum(F.col("structured") + F.col("printed")).alias("rows_seen"), F.sum("own_list").alias("own_list"))
     rows = listing_pages.page_rows(read, "page").groupBy(walk).agg(F.count("*").alias("happenings"), F.count("when").alias("dated"))

@@ -8,6 +8,7 @@ its page: nothing is shuffled, and a page is one row however its key repeats.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit, urlunsplit
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import spread
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LINES = frozenset("p div li ul ol article section tr table h1 h2 h3 h4 h5 h6 br hr header footer dd dt".split())
 SECTIONS = frozenset("article section aside nav li tr".split())
@@ -28,6 +31,8 @@ FIELDS = [
     ("aside", pa.bool_()), ("page", pa.bool_()), ("paged", pa.bool_()), ("clash", pa.bool_()),
 ]
 NODES = "array<struct<node int, last int, tag string, attrs map<string, string>, text string, link string, scope int, line int, aside boolean, page boolean, paged boolean, clash boolean>>"
+#: White space of an attribute, which is made single before expressions read it.
+_BLANKS = re.compile("[ \t\n\x0b\f\r\xa0]+")
 #: Pages that a Python worker turns into trees at a time.
 SLICE = 32
 
@@ -142,10 +147,10 @@ def with_tree(pages: DataFrame, html: str, url: str | None = None) -> DataFrame:
             for lo in range(0, big.num_rows, SLICE):
                 batch = big.slice(lo, SLICE)
                 bases = batch.column(url).to_pylist() if url else [None] * batch.num_rows
-                found = [[x | {"attrs": list(x["attrs"].items())} for x in tree(h, b)] for h, b in zip(batch.column(html).to_pylist(), bases)]
+                found = [[x | {"attrs": [(k, _BLANKS.sub(" ", v).strip(" ")) for k, v in x["attrs"].items()]} for x in tree(h, b)] for h, b in zip(batch.column(html).to_pylist(), bases)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, kind)], names=[*columns, "nodes"])
 
-    return pages.mapInArrow(run, T.StructType([*fields, T.StructField("nodes", T._parse_datatype_string(NODES))]))
+    return spread(pages).mapInArrow(run, T.StructType([*fields, T.StructField("nodes", T._parse_datatype_string(NODES))]))
 
 
 def plain_references(html: Column) -> Column:
@@ -201,7 +206,7 @@ def innermost(nodes: Column, test: Test) -> Column:
 
 def attr(x: Column, name: str) -> Column:
     """A trimmed attribute; null if it isn't there or is empty."""
-    return F.nullif(squeezed(F.try_element_at(x["attrs"], F.lit(name))), F.lit(""))
+    return F.nullif(F.try_element_at(x["attrs"], F.lit(name)), F.lit(""))
 
 
 def has_attr(x: Column, name: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import utc_stamp
 from .markup import json_objects
+from .staging import spread
 
 #: A parameter part of a calendar line; quoted values may hold a colon.
 _PARAMS = r'((?:;(?:[^:"\r\n]|"[^"\r\n]*")*)?)'
@@ -29,7 +30,7 @@ def calendar_events(texts: DataFrame, key: str, column: str) -> DataFrame:
     """
     lines = F.regexp_replace(F.col(column), r"\r?\n[ \t]", "")
     blocks = F.slice(F.split(lines, r"BEGIN:VEVENT\r?\n"), 2, F.greatest(F.size(F.split(lines, r"BEGIN:VEVENT\r?\n")) - 1, F.lit(0)))
-    rows = texts.select(key, F.posexplode(blocks).alias("pos", "rest")).withColumn("body", F.substring_index("rest", "END:VEVENT", 1))
+    rows = spread(texts.select(key, column)).select(key, F.posexplode(blocks).alias("pos", "rest")).withColumn("body", F.substring_index("rest", "END:VEVENT", 1))
 
     def field(name: str, part: int = 2) -> Column:
         return F.nullif(F.trim(F.regexp_extract("body", rf"(?m)^{name}{_PARAMS}:([^\r\n]*)", part)), F.lit(""))
@@ -72,7 +73,7 @@ def linked_events(pages: DataFrame, key: str, column: str) -> DataFrame:
     script is left out and the others stay. What an event doesn't state is null, its name too.
     """
     scripts = F.regexp_extract_all(F.col(column), F.lit(r"(?is)<script[^>]*type=[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"), 1)
-    rows = pages.select(key, F.explode(json_objects(scripts)).alias("item")).select(key, linked_event(F.col("item")).alias("e"))
+    rows = spread(pages.select(key, column)).select(key, F.explode(json_objects(scripts)).alias("item")).select(key, linked_event(F.col("item")).alias("e"))
     return rows.select(key, "e.*").where("is_event").drop("is_event")
 
 
