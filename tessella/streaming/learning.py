@@ -47,10 +47,14 @@ class _Learner(StatefulProcessor):
         mark = pd.Timestamp(max(0, timerValues.getCurrentWatermarkInMs()), unit="ms")
         waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         fresh = [r for batch in rows for r in batch[names].itertuples(index=False, name=None)]
+        tries: dict[str, tuple[int, int]] = {}  # each call on the state is a round trip, so a technique is read and written once a batch
         for _, _, found, success, technique in fresh:
             if technique is not None:
-                tried, worked = self.techniques.getValue((technique,)) if self.techniques.containsKey((technique,)) else (0, 0)
-                self.techniques.updateValue((technique,), (tried + 1, worked + int(bool(success) and found > 0)))
+                tried, worked = tries.get(technique, (0, 0))
+                tries[technique] = (tried + 1, worked + int(bool(success) and found > 0))
+        for technique, (tried, worked) in tries.items():
+            before = self.techniques.getValue((technique,)) if self.techniques.containsKey((technique,)) else (0, 0)
+            self.techniques.updateValue((technique,), (before[0] + tried, before[1] + worked))
         waiting = sorted(((pd.Timestamp(a).to_pydatetime(), int(i), int(f), bool(s), t) for a, i, f, s, t in [*waiting, *fresh]), key=lambda r: r[:2])
         held = self.recipe.get() if self.recipe.exists() else None
         recipe = dict(zip([c.split()[0] for c in _STATE.split(", ")], held)) if held else {**START, "yields": []}
