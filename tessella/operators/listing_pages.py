@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import host
+from ..functions.text import bound, host
 from ..sources import markup
-from ..sources.markup import attr, has_attr, text_of, words_of
+from ..sources.markup import attr, has_attr, has_word, text_of
 from ..sources.texts import linked_event
 from .union import first_known
 
@@ -61,10 +61,10 @@ def stated_address(nodes: Column, card: Column) -> Column:
     nothing of the card. Two addresses, on one element or on two, and an identity attribute stated
     twice with two values, contradict: the card then has none.
     """
-    within = markup.inside(nodes, card)
-    own = F.filter(within, lambda x: x["link"].isNotNull() & (x["scope"] == card["node"]) & ~has_attr(x, "itemscope") & F.array_contains(words_of(x, "itemprop"), "url"))
-    stated = F.array_distinct(F.transform(own, lambda x: x["link"]))
-    return F.when(has_attr(card, "itemscope") & (F.size(stated) == 1) & ~F.exists(within, lambda x: x["clash"]), F.get(stated, F.lit(0)))
+    own = lambda x: x["link"].isNotNull() & (x["scope"] == card["node"]) & ~has_attr(x, "itemscope") & has_word(x, "itemprop", "url")
+    stated = lambda within: F.array_distinct(F.transform(F.filter(within, own), lambda x: x["link"]))
+    one = lambda within: bound(stated(within), lambda s: F.when((F.size(s) == 1) & ~F.exists(within, lambda x: x["clash"]), F.get(s, F.lit(0))))
+    return F.when(has_attr(card, "itemscope"), bound(markup.inside(nodes, card), one))
 
 
 def _blocks(nodes: Column, cards: Column) -> Column:
@@ -87,12 +87,15 @@ def _linked_blocks(nodes: Column) -> Column:
 
 def _anchored(text: Column) -> Column:
     """Pieces of a text cut before lines that begin with a date or clock, what stands before the first with it; none unless there are two."""
-    parts = F.filter(F.split(text, rf"(?mi)^(?={ANCHOR})"), lambda p: F.trim(p) != "")
     opens = lambda p: F.coalesce(p.rlike(rf"(?i)^{ANCHOR}"), F.lit(False))
-    led = ~opens(F.get(parts, F.lit(0)))
-    whole = F.when(led & (F.size(parts) > 1), F.concat(F.array(F.concat(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))), F.slice(parts, 3, F.size(parts)))).otherwise(parts)
-    pieces = F.filter(F.transform(whole, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: F.length(p) >= LEAST_CHARS)
-    return F.when((F.size(F.filter(parts, opens)) >= 2) & (F.size(pieces) >= 2), pieces).otherwise(_none("string"))
+
+    def pieces(parts: Column) -> Column:
+        led = ~opens(F.get(parts, F.lit(0)))
+        whole = F.when(led & (F.size(parts) > 1), F.concat(F.array(F.concat(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))), F.slice(parts, 3, F.size(parts)))).otherwise(parts)
+        made = F.filter(F.transform(whole, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: F.length(p) >= LEAST_CHARS)
+        return F.when(F.size(F.filter(parts, opens)) >= 2, bound(made, lambda m: F.when(F.size(m) >= 2, m)))
+
+    return F.coalesce(bound(F.filter(F.split(text, rf"(?mi)^(?={ANCHOR})"), lambda p: F.trim(p) != ""), pieces), _none("string"))
 
 
 def segments(pages: DataFrame, key: str, content: str) -> DataFrame:
@@ -111,12 +114,13 @@ def segments(pages: DataFrame, key: str, content: str) -> DataFrame:
         ("item", lambda x: F.coalesce(attr(x, "itemtype").rlike(EVENT_TYPE), F.lit(False))), ("article", lambda x: x["tag"] == "article"),
         ("card", lambda x: x["tag"].isin("div", "li", "section") & F.coalesce(attr(x, "class").rlike(CARD_CLASS), F.lit(False))), ("list", lambda x: x["tag"] == "li"),
     ]
-    rows = rows.withColumn("b0", _linked_blocks(nodes)).withColumns({f"b{i}": _blocks(nodes, markup.outermost(nodes, test)) for i, (_, test) in enumerate(tries, 1)})
-    lines = _anchored(F.when(F.col("looks"), markup.page_text(nodes)).otherwise(F.col("content")))
     plain = lambda texts: F.transform(texts, lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("address")))
-    rows = rows.withColumn("b5", plain(lines)).withColumn("b6", plain(F.array("content")))
-    ways = [("linked", F.size("b0") >= 2), *((name, _like_a_calendar(F.col(f"b{i}"))) for i, (name, _) in enumerate(tries, 1)), ("lines", F.size("b5") >= 2), ("whole", F.lit(True))]
-    chosen = F.coalesce(*(F.when(test, F.struct(F.lit(name).alias("way"), F.col(f"b{i}").alias("blocks"))) for i, (name, test) in enumerate(ways)))
+    lines = _anchored(F.when(F.col("looks"), markup.page_text(nodes)).otherwise(F.col("content")))
+    ways = [("linked", _linked_blocks(nodes), F.size("blocks") >= 2), *((name, _blocks(nodes, markup.outermost(nodes, test)), _like_a_calendar(F.col("blocks"))) for name, test in tries), ("lines", plain(lines), F.size("blocks") >= 2)]
+    rows = rows.withColumn("c", F.lit(None).cast("struct<way: string, blocks: array<struct<text: string, address: string>>>"))
+    for name, blocks, test in ways:  # a way is tried on the pages that no way before it took
+        rows = rows.withColumn("blocks", F.when(F.col("c").isNull(), blocks)).withColumn("c", F.when(F.col("c").isNotNull(), F.col("c")).when(test, F.struct(F.lit(name).alias("way"), F.col("blocks").alias("blocks"))))
+    chosen = F.coalesce("c", F.struct(F.lit("whole").alias("way"), plain(F.array("content")).alias("blocks")))
     found = rows.select("_key", chosen.alias("c")).select("_key", "c.way", "c.blocks", F.posexplode("c.blocks").alias("pos", "b"))
     shared = F.size(F.filter("blocks", lambda o: o["address"] == F.col("b.address"))) > 1
     return found.select(F.col("_key").alias(key), "pos", "way", "b.text", F.when(~shared, F.col("b.address")).alias("address"))
@@ -134,13 +138,13 @@ def _first(nodes: Column, x: Column, test: markup.Test) -> Column:
 def _fields(nodes: Column, card: Column, own: Column) -> Column:
     """struct title, whens (each printed moment once, in order), when_text, place and address of a card; `own` is the address it is known by."""
     moment = lambda e: F.coalesce(attr(e, "datetime"), attr(e, "content"))
-    ends = lambda e: F.array_contains(words_of(e, "itemprop"), "enddate") | F.coalesce(attr(e, "class").rlike(END_NAME), F.lit(False))
-    timed = F.filter(markup.below(nodes, card), lambda e: (e["tag"] == "time") | F.arrays_overlap(words_of(e, "itemprop"), F.array(F.lit("startdate"), F.lit("startdatetime"))))
+    ends = lambda e: has_word(e, "itemprop", "enddate") | F.coalesce(attr(e, "class").rlike(END_NAME), F.lit(False))
+    timed = F.filter(markup.below(nodes, card), lambda e: (e["tag"] == "time") | has_word(e, "itemprop", "startdate", "startdatetime"))
     whens = F.array_distinct(F.filter(F.transform(F.filter(timed, lambda e: ~ends(e)), moment), lambda m: m.rlike(ISO_MOMENT)))
     printed = F.filter(F.transform(F.filter(timed, lambda e: e["tag"] == "time"), lambda e: text_of(nodes, e)), lambda t: t != "")
-    placed = lambda e: F.arrays_overlap(words_of(e, "itemprop"), F.array(F.lit("location"), F.lit("address"))) | F.coalesce(attr(e, "class").rlike(PLACE_NAME), F.lit(False))
+    placed = lambda e: has_word(e, "itemprop", "location", "address") | F.coalesce(attr(e, "class").rlike(PLACE_NAME), F.lit(False))
     links = F.filter(markup.below(nodes, card), lambda e: (e["tag"] == "a") & e["link"].isNotNull())
-    name = _first(nodes, card, lambda e: F.array_contains(words_of(e, "itemprop"), "name") & ~F.coalesce(e["scope"] > card["node"], F.lit(False)))
+    name = _first(nodes, card, lambda e: has_word(e, "itemprop", "name") & ~F.coalesce(e["scope"] > card["node"], F.lit(False)))
     title = F.coalesce(name, _first(nodes, card, lambda e: e["tag"].rlike("^h[1-6]$")), _first(nodes, card, lambda e: (e["tag"] == "a") & ~placed(e)))
     return F.struct(
         title.alias("title"), whens.alias("whens"), F.nullif(F.array_join(printed, " "), F.lit("")).alias("when_text"), _first(nodes, card, placed).alias("place"),
@@ -187,12 +191,19 @@ def listing_rows(pages: DataFrame, key: str, url: str, html: str, patterns: list
 
 def _row_around(nodes: Column, hits: Column, hit: Column) -> Column:
     """The nearest row-shaped element around a hit that holds its address alone and no structure of the page; the hit itself without one."""
+    def around(limits: Column) -> Column:
+        between = F.slice(nodes, limits["lower"] + 2, hit["node"] - limits["lower"] - 1)
+        return F.filter(between, lambda x: (x["last"] >= hit["node"]) & (x["last"] < limits["upper"]) & x["tag"].isin(*ROW_TAGS) & ~x["page"] & ~x["paged"])
+
     other = F.filter(hits, lambda o: o["url"] != hit["url"])
-    lower = F.coalesce(F.array_max(F.transform(F.filter(other, lambda o: o["node"] < hit["node"]), lambda o: o["node"])), F.lit(-1))
-    upper = F.coalesce(F.array_min(F.transform(F.filter(other, lambda o: o["node"] > hit["node"]), lambda o: o["node"])), F.lit(2**31 - 1))
-    between = F.slice(nodes, lower + 2, hit["node"] - lower - 1)
-    around = F.filter(between, lambda x: (x["last"] >= hit["node"]) & (x["last"] < upper) & x["tag"].isin(*ROW_TAGS) & ~x["page"] & ~x["paged"])
-    return F.coalesce(F.try_element_at(around, F.lit(-1)), F.get(nodes, hit["node"]))
+    return F.coalesce(F.try_element_at(bound(_limits(other, hit), around), F.lit(-1)), F.get(nodes, hit["node"]))
+
+
+def _limits(other: Column, x: Column) -> Column:
+    """struct lower, upper: the numbers of the last of the others before an element and of the first behind it."""
+    before, behind = F.filter(other, lambda o: o["node"] < x["node"]), F.filter(other, lambda o: o["node"] > x["node"])
+    lower, upper = F.array_max(F.transform(before, lambda o: o["node"])), F.array_min(F.transform(behind, lambda o: o["node"]))
+    return F.struct(F.coalesce(lower, F.lit(-1)).alias("lower"), F.coalesce(upper, F.lit(2**31 - 1)).alias("upper"))
 
 
 def page_rows(read: DataFrame, key: str) -> DataFrame:
@@ -228,12 +239,12 @@ def _foreign_cards(nodes: Column, links: Column) -> Column:
     """Spans (node, last) of the outermost elements that hold links to one other page of the site, none to this page, and no structure of the page."""
 
     def span(a: Column) -> Column:
+        def around(limits: Column) -> Column:
+            between = F.slice(nodes, limits["lower"] + 2, a["node"] - limits["lower"])
+            return F.get(F.filter(between, lambda x: (x["last"] >= a["node"]) & (x["last"] < limits["upper"]) & ~x["tag"].isin("html", "body") & ~x["paged"]), F.lit(0))
+
         other = F.filter(links, lambda o: (o["url"] != a["url"]) | o["own"])
-        lower = F.coalesce(F.array_max(F.transform(F.filter(other, lambda o: o["node"] < a["node"]), lambda o: o["node"])), F.lit(-1))
-        upper = F.coalesce(F.array_min(F.transform(F.filter(other, lambda o: o["node"] > a["node"]), lambda o: o["node"])), F.lit(2**31 - 1))
-        around = F.filter(F.slice(nodes, lower + 2, a["node"] - lower), lambda x: (x["last"] >= a["node"]) & (x["last"] < upper) & ~x["tag"].isin("html", "body") & ~x["paged"])
-        x = F.get(around, F.lit(0))
-        return F.struct(x["node"].alias("node"), x["last"].alias("last"))
+        return bound(bound(_limits(other, a), around), lambda x: F.struct(x["node"].alias("node"), x["last"].alias("last")))
 
     return F.filter(F.transform(F.filter(links, lambda a: ~a["own"]), span), lambda s: s["node"].isNotNull())
 
@@ -249,19 +260,20 @@ def event_statements(pages: DataFrame, key: str, url: str, html: str) -> DataFra
     property, else the first element named for it, at most 200 characters. A null page states nothing.
     """
     nodes, here = F.col("nodes"), F.col("here")
-    rows = markup.with_tree(pages.select(F.col(key).alias("_key"), F.col(url).alias("url"), F.col(html).alias("html")), "html", "url").withColumn("here", plain_address(F.col("url")))
+    rows = markup.with_tree(pages.select(F.col(key).alias("_key"), F.col(url).alias("url"), F.col(html).alias("html")), "html", "url")
+    rows = rows.withColumns({"here": plain_address(F.col("url")), "site": host(F.col("url"))})
     links = F.transform(F.filter(nodes, lambda x: (x["tag"] == "a") & x["link"].isNotNull()), lambda x: F.struct(x["node"].alias("node"), x["link"].alias("url"), (x["link"] == here).alias("own")))
-    rows = rows.withColumn("links", F.filter(links, lambda a: a["own"] | (host(a["url"]) == host(F.col("url"))))).withColumn("cards", _foreign_cards(nodes, F.col("links")))
+    rows = rows.withColumn("links", F.filter(links, lambda a: a["own"] | (host(a["url"]) == F.col("site")))).withColumn("cards", _foreign_cards(nodes, F.col("links")))
     elsewhere = lambda x: x["aside"] | F.exists("cards", lambda s: (s["node"] <= x["node"]) & (x["node"] <= s["last"]))
 
     rows = rows.withColumn("events", F.filter(F.transform(markup.linked_objects(nodes), lambda t: linked_event(t)), lambda e: e["is_event"]))
     mine = F.filter("events", lambda e: F.coalesce(plain_address(e["url"]) == here, F.lit(False)))
-    event = F.when(F.size(mine) == 1, F.get(mine, F.lit(0))).when((F.size("events") == 1) & F.get("events", F.lit(0))["url"].isNull(), F.get("events", F.lit(0)))
+    event = bound(mine, lambda m: F.when(F.size(m) == 1, F.get(m, F.lit(0))).when((F.size("events") == 1) & F.get("events", F.lit(0))["url"].isNull(), F.get("events", F.lit(0))))
 
     raw = lambda x: F.coalesce(attr(x, "datetime"), attr(x, "content"))
-    marks = F.filter(nodes, lambda x: ((x["tag"] == "time") | F.arrays_overlap(words_of(x, "itemprop"), F.array(F.lit("startdate"), F.lit("enddate")))) & raw(x).isNotNull())
+    marks = F.filter(nodes, lambda x: ((x["tag"] == "time") | has_word(x, "itemprop", "startdate", "enddate")) & raw(x).isNotNull())
     names = lambda x: F.concat_ws(" ", attr(x, "class"), attr(x, "id"), attr(x, "itemprop"))
-    prop = lambda x, p: F.array_contains(words_of(x, "itemprop"), p)
+    prop = lambda x, p: has_word(x, "itemprop", p)
     said = F.transform(marks, lambda x: F.struct(
         raw(x).alias("raw"), elsewhere(x).alias("foreign"), raw(x).rlike(ISO_MOMENT).alias("dated"), raw(x).rlike(r"^\d{1,2}:\d{2}(?::\d{2})?\s*(?:[AaPp]\.?[Mm]\.?)?$").alias("clock"),
         (prop(x, "startdate") | (~prop(x, "enddate") & ~names(x).rlike(END_NAME))).alias("start")))
@@ -278,11 +290,12 @@ def event_statements(pages: DataFrame, key: str, url: str, html: str) -> DataFra
     conflict = F.coalesce(stated.isNotNull() & ((F.size("dates") > 0) | ~agrees), F.lit(False))
     rows = rows.withColumn("conflict", conflict)
     when = F.when(~F.col("conflict"), F.coalesce(stated, "printed"))
-    placed = F.filter(nodes, lambda x: ~elsewhere(x) & (prop(x, "location") | F.coalesce(names(x).rlike(PLACE_NAME), F.lit(False))))
+    placed = F.filter(nodes, lambda x: (F.size(x["attrs"]) > 0) & (prop(x, "location") | names(x).rlike(PLACE_NAME)) & ~elsewhere(x))
     place = lambda x: F.regexp_replace(F.coalesce(attr(x, "content"), text_of(nodes, x)), PLACE_LABEL, "")
-    short = lambda xs: F.get(F.filter(F.transform(xs, place), lambda t: (t != "") & (F.length(t) <= MOST_PLACE)), F.lit(0))
+    short = lambda item: F.get(F.filter(F.transform(F.filter("placed", lambda p: p["item"] == F.lit(item)), lambda p: p["text"]), lambda t: (t != "") & (F.length(t) <= MOST_PLACE)), F.lit(0))
     linked = F.nullif(F.concat_ws(", ", F.col("event.place"), F.coalesce(F.col("event.address"), F.col("event.locality"))), F.lit(""))
-    rows = rows.withColumns({"when": when, "item": short(F.filter(placed, lambda x: prop(x, "location"))), "line": short(F.filter(placed, lambda x: ~prop(x, "location"))), "linked": F.substring(linked, 1, MOST_PLACE)})
+    rows = rows.withColumns({"when": when, "linked": F.substring(linked, 1, MOST_PLACE), "placed": F.transform(placed, lambda x: F.struct(prop(x, "location").alias("item"), place(x).alias("text")))})
+    rows = rows.withColumns({"item": short(True), "line": short(False)})
     foreign = F.size(F.filter("said", lambda m: m["foreign"])) + F.size("events") - F.when(F.col("event").isNotNull(), 1).otherwise(0)
     return rows.select(
         F.col("_key").alias(key), "when", F.when(F.col("when").isNotNull(), F.when(F.length("when") > 10, "minute").otherwise("date")).alias("precision"),

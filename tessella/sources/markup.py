@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import bound
 from .staging import spread
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,6 +37,8 @@ FIELDS = [
 NODES = "array<struct<node int, last int, tag string, attrs map<string, string>, text string, link string, scope int, line int, aside boolean, page boolean, paged boolean, clash boolean>>"
 #: White space of an attribute, which is made single before expressions read it.
 _BLANKS = re.compile("[ \t\n\x0b\f\r\xa0]+")
+#: Addresses that need no joining: a path from the root without dots, seen from a page of a host in lower case.
+_PLAIN_PATH, _PLAIN_ROOT = re.compile("(?:/[A-Za-z0-9_-]+)+/?"), re.compile(r"(https?://[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?)(?:[/?#]|$)")
 #: Pages that a Python worker turns into trees at a time.
 SLICE = 32
 
@@ -42,6 +48,8 @@ def address(href: str | None, base: str | None = None) -> str | None:
 
     Fragments and schemes other than http name no page: null, as does what can't be read.
     """
+    if href and base and _PLAIN_PATH.fullmatch(href) and (root := _PLAIN_ROOT.match(base)):
+        return root[1] + href.rstrip("/")
     href = " ".join((href or "").split())
     if not href or href.startswith("#"):
         return None
@@ -57,8 +65,8 @@ def address(href: str | None, base: str | None = None) -> str | None:
         return None
 
 
-class _Tree(HTMLParser):
-    """Nodes in page order: elements, texts, and the raw content of scripts and styles.
+class _Nodes:
+    """Nodes in page order: elements, texts, and the raw content of scripts and styles: `rows` of `_FIXED` fields, `attrs` as pairs, with `last` and `paged` beside them.
 
     link: the address that an element names (href, or the content of a meta with itemprop url), as seen from
     the page. scope: the nearest element around with an itemscope. line: grows where a new line begins. aside: within
@@ -68,78 +76,166 @@ class _Tree(HTMLParser):
     """
 
     def __init__(self, base: str | None) -> None:
+        self.base, self.now = base, 0
+        self.rows: list[tuple] = []
+        self.last: list[int] = []
+        self.paged: list[bool] = []
+        # numbers and names of the open elements; the scope and the aside of what comes next, under all open elements
+        self.open: list[int] = []
+        self.names: list[str] = []
+        self.around: list[tuple[int | None, bool]] = [(None, False)]
+
+    def element(self, tag: str, stated: tuple, closed: bool) -> None:
+        """An element with what `_stated` tells of its attributes; `closed` if it can hold nothing."""
+        attrs, clash, item, href, content = stated
+        if tag in LINES:
+            self.now += 1
+        link = None
+        if href or content:
+            found = {x for x in (address(href, self.base), address(content, self.base)) if x is not None}
+            clash, link = clash or len(found) > 1, min(found, default=None)
+        own = tag in ("header", "footer") and not any(x in SECTIONS for x in self.names)
+        at, (scope, aside) = len(self.rows), self.around[-1]
+        aside = aside or own or tag in _ASIDE
+        self.rows.append((tag, attrs, None, link, scope, self.now, aside, own or tag in _PAGE, clash))
+        self.last.append(at)
+        self.paged.append(False)
+        if not closed:
+            self.open.append(at)
+            self.names.append(tag)
+            self.around.append((at if item else scope, aside))
+
+    def end(self, tag: str) -> None:
+        if tag in LINES:
+            self.now += 1
+        if self.names and self.names[-1] == tag:
+            self.close(len(self.names) - 1)
+        elif tag in self.names:
+            self.close(len(self.names) - 1 - self.names[::-1].index(tag))
+
+    def close(self, at: int) -> None:
+        """Everything open from the place `at` on ends here."""
+        end = len(self.rows) - 1
+        for i in range(len(self.open) - 1, at - 1, -1):
+            x = self.open[i]
+            self.last[x] = end
+            if i and (self.paged[x] or self.rows[x][_PAGE_AT]):
+                self.paged[self.open[i - 1]] = True
+        del self.open[at:], self.names[at:], self.around[at + 1 :]
+
+    def data(self, text: str) -> None:
+        raw = bool(self.names) and self.names[-1] in _RAW_TAGS
+        scope, aside = self.around[-1]
+        self.last.append(len(self.rows))
+        self.paged.append(False)
+        self.rows.append((RAW if raw else TEXT, (), text, None, scope, self.now, aside, False, False))
+
+
+_FIXED = ("tag", "attrs", "text", "link", "scope", "line", "aside", "page", "clash")
+_PAGE_AT = _FIXED.index("page")
+_PAGE, _ASIDE, _RAW_TAGS = frozenset(("body", "main", "h1", "nav", "aside")), ("nav", "aside"), ("script", "style")
+
+
+def _stated(attrs: list[tuple[str, str | None]]) -> tuple:
+    """The attributes as pairs with single blanks, whether they clash, whether they make an item, and the two that may name an address."""
+    found: dict[str, str] = {}
+    clash = False
+    for key, value in attrs:
+        key, value = key.lower(), value or ""
+        clash |= key in IDENTITY and found.get(key, value) != value
+        found[key] = value
+    content = found.get("content") if "url" in found.get("itemprop", "").lower().split() else None
+    return tuple((k, _BLANKS.sub(" ", v).strip(" ")) for k, v in found.items()), clash, "itemscope" in found, found.get("href"), content
+
+
+class _Any(HTMLParser):
+    """Feeds whatever the library reads into `nodes`."""
+
+    def __init__(self, nodes: _Nodes) -> None:
         super().__init__(convert_charrefs=True)
-        self.base = base
-        self.nodes: list[dict] = []
-        self.open: list[dict] = []
-        self.line = 0
-
-    def _add(self, tag: str, attrs: dict | None = None, text: str | None = None, clash: bool = False, link: str | None = None) -> dict:
-        around = self.open[-1] if self.open else None
-        scope = None if around is None else around["node"] if "itemscope" in around["attrs"] else around["scope"]
-        own = tag in ("header", "footer") and not any(x["tag"] in SECTIONS for x in self.open)
-        node = {
-            "node": len(self.nodes), "last": len(self.nodes), "tag": tag, "attrs": attrs or {}, "text": text, "link": link, "scope": scope, "line": self.line, "clash": clash,
-            "aside": tag in ("nav", "aside") or own or bool(around and around["aside"]), "page": tag in ("body", "main", "h1", "nav", "aside") or own, "paged": False,
-        }
-        self.nodes.append(node)
-        return node
-
-    def _element(self, tag: str, attrs: list) -> dict:
-        found: dict[str, str] = {}
-        clash = False
-        for key, value in attrs:
-            key, value = key.lower(), value or ""
-            clash |= key in IDENTITY and found.get(key, value) != value
-            found[key] = value
-        self.line += tag in LINES
-        links = [address(found.get("href"), self.base)]
-        if "url" in found.get("itemprop", "").lower().split():
-            links.append(address(found.get("content"), self.base))
-        stated = {x for x in links if x is not None}
-        return self._add(tag, found, clash=clash or len(stated) > 1, link=next(iter(sorted(stated)), None))
+        self.nodes = nodes
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        node = self._element(tag, attrs)
-        if tag not in VOID:
-            self.open.append(node)
+        self.nodes.element(tag, _stated(attrs), tag in VOID)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self._element(tag, attrs)
-
-    def _close(self, at: int) -> None:
-        for node in reversed(self.open[at:]):
-            node["last"] = len(self.nodes) - 1
-        for i in range(len(self.open) - 1, at - 1, -1):
-            if i and (self.open[i]["page"] or self.open[i]["paged"]):
-                self.open[i - 1]["paged"] = True
-        del self.open[at:]
+        self.nodes.element(tag, _stated(attrs), True)
 
     def handle_endtag(self, tag: str) -> None:
-        self.line += tag in LINES
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                self._close(i)
-                return
+        self.nodes.end(tag)
 
     def handle_data(self, data: str) -> None:
-        raw = bool(self.open) and self.open[-1]["tag"] in ("script", "style")
-        self._add(RAW if raw else TEXT, text=data)
+        self.nodes.data(data)
+
+
+#: Pages of these tokens alone are read without the library's parser, which takes several times as long: text, end tags, start tags with plain attributes in double quotes.
+_TOKEN = re.compile(r'([^<]+)|<(?:/([a-z][a-z0-9]*)>|([a-z][a-z0-9]*)((?: [a-z][a-z-]*(?:="[^"&\0]*")?)*)( ?/)?>)')
+_ATTR = re.compile(r' ([a-z][a-z-]*)(?:="([^"]*)")?')
+#: Elements whose content the library may read by rules of its own.
+_SPECIAL = frozenset("title textarea plaintext iframe noembed noframes noscript xmp".split())
+
+
+@lru_cache(maxsize=1 << 14)
+def _plain_attrs(text: str) -> tuple:
+    return _stated(_ATTR.findall(text))
+
+
+def _plain(html: str, nodes: _Nodes) -> bool:
+    """Whether the page is of plain tokens alone, all of which are then in `nodes`."""
+    at, raw = 0, None
+    for m in _TOKEN.finditer(html):
+        if m.start() != at:
+            return False
+        at = m.end()
+        text, end, tag, attrs, closed = m.groups()
+        if text is not None:
+            nodes.data(text if raw or "&" not in text else unescape(text))
+        elif raw and end != raw:
+            return False
+        elif end is not None:
+            nodes.end(end)
+            raw = None
+        elif tag in _SPECIAL:
+            return False
+        else:
+            nodes.element(tag, _plain_attrs(attrs), closed is not None or tag in VOID)
+            raw = tag if tag in _RAW_TAGS and closed is None else None
+    return at == len(html) and not raw
+
+
+def _read(html: str | None, base: str | None) -> _Nodes:
+    nodes = _Nodes(base)
+    if html and not _plain(html, nodes):
+        nodes = _Nodes(base)
+        parser = _Any(nodes)
+        parser.feed(html)
+        parser.close()
+    nodes.close(0)
+    return nodes
 
 
 def tree(html: str | None, base: str | None = None) -> list[dict]:
     """The nodes of a page at the address `base`; none of null."""
-    parser = _Tree(base)
-    parser.feed(html or "")
-    parser.close()
-    parser._close(0)
-    return parser.nodes
+    nodes = _read(html, base)
+    return [{"node": i, "last": n, "paged": p, **dict(zip(_FIXED, r))} | {"attrs": dict(r[1])} for i, (r, n, p) in enumerate(zip(nodes.rows, nodes.last, nodes.paged))]
+
+
+def _column(pages: list[_Nodes]) -> pa.Array:
+    """The nodes of each page as an array of `NODES`."""
+    kinds, every = dict(FIELDS), chain.from_iterable
+    values = dict(zip(_FIXED, list(zip(*every(p.rows for p in pages))) or [()] * len(_FIXED)))
+    values |= {"node": list(every(range(len(p.rows)) for p in pages)), "last": list(every(p.last for p in pages)), "paged": list(every(p.paged for p in pages))}
+    attrs = values.pop("attrs")
+    keys, said = list(zip(*every(attrs))) or [(), ()]
+    made = {name: pa.array(v, kinds[name]) for name, v in values.items()}
+    made["attrs"] = pa.MapArray.from_arrays(pa.array([0, *accumulate(map(len, attrs))], pa.int32()), pa.array(keys, pa.string()), pa.array(said, pa.string()))
+    nodes = pa.StructArray.from_arrays([made[name] for name, _ in FIELDS], fields=[pa.field(*f) for f in FIELDS])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(len(p.rows) for p in pages)], pa.int32()), nodes)
 
 
 def with_tree(pages: DataFrame, html: str, url: str | None = None) -> DataFrame:
     """`pages` with `nodes`, the element tree of the column `html`, instead of it; a null or empty page has none. `url` names the column of the page's address."""
     columns = [c for c in pages.columns if c != html]
-    kind = pa.list_(pa.struct(FIELDS))
     fields = [pages.schema[c] for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +243,8 @@ def with_tree(pages: DataFrame, html: str, url: str | None = None) -> DataFrame:
             for lo in range(0, big.num_rows, SLICE):
                 batch = big.slice(lo, SLICE)
                 bases = batch.column(url).to_pylist() if url else [None] * batch.num_rows
-                found = [[x | {"attrs": [(k, _BLANKS.sub(" ", v).strip(" ")) for k, v in x["attrs"].items()]} for x in tree(h, b)] for h, b in zip(batch.column(html).to_pylist(), bases)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, kind)], names=[*columns, "nodes"])
+                found = _column([_read(h, b) for h, b in zip(batch.column(html).to_pylist(), bases)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), found], names=[*columns, "nodes"])
 
     return spread(pages).mapInArrow(run, T.StructType([*fields, T.StructField("nodes", T._parse_datatype_string(NODES))]))
 
@@ -185,9 +281,9 @@ def text_of(nodes: Column, x: Column) -> Column:
 
 def page_text(nodes: Column) -> Column:
     """The printed text of a page, with a line end wherever a block begins or ends."""
-    texts = F.filter(nodes, lambda t: t["tag"] == TEXT)
-    first = lambda t, i: (i == 0) | (t["line"] == F.get(texts, i - 1)["line"])
-    return F.array_join(F.transform(texts, lambda t, i: F.when(first(t, i), t["text"]).otherwise(F.concat(F.lit("\n"), t["text"]))), "")
+    first = lambda texts, t, i: (i == 0) | (t["line"] == F.get(texts, i - 1)["line"])
+    lines = lambda texts: F.transform(texts, lambda t, i: F.when(first(texts, t, i), t["text"]).otherwise(F.concat(F.lit("\n"), t["text"])))
+    return F.array_join(bound(F.filter(nodes, lambda t: t["tag"] == TEXT), lines), "")
 
 
 def outermost(nodes: Column, test: Test) -> Column:
@@ -200,8 +296,7 @@ def outermost(nodes: Column, test: Test) -> Column:
 
 def innermost(nodes: Column, test: Test) -> Column:
     """The elements that pass and hold no other one that passes."""
-    found = F.filter(nodes, test)
-    return F.filter(found, lambda x, i: F.coalesce(F.get(found, i + 1)["node"] > x["last"], F.lit(True)))
+    return bound(F.filter(nodes, test), lambda found: F.filter(found, lambda x, i: F.coalesce(F.get(found, i + 1)["node"] > x["last"], F.lit(True))))
 
 
 def attr(x: Column, name: str) -> Column:
@@ -213,9 +308,9 @@ def has_attr(x: Column, name: str) -> Column:
     return F.coalesce(F.map_contains_key(x["attrs"], name), F.lit(False))
 
 
-def words_of(x: Column, name: str) -> Column:
-    """An attribute's words in lower case; none where it isn't there."""
-    return F.coalesce(F.split(F.lower(attr(x, name)), " "), F.array().cast("array<string>"))
+def has_word(x: Column, name: str, *words: str) -> Column:
+    """Whether one of the words (ASCII, without marks of expressions) is among an attribute's, in any case."""
+    return F.coalesce(F.try_element_at(x["attrs"], F.lit(name)).rlike(rf"(?i)(?:\A| )(?:{'|'.join(words)})(?: |\z)"), F.lit(False))
 
 
 def has_classes(x: Column, classes: tuple[str, ...]) -> Column:

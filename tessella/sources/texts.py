@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import utc_stamp
+from ..functions.text import bound
 from .markup import json_objects
 from .staging import spread
 
@@ -51,19 +52,23 @@ def linked_event(item: Column) -> Column:
     is left out. A place may be a text, an object or a list (its first), an address a text or an object. What isn't stated is null.
     """
     get = lambda path: F.get_json_object(item, path)
-    said = lambda path: F.nullif(F.trim(scalar(get(path))), F.lit(""))
-    kinds = F.when(get("$['@type']").startswith("["), F.from_json(get("$['@type']"), "array<string>")).otherwise(F.array(get("$['@type']")))
-    bare = F.transform(F.filter(kinds, lambda k: k.isNotNull()), lambda k: F.lower(F.trim(F.regexp_replace(k, "^.*[/:]", ""))))
-    spot = F.when(get("$.location").startswith("["), get("$.location[0]")).otherwise(get("$.location"))
-    at = lambda path: F.nullif(F.trim(scalar(F.get_json_object(spot, path))), F.lit(""))
-    object_ = F.coalesce(spot.startswith("{"), F.lit(False))
-    address = F.get_json_object(spot, "$.address")
-    low, high = offer_range(get("$.offers"))
-    return F.struct(
+    plain = lambda value: bound(F.trim(value), lambda v: F.nullif(v, F.lit("")))
+    said = lambda path: plain(scalar(get(path)))
+    kinds = lambda kind: F.when(kind.startswith("["), F.from_json(kind, "array<string>")).otherwise(F.array(kind))
+    bare = F.transform(F.filter(bound(get("$['@type']"), kinds), lambda k: k.isNotNull()), lambda k: F.lower(F.trim(F.regexp_replace(k, "^.*[/:]", ""))))
+    at = lambda spot, path: plain(scalar(F.get_json_object(spot, path)))
+
+    def place(spot: Column) -> Column:
+        object_ = F.coalesce(spot.startswith("{"), F.lit(False))
+        return bound(F.when(object_, F.get_json_object(spot, "$.address")), lambda address: F.struct(
+            F.when(object_, at(spot, "$.name")).otherwise(plain(spot)).alias("place"),
+            F.when(object_, F.when(address.startswith("{"), at(spot, "$.address.streetAddress")).otherwise(plain(address))).alias("address"),
+            F.when(object_ & address.startswith("{"), at(spot, "$.address.addressLocality")).alias("locality")))
+
+    spot = bound(get("$.location"), lambda value: F.when(value.startswith("["), get("$.location[0]")).otherwise(value))
+    return bound(F.struct(bound(spot, place).alias("where"), offer_range(get("$.offers")).alias("prices")), lambda x: F.struct(
         F.exists(bare, lambda k: k.endswith("event") | (k == "festival")).alias("is_event"), get("$['@type']").alias("type"), said("$.name").alias("name"), said("$.startDate").alias("start"), said("$.endDate").alias("stop"),
-        said("$.url").alias("url"), F.when(object_, at("$.name")).otherwise(F.nullif(F.trim(spot), F.lit(""))).alias("place"),
-        F.when(object_, F.when(address.startswith("{"), at("$.address.streetAddress")).otherwise(F.nullif(F.trim(address), F.lit("")))).alias("address"),
-        F.when(object_ & address.startswith("{"), at("$.address.addressLocality")).alias("locality"), low.alias("low"), high.alias("high"))
+        said("$.url").alias("url"), x["where"]["place"].alias("place"), x["where"]["address"].alias("address"), x["where"]["locality"].alias("locality"), x["prices"]["low"].alias("low"), x["prices"]["high"].alias("high")))
 
 
 def linked_events(pages: DataFrame, key: str, column: str) -> DataFrame:
@@ -77,12 +82,12 @@ def linked_events(pages: DataFrame, key: str, column: str) -> DataFrame:
     return rows.select(key, "e.*").where("is_event").drop("is_event")
 
 
-def offer_range(offers: Column) -> tuple[Column, Column]:
-    """Least and greatest numeric price of an offer or a list of offers in JSON; null without one."""
-    listed = F.from_json(F.when(F.ltrim(offers).startswith("["), offers).otherwise(F.concat(F.lit("["), offers, F.lit("]"))), "array<struct<price: string, lowPrice: string, highPrice: string>>")
+def offer_range(offers: Column) -> Column:
+    """struct low, high: least and greatest numeric price of an offer or a list of offers in JSON; null without one."""
+    listed = F.from_json(bound(offers, lambda o: F.when(F.ltrim(o).startswith("["), o).otherwise(F.concat(F.lit("["), o, F.lit("]")))), "array<struct<price: string, lowPrice: string, highPrice: string>>")
     prices = F.flatten(F.transform(listed, lambda o: F.array(o["price"], o["lowPrice"], o["highPrice"])))
     numbers = F.filter(F.transform(prices, lambda p: p.try_cast("double")), lambda p: p.isNotNull())
-    return F.array_min(numbers), F.array_max(numbers)
+    return bound(numbers, lambda n: F.struct(F.array_min(n).alias("low"), F.array_max(n).alias("high")))
 
 
 def first_instances(feeds: DataFrame, key: str, column: str) -> DataFrame:
@@ -95,8 +100,8 @@ def first_instances(feeds: DataFrame, key: str, column: str) -> DataFrame:
 
 def scalar(value: Column) -> Column:
     """One text of a JSON value: a list of one, or an object's name or @value, is unwrapped; anything else that isn't a scalar is null."""
-    inner = F.when(value.startswith("["), F.when(F.json_array_length(value) == 1, F.get_json_object(value, "$[0]"))).otherwise(value)
-    return F.when(inner.startswith("{"), F.coalesce(F.get_json_object(inner, "$.name"), F.get_json_object(inner, "$['@value']"))).when(~inner.startswith("["), inner)
+    inner = lambda v: F.when(v.startswith("["), F.when(F.json_array_length(v) == 1, F.get_json_object(v, "$[0]"))).otherwise(v)
+    return bound(bound(value, inner), lambda inner: F.when(inner.startswith("{"), F.coalesce(F.get_json_object(inner, "$.name"), F.get_json_object(inner, "$['@value']"))).when(~inner.startswith("["), inner))
 
 
 def csv_records(text: Column) -> Column:
