@@ -20,6 +20,8 @@ _PIECES = {
     "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?{_OTHER}|\s+(?!\S)|\s+"),
     "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|{_OTHER}"),
 }
+#: The characters of vocabularies of bytes for blanks and what else isn't printable in ASCII.
+_BYTE_CHARS = {b: 256 + b for b in range(33)} | {127: 256 + 33}
 #: Pieces kept by a Python worker, about 200 bytes each; fewer save memory and cost time.
 CACHE_ENTRIES = 900_000
 #: A Python worker that encodes nothing for so many seconds gives the cache's memory back.
@@ -30,8 +32,8 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
     Tokenizers of this kind encode each piece of a text by itself, so pieces
-    are cut by a pattern, each piece is encoded by the library once, and its
-    ids are kept (in a bounded cache) as bytes that are joined per text. Texts
+    are cut by a pattern, each piece is encoded by the library once (by its
+    model alone if it is of ASCII, so normal and cut already), and its ids are kept (in a bounded cache) as bytes that are joined per text. Texts
     that hold a special token's string, or characters outside the checked range,
     are encoded by the library whole, so a special string has its special id.
     """
@@ -43,6 +45,7 @@ class Encoder:
         special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         # a text without the first characters of any special string is told apart by a plain search
         self.openings, self.special = {t[:2] for t in special}, re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I)
+        self.model, self.bytes = self.tokenizer.model, "ByteLevel" in str(self.tokenizer.pre_tokenizer)
         self.kind, self.pattern, self.entries, self.cache = kind, _PIECES[kind], entries, {}
         self.lock, self.used, self.watched = threading.Lock(), 0.0, False
 
@@ -60,6 +63,13 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         if len(self.cache) + len(pieces) > self.entries:
             self.cache.clear()
+        found, plain, cut, tokenize = [], [p for p in pieces if p.isascii()], [0], self.model.tokenize
+        for piece in plain:
+            found += [t.id for t in tokenize(piece.translate(_BYTE_CHARS) if self.bytes else piece)]
+            cut.append(4 * len(found))
+        data = np.asarray(found, "<u4").tobytes()
+        self.cache.update(zip(plain, [data[a:b] for a, b in zip(cut, cut[1:])]))
+        pieces = [p for p in pieces if not p.isascii()]
         done = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         ids = np.asarray(done.ids, "<u4")
         cut = (4 * np.searchsorted(np.asarray(done.word_ids, np.int64), np.arange(len(pieces) + 1))).tolist()

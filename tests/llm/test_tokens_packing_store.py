@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 from common_cases import documents, frame
 from tessella.llm import chunk_store, packing
 from tessella.llm.common import shared_dir
-from tessella.llm.tokens import encoder
+from tessella.llm.tokens import Encoder, encoder
 
 ODD = [(100, "it's I'LL don''t  x y z\x85w\x1c 12½³ ǅ İ ſ ﻿"), (101, "\r\n\t a\n\n\nb   "), (102, "[CLS] </s> <s> <pad> [UNK]"), (103, "東京 🎉 नमस्ते é"), (104, "ªº¼ ÷× ÀÉ ɏ ĲŁ _-_"),
        (105, "a <|endoftext|> b <|startoftext|>"), (106, "<|ENDOFTEXT|><|endoftext|>x")]
@@ -180,3 +181,20 @@ def test_empty_tables(spark):
     df = frame(spark, documents()).limit(0)
     assert packing.pack_documents(df).count() == 0
     assert chunk_store.store_documents(df).count() == 0
+
+
+@pytest.mark.parametrize("file, kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_pieces_are_encoded_by_the_model_alone(file, kind):
+    rng, whole = random.Random(4), Tokenizer.from_file(public_tokenizers.path(file))
+    chars = [chr(c) for c in (9, 10, 13, *range(32, 127))]
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(60))) for i in range(3000)]
+    texts = [t for t in texts if "<" not in t and "[" not in t] + ["don't stop  at\n\n  \x7f x"]
+    enc = Encoder(public_tokenizers.path(file), kind)
+
+    class NoPipeline:
+        def encode(self, text, **kw):
+            assert isinstance(text, str) or not text, "pieces went through the whole pipeline"
+            return whole.encode(text, **kw)
+
+    enc.tokenizer = NoPipeline()
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
