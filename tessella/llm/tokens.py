@@ -15,7 +15,7 @@ _L = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
 _OTHER = rf"[^\s{_L}{_N}]+"
 #: Any other character (or U+0130, whose lower case is two characters) sends the whole text to the library.
-_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]")
+_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ž]")
 _PIECES = {
     "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?{_OTHER}|\s+(?!\S)|\s+"),
     "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|{_OTHER}"),

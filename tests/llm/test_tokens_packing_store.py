@@ -198,3 +198,9 @@ def test_pieces_are_encoded_by_the_model_alone(file, kind):
 
     enc.tokenizer = NoPipeline()
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_letters_whose_lower_case_lies_elsewhere_have_the_librarys_ids():
+    whole = Tokenizer.from_file(public_tokenizers.path(FILES[1][0]))
+    texts = [a + chr(c) + "b/" + chr(c) for c in range(0xA1, 0x250) for a in ("", "x", "¼7")]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(*FILES[1]).encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
