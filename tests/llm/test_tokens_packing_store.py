@@ -204,3 +204,28 @@ def test_letters_whose_lower_case_lies_elsewhere_have_the_librarys_ids():
     whole = Tokenizer.from_file(public_tokenizers.path(FILES[1][0]))
     texts = [a + chr(c) + "b/" + chr(c) for c in range(0xA1, 0x250) for a in ("", "x", "¼7")]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder(*FILES[1]).encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize(("file", "kind"), FILES)
+def test_a_word_is_cut_once_and_its_pieces_go_to_the_model_alone(file, kind):
+    rng, whole = random.Random(5), Tokenizer.from_file(public_tokenizers.path(file))
+    words = ["".join(rng.choice("abÉñœß'1½.*÷") for _ in range(rng.randrange(1, 9))) for _ in range(200)] + ["don't", "'save", '"\'s', "it's", "\xa1\xad\xb5"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(80))) for _ in range(100)]
+    for most in (7, 10_000):  # with few entries all are forgotten again and again
+        enc, seen = Encoder(public_tokenizers.path(file), kind, most), Counter()
+        enc.tokenizer = None  # what the model alone can't do fails
+        if kind == "word":
+            cut = enc.cache.cut
+
+            def counted(word, cut=cut, seen=seen):
+                seen[word] += 1
+                return cut(word)
+
+            enc.cache.cut = enc.cut = counted
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(enc.cache) <= max(20, most * 2)
+        assert most == 7 or set(seen.values()) <= {1}
+    long = ["x1" * 5000, "a" * 5000, "x1" * 5000 + " b"]
+    enc = Encoder(public_tokenizers.path(file), kind)
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(long)] == [whole.encode(t, add_special_tokens=False).ids for t in long]
+    assert max(map(len, enc.cache)) <= 64
