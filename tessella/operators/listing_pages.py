@@ -27,6 +27,8 @@ PLACE_LABEL = r"(?i)^\s*(?:where|venue|location|place)\s*[:\-–—]\s*"
 END_NAME = r"(?i)(?:^|[\s_-])end(?:s|ed|time)?(?:$|[\s_-])"
 ROW_TAGS = ("li", "article", "tr", "div", "section")
 LEAST_CHARS, MOST_PLACE = 8, 200
+#: What is read of an event in linked data.
+READ = ("name", "start", "url", "place", "address", "locality")
 ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
 
 
@@ -79,7 +81,7 @@ def _like_a_calendar(blocks: Column) -> Column:
 
 
 def _linked_blocks(nodes: Column) -> Column:
-    events = F.filter(F.transform(markup.linked_objects(nodes), lambda t: linked_event(t)), lambda e: e["is_event"])
+    events = F.filter(F.transform(markup.linked_objects(nodes), lambda t: linked_event(t, "is_event", *READ)), lambda e: e["is_event"])
     line = lambda e: F.concat_ws(" | ", e["name"], e["start"], e["place"], e["address"], e["locality"], e["url"])
     made = F.transform(events, lambda e: F.struct(line(e).alias("text"), plain_address(e["url"]).alias("address")))
     return F.filter(made, lambda b: F.length(b["text"]) >= LEAST_CHARS)
@@ -166,7 +168,7 @@ def listing_rows(pages: DataFrame, key: str, url: str, html: str, patterns: list
     """
     nodes, base = F.col("nodes"), F.col("url")
     rows = markup.with_tree(pages.select(F.col(key).alias("_key"), F.col(url).alias("url"), F.col(html).alias("html")), "html", "url")
-    rows = rows.withColumn("events", F.filter(F.transform(markup.linked_objects(nodes), lambda t: linked_event(t)), lambda e: e["is_event"]))
+    rows = rows.withColumn("events", F.filter(F.transform(markup.linked_objects(nodes), lambda t: linked_event(t, "is_event", *READ)), lambda e: e["is_event"]))
     linked = F.transform("events", lambda e: F.struct(
         e["name"].alias("title"), F.array_compact(F.array(e["start"])).alias("whens"), F.lit(None).cast("string").alias("when_text"), F.coalesce(e["place"], e["address"], e["locality"]).alias("place"),
         plain_address(e["url"]).alias("address")).cast(ROW))
@@ -259,29 +261,31 @@ def event_statements(pages: DataFrame, key: str, url: str, html: str) -> DataFra
     only a clock (`clock_only`) are no start. The place is that of the linked data, else an item
     property, else the first element named for it, at most 200 characters. A null page states nothing.
     """
-    nodes, here = F.col("nodes"), F.col("here")
-    rows = markup.with_tree(pages.select(F.col(key).alias("_key"), F.col(url).alias("url"), F.col(html).alias("html")), "html", "url")
+    nodes, marked, here = F.col("nodes"), F.col("marked"), F.col("here")
+    rows = markup.with_tree(pages.select(F.col(key).alias("_key"), F.col(url).alias("url"), F.col(html).alias("html")), "html", "url", ("node", "last", "tag", "text", "paged"), ("node", "last", "tag", "attrs", "link", "aside"))
     rows = rows.withColumns({"here": plain_address(F.col("url")), "site": host(F.col("url"))})
-    links = F.transform(F.filter(nodes, lambda x: (x["tag"] == "a") & x["link"].isNotNull()), lambda x: F.struct(x["node"].alias("node"), x["link"].alias("url"), (x["link"] == here).alias("own")))
-    rows = rows.withColumn("links", F.filter(links, lambda a: a["own"] | (host(a["url"]) == F.col("site")))).withColumn("cards", _foreign_cards(nodes, F.col("links")))
+    links = F.transform(F.filter(marked, lambda x: (x["tag"] == "a") & x["link"].isNotNull()), lambda x: F.struct(x["node"].alias("node"), x["link"].alias("url"), (x["link"] == here).alias("own")))
+    rows = rows.withColumns({"links": F.filter(links, lambda a: a["own"] | (host(a["url"]) == F.col("site"))), "objects": markup.linked_objects(nodes, marked)}).withColumn("cards", _foreign_cards(nodes, F.col("links")))
     elsewhere = lambda x: x["aside"] | F.exists("cards", lambda s: (s["node"] <= x["node"]) & (x["node"] <= s["last"]))
 
-    rows = rows.withColumn("events", F.filter(F.transform(markup.linked_objects(nodes), lambda t: linked_event(t)), lambda e: e["is_event"]))
-    mine = F.filter("events", lambda e: F.coalesce(plain_address(e["url"]) == here, F.lit(False)))
-    event = bound(mine, lambda m: F.when(F.size(m) == 1, F.get(m, F.lit(0))).when((F.size("events") == 1) & F.get("events", F.lit(0))["url"].isNull(), F.get("events", F.lit(0))))
-
     raw = lambda x: F.coalesce(attr(x, "datetime"), attr(x, "content"))
-    marks = F.filter(nodes, lambda x: ((x["tag"] == "time") | has_word(x, "itemprop", "startdate", "enddate")) & raw(x).isNotNull())
+    marks = F.filter(marked, lambda x: ((x["tag"] == "time") | has_word(x, "itemprop", "startdate", "enddate")) & raw(x).isNotNull())
     names = lambda x: F.concat_ws(" ", attr(x, "class"), attr(x, "id"), attr(x, "itemprop"))
     prop = lambda x, p: has_word(x, "itemprop", p)
     said = F.transform(marks, lambda x: F.struct(
         raw(x).alias("raw"), elsewhere(x).alias("foreign"), raw(x).rlike(ISO_MOMENT).alias("dated"), raw(x).rlike(r"^\d{1,2}:\d{2}(?::\d{2})?\s*(?:[AaPp]\.?[Mm]\.?)?$").alias("clock"),
         (prop(x, "startdate") | (~prop(x, "enddate") & ~names(x).rlike(END_NAME))).alias("start")))
-    rows = rows.withColumn("event", event).withColumn("said", said)
-    own = F.filter("said", lambda m: m["dated"] & ~m["foreign"])
-    dates = F.array_sort(F.array_distinct(F.transform(own, lambda m: F.substring(m["raw"], 1, 10))))
-    starts = F.filter(own, lambda m: m["start"])
-    timed = F.array_distinct(F.transform(F.filter(starts, lambda m: F.length(m["raw"]) > 10), lambda m: m["raw"]))
+    placed = F.filter(marked, lambda x: ~elsewhere(x) & (prop(x, "location") | names(x).rlike(PLACE_NAME)))
+    place = lambda x: F.regexp_replace(F.coalesce(attr(x, "content"), text_of(nodes, x)), PLACE_LABEL, "")
+    events = F.filter(F.transform("objects", lambda t: linked_event(t, "is_event", *READ)), lambda e: e["is_event"])
+    rows = rows.select("_key", "here", events.alias("events"), said.alias("said"), F.transform(placed, lambda x: F.struct(prop(x, "location").alias("item"), place(x).alias("text"))).alias("placed"))
+
+    mine = F.filter("events", lambda e: F.coalesce(plain_address(e["url"]) == here, F.lit(False)))
+    event = bound(mine, lambda m: F.when(F.size(m) == 1, F.get(m, F.lit(0))).when((F.size("events") == 1) & F.get("events", F.lit(0))["url"].isNull(), F.get("events", F.lit(0))))
+    rows = rows.withColumns({"event": event, "own": F.filter("said", lambda m: m["dated"] & ~m["foreign"])})
+    rows = rows.withColumns({"nights": F.sort_array(F.array_distinct(F.transform("own", lambda m: F.substring(m["raw"], 1, 10)))), "starts": F.filter("own", lambda m: m["start"])})
+    rows = rows.withColumn("timed", F.array_distinct(F.transform(F.filter("starts", lambda m: F.length(m["raw"]) > 10), lambda m: m["raw"])))
+    own, dates, starts, timed = (F.col(c) for c in ("own", "nights", "starts", "timed"))
     printed = F.when((F.size(dates) == 1) & (F.size(starts) > 0), F.when(F.size(timed) == 1, F.get(timed, F.lit(0))).otherwise(F.get(dates, F.lit(0))))
     stated = F.col("event.start")
     moment = lambda t: F.when(F.length(t) > 10, F.coalesce(F.date_format(F.try_to_timestamp(t), "yyyy-MM-dd HH:mm"), t)).otherwise(t)
@@ -290,12 +294,9 @@ def event_statements(pages: DataFrame, key: str, url: str, html: str) -> DataFra
     conflict = F.coalesce(stated.isNotNull() & ((F.size("dates") > 0) | ~agrees), F.lit(False))
     rows = rows.withColumn("conflict", conflict)
     when = F.when(~F.col("conflict"), F.coalesce(stated, "printed"))
-    placed = F.filter(nodes, lambda x: (F.size(x["attrs"]) > 0) & (prop(x, "location") | names(x).rlike(PLACE_NAME)) & ~elsewhere(x))
-    place = lambda x: F.regexp_replace(F.coalesce(attr(x, "content"), text_of(nodes, x)), PLACE_LABEL, "")
     short = lambda item: F.get(F.filter(F.transform(F.filter("placed", lambda p: p["item"] == F.lit(item)), lambda p: p["text"]), lambda t: (t != "") & (F.length(t) <= MOST_PLACE)), F.lit(0))
     linked = F.nullif(F.concat_ws(", ", F.col("event.place"), F.coalesce(F.col("event.address"), F.col("event.locality"))), F.lit(""))
-    rows = rows.withColumns({"when": when, "linked": F.substring(linked, 1, MOST_PLACE), "placed": F.transform(placed, lambda x: F.struct(prop(x, "location").alias("item"), place(x).alias("text")))})
-    rows = rows.withColumns({"item": short(True), "line": short(False)})
+    rows = rows.withColumns({"when": when, "linked": F.substring(linked, 1, MOST_PLACE), "item": short(True), "line": short(False)})
     foreign = F.size(F.filter("said", lambda m: m["foreign"])) + F.size("events") - F.when(F.col("event").isNotNull(), 1).otherwise(0)
     return rows.select(
         F.col("_key").alias(key), "when", F.when(F.col("when").isNotNull(), F.when(F.length("when") > 10, "minute").otherwise("date")).alias("precision"),

@@ -9,14 +9,17 @@ its page: nothing is shuffled, and a page is one row however its key repeats.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from html import unescape
 from html.parser import HTMLParser
 from itertools import accumulate, chain
+from typing import NamedTuple
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,13 +37,13 @@ FIELDS = [
     ("node", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("link", pa.string()), ("scope", pa.int32()), ("line", pa.int32()),
     ("aside", pa.bool_()), ("page", pa.bool_()), ("paged", pa.bool_()), ("clash", pa.bool_()),
 ]
-NODES = "array<struct<node int, last int, tag string, attrs map<string, string>, text string, link string, scope int, line int, aside boolean, page boolean, paged boolean, clash boolean>>"
+KINDS = dict(f.split(" ", 1) for f in "node int|last int|tag string|attrs map<string, string>|text string|link string|scope int|line int|aside boolean|page boolean|paged boolean|clash boolean".split("|"))
 #: White space of an attribute, which is made single before expressions read it.
 _BLANKS = re.compile("[ \t\n\x0b\f\r\xa0]+")
 #: Addresses that need no joining: a path from the root without dots, seen from a page of a host in lower case.
 _PLAIN_PATH, _PLAIN_ROOT = re.compile("(?:/[A-Za-z0-9_-]+)+/?"), re.compile(r"(https?://[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?)(?:[/?#]|$)")
-#: Pages that a Python worker turns into trees at a time.
-SLICE = 32
+#: Pages, and bytes of several pages, that a Python worker turns into trees at a time.
+SLICE, SLICE_BYTES = 256, 1 << 18
 
 
 def address(href: str | None, base: str | None = None) -> str | None:
@@ -203,7 +206,106 @@ def _plain(html: str, nodes: _Nodes) -> bool:
     return at == len(html) and not raw
 
 
-def _read(html: str | None, base: str | None) -> _Nodes:
+#: A tag of plain tokens, what stands between its angle brackets.
+_MARK = re.compile(r'/([a-z][a-z0-9]*)|([a-z][a-z0-9]*)((?: [a-z][a-z-]*(?:="[^"&\0]*")?)*)( ?/)?')
+#: Skeletons and tags up to so many characters are kept, for pages of one site repeat them.
+_KEPT_SKELETON, _KEPT_MARK = 4096, 256
+_SHAPE = {"tag", "node", "last", "scope", "line", "aside", "page", "paged"}
+
+
+class _Page(NamedTuple):
+    """A page's nodes: what depends on its tags alone (`_SHAPE`), and texts, attributes (number for each node, names, values), links and clashes (those of a few nodes)."""
+
+    shape: pa.StructArray
+    text: list[str | None]
+    counts: list[int]
+    keys: list[str]
+    said: list[str]
+    named: dict[int, tuple[str | None, bool]]
+
+    @property
+    def rows(self) -> list[tuple]:
+        ends = list(accumulate(self.counts))
+        attrs = [tuple(zip(self.keys[e - n : e], self.said[e - n : e])) for e, n in zip(ends, self.counts)]
+        named = [self.named.get(i, (None, False)) for i in range(len(self.text))]
+        own = zip(*(self.shape.field(c).to_pylist() for c in ("tag", "scope", "line", "aside", "page")))
+        return [(tag, a, text, link, scope, line, aside, page, clash) for (tag, scope, line, aside, page), a, text, (link, clash) in zip(own, attrs, self.text, named)]
+
+    @property
+    def last(self) -> list[int]:
+        return self.shape.field("last").to_pylist()
+
+    @property
+    def paged(self) -> list[bool]:
+        return self.shape.field("paged").to_pylist()
+
+
+def _shape_of(nodes: _Nodes) -> pa.StructArray:
+    values = {**dict(zip(_FIXED, list(zip(*nodes.rows)) or [()] * len(_FIXED))), "node": range(len(nodes.rows)), "last": nodes.last, "paged": nodes.paged}
+    kept = [f for f in FIELDS if f[0] in _SHAPE]
+    return pa.StructArray.from_arrays([pa.array(values[name], kind) for name, kind in kept], fields=[pa.field(*f) for f in kept])
+
+
+@lru_cache(maxsize=1 << 10)
+def _shape(skeleton: str) -> pa.StructArray | None:
+    """The shape of a page of these tags; null if they aren't plain."""
+    nodes = _Nodes(None)
+    if not _plain(skeleton, nodes):
+        return None
+    nodes.close(0)
+    return _shape_of(nodes)
+
+
+@lru_cache(maxsize=1 << 14)
+def _mark(mark: str) -> tuple | None:
+    """The tag as it stands in a skeleton, whether its text is raw, and for a start tag names and values of its attributes, and what may name an address or clash; null if it isn't plain."""
+    m = _MARK.fullmatch(mark)
+    if not m:
+        return None
+    end, tag, attrs, closed = m.groups()
+    if end:
+        return f"</{end}>", False, None, None, None
+    pairs, clash, item, href, content = _stated(_ATTR.findall(attrs))
+    code = f"<{tag}{' itemscope' * item}{'/' if closed else ''}>"
+    return code, tag in _RAW_TAGS and not closed, tuple(k for k, _ in pairs), tuple(v for _, v in pairs), (clash, href, content) if clash or href or content else None
+
+
+def _filled(html: str, base: str | None) -> _Page | None:
+    """A page of plain tokens whose attributes hold no angle bracket: the shape of its skeleton, filled; null for any other page."""
+    head, *pieces = html.split("<")
+    skeleton, text, counts, keys, said, named = [], [], [], [], [], {}
+    if head:
+        skeleton.append("x")
+        text.append(unescape(head))
+        counts.append(0)
+    for piece in pieces:
+        mark, closed, rest = piece.partition(">")
+        found = closed and (_mark(mark) if len(mark) <= _KEPT_MARK else _mark.__wrapped__(mark))
+        if not found:
+            return None
+        code, raw, names, values, identity = found
+        skeleton.append(code)
+        if names is not None:
+            if identity:
+                clash, href, content = identity
+                links = {x for x in (address(href, base), address(content, base)) if x is not None} if href or content else ()
+                named[len(text)] = min(links, default=None), clash or len(links) > 1
+            text.append(None)
+            counts.append(len(names))
+            keys += names
+            said += values
+        if rest:
+            skeleton.append("x")
+            text.append(rest if raw or "&" not in rest else unescape(rest))
+            counts.append(0)
+    tags = "".join(skeleton)
+    shape = _shape(tags) if len(tags) <= _KEPT_SKELETON else _shape.__wrapped__(tags)
+    return None if shape is None else _Page(shape, text, counts, keys, said, named)
+
+
+def _read(html: str | None, base: str | None) -> _Page:
+    if html and (page := _filled(html, base)):
+        return page
     nodes = _Nodes(base)
     if html and not _plain(html, nodes):
         nodes = _Nodes(base)
@@ -211,42 +313,71 @@ def _read(html: str | None, base: str | None) -> _Nodes:
         parser.feed(html)
         parser.close()
     nodes.close(0)
-    return nodes
+    pairs = [pair for r in nodes.rows for pair in r[1]]
+    named = {i: (r[3], r[-1]) for i, r in enumerate(nodes.rows) if r[3] is not None or r[-1]}
+    return _Page(_shape_of(nodes), [r[2] for r in nodes.rows], [len(r[1]) for r in nodes.rows], [k for k, _ in pairs], [v for _, v in pairs], named)
 
 
 def tree(html: str | None, base: str | None = None) -> list[dict]:
     """The nodes of a page at the address `base`; none of null."""
-    nodes = _read(html, base)
-    return [{"node": i, "last": n, "paged": p, **dict(zip(_FIXED, r))} | {"attrs": dict(r[1])} for i, (r, n, p) in enumerate(zip(nodes.rows, nodes.last, nodes.paged))]
-
-
-def _column(pages: list[_Nodes]) -> pa.Array:
-    """The nodes of each page as an array of `NODES`."""
-    kinds, every = dict(FIELDS), chain.from_iterable
-    values = dict(zip(_FIXED, list(zip(*every(p.rows for p in pages))) or [()] * len(_FIXED)))
-    values |= {"node": list(every(range(len(p.rows)) for p in pages)), "last": list(every(p.last for p in pages)), "paged": list(every(p.paged for p in pages))}
-    attrs = values.pop("attrs")
-    keys, said = list(zip(*every(attrs))) or [(), ()]
-    made = {name: pa.array(v, kinds[name]) for name, v in values.items()}
-    made["attrs"] = pa.MapArray.from_arrays(pa.array([0, *accumulate(map(len, attrs))], pa.int32()), pa.array(keys, pa.string()), pa.array(said, pa.string()))
-    nodes = pa.StructArray.from_arrays([made[name] for name, _ in FIELDS], fields=[pa.field(*f) for f in FIELDS])
-    return pa.ListArray.from_arrays(pa.array([0, *accumulate(len(p.rows) for p in pages)], pa.int32()), nodes)
-
-
-def with_tree(pages: DataFrame, html: str, url: str | None = None) -> DataFrame:
-    """`pages` with `nodes`, the element tree of the column `html`, instead of it; a null or empty page has none. `url` names the column of the page's address."""
+    page = _read(html, base)
+    return [{"node": i, "last": n, "paged": p, **dict(zip(_FIXED, r))} | {"attrs": dict(r[1])} for i, (r, n, p) in enumerate(zip(page.rows, page.last, page.paged))]
+
+
+def _columns(pages: list[_Page], fields: Sequence[str], marked: Sequence[str]) -> list[pa.Array]:
+    """The nodes of each page as an array with these fields, and those with attributes as another with the fields `marked`, if there are any."""
+    every, offsets = chain.from_iterable, np.cumsum([0, *(len(p.text) for p in pages)], dtype=np.int32)
+    link, clash = [None] * int(offsets[-1]), [False] * int(offsets[-1])
+    for start, page in zip(offsets.tolist(), pages):
+        for i, said in page.named.items():
+            link[start + i], clash[start + i] = said
+    shape = pa.concat_arrays([p.shape for p in pages])
+    made = {f.name: shape.field(f.name) for f in shape.type} | {"link": pa.array(link, pa.string()), "clash": pa.array(clash, pa.bool_()), "text": pa.array(list(every(p.text for p in pages)), pa.string())}
+    counts = np.fromiter(every(p.counts for p in pages), np.int32, int(offsets[-1]))
+    keys, said = (pa.array(list(every(x)), pa.string()) for x in ((p.keys for p in pages), (p.said for p in pages)))
+    at = np.flatnonzero(counts)
+
+    def listed(names: Sequence[str], some: np.ndarray | None = None) -> pa.Array:
+        """Of all nodes, or of `some`."""
+        number, where = (counts, offsets) if some is None else (counts[some], np.searchsorted(some, offsets).astype(np.int32))
+        ends = np.cumsum([0, *number], dtype=np.int32)
+        values = [pa.MapArray.from_arrays(ends, keys, said) if n == "attrs" else made[n] if some is None else made[n].take(pa.array(some)) for n in names]
+        return pa.ListArray.from_arrays(where, pa.StructArray.from_arrays(values, fields=[pa.field(n, dict(FIELDS)[n]) for n in names]))
+
+    return [listed(fields), *([listed(marked, at)] if marked else [])]
+
+
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Where slices of pages of these sizes begin and end: SLICE pages at most, and SLICE_BYTES unless one page alone has more."""
+    lo, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > lo and (i - lo >= SLICE or held + size > SLICE_BYTES):
+            yield lo, i
+            lo, held = i, 0
+        held += size
+    if sizes:
+        yield lo, len(sizes)
+
+
+def with_tree(pages: DataFrame, html: str, url: str | None = None, fields: Sequence[str] = tuple(f[0] for f in FIELDS), marked: Sequence[str] = ()) -> DataFrame:
+    """`pages` with `nodes`, the element tree of the column `html`, instead of it; a null or empty page has none. `url` names the column of the page's address.
+
+    A reader that needs some of the nodes' fields names them in `fields`; those of the elements with attributes, which are few of a page,
+    may come in an array of their own, `marked`, with the fields named there.
+    """
     columns = [c for c in pages.columns if c != html]
-    fields = [pages.schema[c] for c in columns]
+    added = {"nodes": fields, **({"marked": marked} if marked else {})}
+    schema = T.StructType([*(pages.schema[c] for c in columns), *(T.StructField(c, T._parse_datatype_string(f"array<struct<{', '.join(f'{n} {KINDS[n]}' for n in names)}>>")) for c, names in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for lo in range(0, big.num_rows, SLICE):
-                batch = big.slice(lo, SLICE)
+            for lo, hi in _slices(pc.fill_null(pc.binary_length(big.column(html)), 0).to_pylist()):
+                batch = big.slice(lo, hi - lo)
                 bases = batch.column(url).to_pylist() if url else [None] * batch.num_rows
-                found = _column([_read(h, b) for h, b in zip(batch.column(html).to_pylist(), bases)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), found], names=[*columns, "nodes"])
+                found = _columns([_read(h, b) for h, b in zip(batch.column(html).to_pylist(), bases)], fields, marked)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], names=[*columns, *added])
 
-    return spread(pages).mapInArrow(run, T.StructType([*fields, T.StructField("nodes", T._parse_datatype_string(NODES))]))
+    return spread(pages).mapInArrow(run, schema)
 
 
 def plain_references(html: Column) -> Column:
@@ -319,9 +450,9 @@ def has_classes(x: Column, classes: tuple[str, ...]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, classes)), own)) == 0 if classes else F.lit(True)
 
 
-def linked_objects(nodes: Column) -> Column:
-    """JSON texts of all objects of the linked-data scripts: a script is an object or a list, and either may hold @graph lists, four levels deep; a malformed script is left out."""
-    scripts = F.filter(nodes, lambda x: (x["tag"] == "script") & F.coalesce(attr(x, "type").rlike("(?i)^application/ld\\+json"), F.lit(False)) & (x["last"] > x["node"]))
+def linked_objects(nodes: Column, marked: Column | None = None) -> Column:
+    """JSON texts of all objects of the linked-data scripts (those of the elements `marked`, if given): a script is an object or a list, and either may hold @graph lists, four levels deep; a malformed script is left out."""
+    scripts = F.filter(nodes if marked is None else marked, lambda x: (x["tag"] == "script") & F.coalesce(attr(x, "type").rlike("(?i)^application/ld\\+json"), F.lit(False)) & (x["last"] > x["node"]))
     return json_objects(F.transform(scripts, lambda x: F.get(nodes, x["node"] + 1)["text"]))
 
 

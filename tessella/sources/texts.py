@@ -45,8 +45,8 @@ def calendar_events(texts: DataFrame, key: str, column: str) -> DataFrame:
     return out.where("summary is not null and start is not null")
 
 
-def linked_event(item: Column) -> Column:
-    """struct is_event, type, name, start, stop, url, place, address, locality, low and high of a linked-data object in JSON.
+def linked_event(item: Column, *fields: str) -> Column:
+    """struct is_event, type, name, start, stop, url, place, address, locality, low and high of a linked-data object in JSON, or the named ones alone.
 
     An event's type, or one of its types, ends in "event" in any case, or is Festival; a namespace in front
     is left out. A place may be a text, an object or a list (its first), an address a text or an object. What isn't stated is null.
@@ -66,9 +66,12 @@ def linked_event(item: Column) -> Column:
             F.when(object_ & address.startswith("{"), at(spot, "$.address.addressLocality")).alias("locality")))
 
     spot = bound(get("$.location"), lambda value: F.when(value.startswith("["), get("$.location[0]")).otherwise(value))
-    return bound(F.struct(bound(spot, place).alias("where"), offer_range(get("$.offers")).alias("prices")), lambda x: F.struct(
-        F.exists(bare, lambda k: k.endswith("event") | (k == "festival")).alias("is_event"), get("$['@type']").alias("type"), said("$.name").alias("name"), said("$.startDate").alias("start"), said("$.endDate").alias("stop"),
-        said("$.url").alias("url"), x["where"]["place"].alias("place"), x["where"]["address"].alias("address"), x["where"]["locality"].alias("locality"), x["prices"]["low"].alias("low"), x["prices"]["high"].alias("high")))
+    told = {
+        "is_event": lambda x: F.exists(bare, lambda k: k.endswith("event") | (k == "festival")), "type": lambda x: get("$['@type']"), "name": lambda x: said("$.name"), "start": lambda x: said("$.startDate"), "stop": lambda x: said("$.endDate"),
+        "url": lambda x: said("$.url"), **{c: lambda x, c=c: x["where"][c] for c in ("place", "address", "locality")}, **{c: lambda x, c=c: x["prices"][c] for c in ("low", "high")}}
+    wanted = fields or tuple(told)
+    parts = [bound(spot, place).alias("where"), *([offer_range(get("$.offers")).alias("prices")] if {"low", "high"} & {*wanted} else [])]
+    return bound(F.struct(*parts), lambda x: F.struct(*(told[c](x).alias(c) for c in wanted)))
 
 
 def linked_events(pages: DataFrame, key: str, column: str) -> DataFrame:
